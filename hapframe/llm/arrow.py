@@ -14,7 +14,7 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
 
     Words are runs of anything but space and \\x09-\\x0D; only A-Z are lowered; null is the empty text.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts, "")  # as it is: ascii_lower() misreads a slice that was cast to large_string
     if lower:
         texts = pc.ascii_lower(texts)
     split = pc.split_pattern_regex(texts, r"[ \t\n\x0b\f\r]+")

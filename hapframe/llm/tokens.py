@@ -86,7 +86,7 @@ class Encoder:
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, WHOLE)
         plain = pc.if_else(whole, "", texts)
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"(\pL)([!-/:-@\[-`{-~])", r"\1 \2")
