@@ -4,9 +4,11 @@ The test items are the documents of an inverted index; every passage of the trai
 twice as long as the longest item, so every item that a text contains lies wholly in a passage. Scores are
 divided by the score of an item against itself, so one threshold fits all items and a passage that contains an item scores 1.
 
-A passage whose terms' largest impacts don't reach the threshold together cannot retrieve anything and is left out at once, by
-differences of running sums. The others run through block-max WAND: cursors over postings, a pivot where the impacts
-could reach the threshold, and the maxima of the blocks around it to jump over ranges. Everything above the threshold is retrieved.
+Items stand in the order of the weight that their common terms have together, and are cut into ranges. A range's bound for a passage
+is the largest such weight in it plus the largest impacts there of the passage's rarer terms; it comes from differences of running sums, for
+all passages at once. Where it stays below the threshold, the range is left out. The others run through block-max WAND: cursors over the postings of
+the range, a pivot where the impacts could reach the threshold, and the maxima of the blocks around it to jump ahead. Everything above the
+threshold is retrieved.
 
 A retrieved item counts if of the five-word shingles of its question, and of those of its answer, at least 0.8 occur in the text. The
 answer is an item's last line; an item of one line is split before its last fifth.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +39,8 @@ from hapframe.llm.tokens import bounded_batches
 
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 32, 5
 THRESHOLD, OVERLAP, BLOCK_ITEMS = 0.6, 0.8, 20_000
+#: Ranges of items, and the share of items from which on a term is common.
+RANGES, COMMON = 16, 0.02
 NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -74,33 +79,51 @@ class Index:
                 self.ids.setdefault(w, len(self.ids))
         df, n = Counter(w for words in parts for w in set(words)), len(parts)
         mean = sum(map(len, parts)) / max(n, 1)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.ids]
-        for k, words in enumerate(parts):
+        weights = []
+        for words in parts:
             tf = Counter(words)
             weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             own = sum(weight.values())
-            for w, x in weight.items():
-                postings[self.ids[w]].append((k, x / own))
+            weights.append({w: x / own for w, x in weight.items()})
+        common = {w for w, k in df.items() if k > max(2, COMMON * n)}
+        mass = [sum(x for w, x in weight.items() if w in common) for weight in weights]
+        order = sorted(range(n), key=lambda k: (mass[k], k))
+        self.keys, kept = [self.keys[k] for k in order], [kept[k] for k in order]
+        postings: list[list[tuple[int, float]]] = [[] for _ in self.ids]
+        size = -(-n // RANGES) if n else 1
+        self.ranges = [(a, min(a + size, n)) for a in range(0, n, size)]
+        self.bounds = np.zeros((len(self.ranges), len(self.ids) + 1))  # the last is for words in no item
+        self.joint = np.zeros(len(self.ranges))
+        for k, was in enumerate(order):
+            r = k // size
+            self.joint[r] = max(self.joint[r], mass[was])
+            for w, x in weights[was].items():
+                t = self.ids[w]
+                postings[t].append((k, x))
+                if w not in common:
+                    self.bounds[r, t] = max(self.bounds[r, t], x)
         self.items = [[k for k, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
         self.ends = [[p[min(i + BLOCK, len(p)) - 1][0] for i in range(0, len(p), BLOCK)] for p in postings]
         self.maxima = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in postings]
-        self.upper = np.array([max(x) for x in self.impacts] + [0.0])  # the last is for words in no item
+        self.upper = [max(x) for x in self.impacts]
         self.longest = max(map(len, parts), default=1)
         encode = lambda words: [self.ids[w] for w in words]
         self.parts = [(shingles(encode(q)), shingles(encode(a))) for _, (q, a) in kept]
 
-    def search(self, query: Iterable[int], threshold: float) -> dict[int, float]:
-        """Every item with a score of at least ``threshold``, by block-max WAND."""
-        end = len(self.keys)
-        cursors = [[self.items[t][0], 0, t] for t in query]  # item, position, term
-        found = {}
+    def search(self, query: Iterable[int], threshold: float, first: int = 0, end: int | None = None) -> dict[int, float]:
+        """Every item from ``first`` up to ``end`` with a score of at least ``threshold``, by block-max WAND."""
+        end, found = len(self.keys) if end is None else end, {}
 
         def forward(cursor: list, item: int) -> None:
-            items, at = self.items[cursor[2]], cursor[1]
-            while at < len(items) and items[at] < item:
-                at += 1
-            cursor[1], cursor[0] = at, items[at] if at < len(items) else end
+            items = self.items[cursor[2]]
+            at = cursor[1] = bisect_left(items, item, cursor[1])
+            cursor[0] = items[at] if at < len(items) and items[at] < end else end
+
+        cursors = [[-1, 0, t] for t in query]  # item, position, term
+        for cursor in cursors:
+            forward(cursor, first)
+        cursors = [c for c in cursors if c[0] < end]
 
         while True:
             cursors.sort()
@@ -152,7 +175,6 @@ class Index:
         tokens = ids[codes]
         real = tokens != -2
         offsets, tokens = np.concatenate([[0], np.cumsum(real)])[offsets], tokens[real]
-        sums = np.concatenate([[0], np.cumsum(self.upper[tokens])])
         half = self.longest
         n = np.diff(offsets)
         per_text = np.maximum(1, -(-(n - 2 * half) // half) + 1)
@@ -160,14 +182,16 @@ class Index:
         start = offsets[row] + half * (np.arange(len(row)) - np.repeat(np.cumsum(per_text) - per_text, per_text))
         stop = np.minimum(start + 2 * half, offsets[row + 1])
         best: dict[tuple[int, int], float] = {}
-        for k in np.flatnonzero(sums[stop] - sums[start] >= threshold - 1e-9):
-            query = np.unique(tokens[start[k] : stop[k]])
-            query = query[query >= 0]
-            if self.upper[query].sum() < threshold - 1e-9:
-                continue
-            for item, score in self.search(query.tolist(), threshold).items():
-                place = (int(row[k]), item)
-                best[place] = max(score, best.get(place, 0.0))
+        for r, (first, end) in enumerate(self.ranges):
+            sums = np.concatenate([[0], np.cumsum(self.bounds[r][tokens])])
+            for k in np.flatnonzero(sums[stop] - sums[start] >= threshold - self.joint[r] - 1e-9):
+                query = np.unique(tokens[start[k] : stop[k]])
+                query = query[query >= 0]
+                if self.bounds[r][query].sum() < threshold - self.joint[r] - 1e-9:
+                    continue
+                for item, score in self.search(query.tolist(), threshold, first, end).items():
+                    place = (int(row[k]), item)
+                    best[place] = max(score, best.get(place, 0.0))
         out, seen = [], (-1, {})
         for (i, item), score in sorted(best.items()):
             own = tokens[offsets[i] : offsets[i + 1]].tolist()
