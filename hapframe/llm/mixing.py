@@ -116,7 +116,7 @@ def _first_words(text: Column, n: Column) -> Column:
 def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mix with their own columns: whole epochs as repeated rows, then the first words of a partly taken one."""
     taken = cut(mix(docs, weights=weights, most=most).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.sum("taken").alias("all"), F.count("*").alias("n")), "taken")
-    rows = docs.withColumn("_size", word_count(F.col("text"))).join(taken.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_size") == F.col("size")))
+    rows = docs.withColumn("_size", word_count(F.col("text"))).join(taken.withColumnRenamed("doc_id", "_id").hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_size") == F.col("size")))
     # Where ids repeat, rows of one size share what they take; the mean of theirs then holds for each.
     words = F.when(F.col("n") == 1, F.col("taken")).otherwise(F.round(F.col("all") / F.col("n"))).cast("long")
     whole, part = F.floor(words / F.col("size")).cast("int"), (words % F.col("size")).cast("int")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.arrow import fixed, groups, word_codes
-from hapframe.llm.common import cut, table
+from hapframe.llm.common import cut, release, table
 from hapframe.llm.tokens import bounded_batches, mix64
 
 BANDS, ROWS, BITS = 32, 5, 512
@@ -113,6 +113,7 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int,
                     for i, k, o in zip(full, banded, odd_sketches(samples), strict=True):
                         node[i], keys[i], odd[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), k, o.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "odd"])
+        release()
 
     return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "sketches")
 
@@ -235,7 +236,7 @@ def _settle(sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[D
 def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, percent: int, id_col: str, text_col: str, most: int = MOST) -> DataFrame:
     """``a, b``: spanning forest of all links inside the candidate groups, on full sets."""
     wanted = nodes.select("node", "rep").join(roots, "node")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("node", "root", "text")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "rep").select("node", "root", "text")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -283,7 +284,7 @@ def keep_one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> D
     """The documents that name their component, with their own columns; whole repeated rows are reduced to one."""
     kept = near_duplicates(docs, width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = cut(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     return out if kept.where("n > 1").isEmpty() else out.dropDuplicates()
 
 
