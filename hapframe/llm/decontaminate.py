@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.arrow import word_codes
-from hapframe.llm.common import table
+from hapframe.llm.common import release, table
 from hapframe.llm.tokens import bounded_batches
 
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 32, 5
@@ -237,6 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
                     found = shared.value.scan(batch.column(1), threshold, overlap)
                     named = pa.array([shared.value.keys[f[1]] for f in found])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), named.cast(pa.int64()) if not found else named, *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            release()
 
         part = narrow.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -258,6 +259,7 @@ def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id:
                     keep = np.ones(batch.num_rows, bool)
                     keep[[f[0] for f in shared.value.scan(batch.column(at_text), threshold, overlap)]] = False
                     yield batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

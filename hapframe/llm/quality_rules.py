@@ -95,9 +95,9 @@ def rules() -> dict[str, Column]:
     }
 
 
-def order_rules(measured: DataFrame, candidates: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on the first ``sample_rows`` rows. Only the running time depends on it."""
-    sample = cut(measured.where("not base_failed").drop("row").limit(sample_rows), "rule-sample")
+def order_rules(docs: DataFrame, candidates: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names by rejections per second on ``sample_rows`` documents. Only the running time depends on it."""
+    sample = cut(measure(docs.limit(sample_rows)).where("not base_failed").drop("row"), "rule-sample")
     worth = {}
     for name, reject in candidates.items():
         began = time.perf_counter()
@@ -106,24 +106,24 @@ def order_rules(measured: DataFrame, candidates: dict[str, Column], sample_rows:
     return sorted(worth, key=lambda name: (-worth[name], name))
 
 
-def cascade(measured: DataFrame, order: list[str] | None = None, candidates: dict[str, Column] | None = None) -> DataFrame:
-    """Adds ``rejected_by`` (null: kept), the base first and then the rules in ``order`` (measured if not given)."""
+def cascade(docs: DataFrame, order: list[str] | None = None, candidates: dict[str, Column] | None = None) -> DataFrame:
+    """``measure`` and ``rejected_by`` (null: kept), the base first and then the rules in ``order`` (measured if not given)."""
     candidates = rules() if candidates is None else candidates
-    order = order_rules(measured, candidates) if order is None else order
+    order = order_rules(docs, candidates) if order is None else order
     verdict = F.when(F.col("base_failed"), "base")
     for name in order:
         verdict = verdict.when(candidates[name], name)
-    return measured.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    return measure(docs).withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows that no rule rejects, with their own columns."""
-    return cascade(measure(docs)).where("kept").select("row.*")
+    return cascade(docs).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cascade(measure(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return cascade(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 SQL = r"""

@@ -36,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import new_path, table
+from hapframe.llm.common import new_path, release, table
 
 MAGIC, END_ID, TOKENIZER = b"HFTOK1\n\0", 1, "word_bpe_49k.json"
 #: Words kept with their ids in each Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 #: A text with one of these is encoded whole: the strings of special tokens, and marks that may compose across a change.
 WHOLE = r"<\||\pM"
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 2_000_000
 SLOT = np.dtype([("fingerprint", "<u4"), ("ordinal", "<u4"), ("run", "<u4")])
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -270,6 +270,8 @@ def write_shards(docs: DataFrame, directory: str, *, id_col: str = "doc_id", tex
                 writer.add(part.column(0), [np.concatenate([x, end]) for x in encoder.encode(part.column(1))])
         if writer is not None:
             yield pa.RecordBatch.from_pydict({"shard": [json.dumps(writer.close())]})
+            del encoder, writer
+        release()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
