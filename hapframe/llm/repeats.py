@@ -4,9 +4,10 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
 nothing is held in one place:
 
 1. Minimizers. Of the 20-byte strings inside a ``width``-byte window the one with the least hash names the window, so equal windows have
-   equal names at equal offsets. Only a document's distinct minimizers (about one in 16 bytes) travel, as packed arrays by bucket of
-   their hash; those that several documents of one batch share are settled there, and one of them travels.
-2. Minimizers found in two or more documents go back to their documents, which send the bytes around each of them, again by bucket.
+   equal names at equal offsets. Only minimizers travel (about one in 16 bytes), as packed arrays by bucket of their hash, each with a hash of
+   all bytes that its windows cover. Where those are equal all but the least document's are covered whole: first inside
+   a batch, so that what many documents share travels once a batch, then inside a bucket.
+2. Minimizers that meet different surroundings stand at the ends of repeats. They go back to their documents, which send the bytes around each of them.
 3. In a bucket equal surroundings fall together first: all but the least document's are covered whole. The windows of
    the rest are sorted by a 64-bit fingerprint, and those of all but the least document of each class are marked.
 4. Marks meet their document, where they are united; the hash of what remains is taken.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import cut, table
+from hapframe.llm.common import cut, release, table
 from hapframe.llm.tokens import bounded_batches, mix64
 
 WIDTH, GRAM = 50, 20
@@ -113,16 +114,47 @@ def _rows(found: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc", "text", "data"])
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows start another value."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def several(order: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Along ``order`` (by h): group number of each row, the least document of each group, whether a group has several."""
-    group = np.cumsum(np.concatenate([[True], h[order][1:] != h[order][:-1]])) - 1
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    group = np.cumsum(_new(h[order])) - 1
+    first = np.flatnonzero(_new(group))
     least = np.minimum.reduceat(doc[order], first)
     return group, least, np.maximum.reduceat(doc[order], first) != least
 
 
+def settle(h: np.ndarray, around: np.ndarray, doc: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(covered, open): rows whose whole surroundings an earlier document has, and the other rows whose minimizer meets other surroundings."""
+    order = np.lexsort((doc, around, h))
+    h, around, doc = h[order], around[order], doc[order]
+    start = _new(h, around)
+    lead = np.flatnonzero(start)[np.cumsum(start) - 1]
+    later = inner[order] & (doc > doc[lead])
+    group, _, many = several(np.arange(len(h)), h, doc)
+    classes = np.bincount(group, weights=start)
+    return order[later], order[~later & many[group] & (classes[group] > 1)]
+
+
 def shared_minimizers(docs: DataFrame, width: int, n: int) -> DataFrame:
-    """``doc, text, data``: positions (int32) of a document's minimizers that another document has too; parts of one document may come apart."""
+    """``marks, doc, text, data``: pairs (first, end) that are settled, or (marks false) positions to look at closer."""
+    side = width - GRAM
+    span = GRAM + 2 * side
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], ["bucket", "marks", "doc", "text", "data"])
+
+    def covered(doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
+        pairs = np.stack([pos - side, pos - side + span], axis=1).astype("<i4")
+        return [(d % n, True, d, t, united(np.frombuffer(x, "<i4").reshape(-1, 2)).astype("<i4").tobytes()) for d, t, x in by_key(doc, pairs)]
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
@@ -134,41 +166,45 @@ def shared_minimizers(docs: DataFrame, width: int, n: int) -> DataFrame:
             doc = np.empty(len(at), KEY)
             doc["doc"], doc["text"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
             pos = (at - starts[row]).astype("<i4")
-            order = np.argsort(h, kind="stable")
-            group, least, many = several(order, h, doc["doc"])
-            known = np.zeros(len(h), bool)
-            known[order] = many[group]
-            # What several documents of this batch share is known to be repeated; its first row of the least document goes on.
-            lead = order[np.flatnonzero(doc["doc"][order] == least[group])]
-            lead = lead[np.unique(h[lead], return_index=True)[1]]
-            out = [(-1, *x) for x in by_key(doc[known], pos[known])] if known.any() else []
-            go = np.flatnonzero(~known)
-            go = np.concatenate([go, lead[known[lead]]])
+            # Surroundings that the text's ends clip equal no others here; they are looked at closer.
+            inner = (pos >= side) & (pos + GRAM + side <= sizes[row])
+            around = mix64(doc["doc"].view(np.uint64) ^ doc["text"].view(np.uint64), 4) + pos.astype(np.uint64)
+            x, first = words_at(data), at[inner] - side
+            seen = np.zeros(len(first), np.uint64)
+            for k in [*range(0, span - 8, 8), span - 8]:
+                seen = mix64(seen ^ x[first + k], k)
+            around[inner] = seen
+            done, _ = settle(h, around, doc["doc"], inner)
+            out = covered(doc[done], pos[done])
+            go = np.ones(len(h), bool)
+            go[done] = False
+            go = np.flatnonzero(go)
             bucket = (h[go] >> np.uint64(20)) % np.uint64(n)
-            go = go[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            order = np.argsort(bucket, kind="stable")
+            go, bucket = go[order], bucket[order].astype(np.int64)
+            cuts = np.flatnonzero(_new(bucket))
             for a, b in zip(cuts, np.append(cuts[1:], len(go)), strict=True):
                 some = go[a:b]
-                out.append((int(bucket[a]), 0, 0, pack(h=h[some], doc=doc[some], pos=pos[some], known=known[some])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "doc", "text", "data"])
+                out.append((int(bucket[a]), False, 0, 0, pack(h=(mix64(h[some], 6) >> np.uint64(32)).astype("<u4"), around=around[some], doc=doc[some], pos=pos[some], inner=inner[some])))
+            yield rows(out)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                parts.setdefault(bucket, []).append(unpack(data, "<u8", KEY, "<i4", "?"))
+            settled = batch.filter(batch.column(1))
+            if settled.num_rows:
+                yield settled
+            for bucket, mark, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if not mark:
+                    parts.setdefault(bucket, []).append(unpack(data, "<u4", "<u8", KEY, "<i4", "?"))
         while parts:
-            h, doc, pos, known = map(np.concatenate, zip(*parts.popitem()[1], strict=True))
-            order = np.argsort(h, kind="stable")
-            group, _, many = several(order, h, doc["doc"])
-            hit = order[many[group]]
-            hit = hit[~known[hit]]
-            yield _rows(by_key(doc[hit], pos[hit]))
+            h, around, doc, pos, inner = map(np.concatenate, zip(*parts.popitem()[1], strict=True))
+            done, open_ = settle(h, around, doc["doc"], inner)
+            yield rows(covered(doc[done], pos[done]) + [(0, False, *x) for x in by_key(doc[open_], pos[open_])])
+        release()
 
-    sent = cut(docs.mapInArrow(send, "bucket long, doc long, text long, data binary"), "minimizers")
-    met = sent.where("bucket >= 0").repartition(n, "bucket").mapInArrow(meet, "doc long, text long, data binary")
-    return met.union(sent.where("bucket < 0").select("doc", "text", "data"))
+    schema = "bucket long, marks boolean, doc long, text long, data binary"
+    return cut(docs.mapInArrow(send, schema).repartition(n, "bucket").mapInArrow(meet, schema).drop("bucket"), "shared")
 
 
 def marks(texts: DataFrame, width: int, n: int) -> DataFrame:
@@ -244,6 +280,7 @@ def marks(texts: DataFrame, width: int, n: int) -> DataFrame:
                 pairs.append(np.stack([start, start + width], axis=1).astype("<i4"))
                 docs_.append(doc[own[hit]])
             yield _rows(by_key(np.concatenate(docs_), np.concatenate(pairs)))
+        release()
 
     return texts.mapInArrow(send, "bucket long, data binary").repartition(n, "bucket").mapInArrow(meet, "doc long, text long, data binary")
 
@@ -266,9 +303,10 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text"), F.col(text_col).alias("value"))
     known = keyed.where("doc IS NOT NULL AND value IS NOT NULL")
-    shared = shared_minimizers(known, width, n).groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
-    marked = marks(known.join(shared, ["doc", "text"]).select("doc", "text", "value", "data"), width, n)
-    gathered = cut(marked, "marks").groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
+    found = shared_minimizers(known, width, n)
+    closer = found.where("not marks").groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
+    marked = marks(known.join(closer.hint("merge"), ["doc", "text"]).select("doc", "text", "value", "data"), width, n)
+    gathered = cut(marked.union(found.where("marks").select("doc", "text", "data")), "marks").groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -282,7 +320,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return keyed.join(gathered, ["doc", "text"], "left").select("doc", "value", "data").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return keyed.join(gathered.hint("merge"), ["doc", "text"], "left").select("doc", "value", "data").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
