@@ -115,13 +115,16 @@ def _first_words(text: Column, n: Column) -> Column:
 
 def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mix with their own columns: whole epochs as repeated rows, then the first words of a partly taken one."""
-    taken = cut(mix(docs, weights=weights, most=most).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.sum("taken").alias("all"), F.count("*").alias("n")), "taken")
-    rows = docs.withColumn("_size", word_count(F.col("text"))).join(taken.withColumnRenamed("doc_id", "_id").hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_size") == F.col("size")))
+    taken = cut(mix(docs, weights=weights, most=most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_of")).agg(
+        F.max("taken").alias("_taken"), F.sum("taken").alias("_all"), F.count("*").alias("_n"),
+    ), "taken")
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    rows = sized.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")))
     # Where ids repeat, rows of one size share what they take; the mean of theirs then holds for each.
-    words = F.when(F.col("n") == 1, F.col("taken")).otherwise(F.round(F.col("all") / F.col("n"))).cast("long")
-    whole, part = F.floor(words / F.col("size")).cast("int"), (words % F.col("size")).cast("int")
-    parts = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    words = F.when(F.col("_n") == 1, F.col("_taken")).otherwise(F.round(F.col("_all") / F.col("_n"))).cast("long")
+    whole, part = F.floor(words / F.col("_size")).cast("int"), (words % F.col("_size")).cast("int")
+    parts = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     out = rows.withColumn("_part", F.explode(parts))
-    text = F.when(F.col("_part") < F.col("size"), _first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))
-    n_chars = [F.when(F.col("_part") < F.col("size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")] if "n_chars" in docs.columns else []
+    text = F.when(F.col("_part") < F.col("_size"), _first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))
+    n_chars = [F.when(F.col("_part") < F.col("_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")] if "n_chars" in docs.columns else []
     return out.select(*(text.alias(c) if c == "text" else n_chars[0] if c == "n_chars" else F.col(c) for c in docs.columns))
