@@ -79,7 +79,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - before))
-    return dealt.join(starts, ["skey", "range"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    # Written out and dealt anew: else the plan would keep all rows of a source in one task, as they are for the ranges' totals.
+    return dealt.repartition("skey", "range").join(cut(starts, "starts"), ["skey", "range"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
