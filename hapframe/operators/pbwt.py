@@ -27,7 +27,7 @@ def _stream(sites: DataFrame, keys: list[str], inverse: bool, stride: int) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, order = None, None
         for batch in batches:
-            out, orders = [], []
+            out = []
             columns = [batch.column(k).to_pylist() for k in keys]
             for i, (kind, data) in enumerate(zip(batch.column("archetype").to_pylist(), batch.column("gt").to_pylist(), strict=True)):
                 key, gt = tuple(c[i] for c in columns), np.frombuffer(data, np.uint8)
@@ -44,8 +44,6 @@ def _stream(sites: DataFrame, keys: list[str], inverse: bool, stride: int) -> Da
                         made[k::stride] = own
                     else:
                         made[k::stride] = seen
-                    if not inverse:
-                        orders.append(order[k].astype("<i4").tobytes())
                     if kind != "2mc" or np.count_nonzero(gt == 1) >= RARE:
                         order[k] = advance(order[k], seen)
                 out.append(made.tobytes())
