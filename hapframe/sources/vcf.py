@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.functions.alleles import vcf_allele, vcf_symbol
+from hapframe.schema import EOV
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +28,41 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def number_sites(sites: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``site_id``, dense from 0 along ``order``: places inside sorted ranges, and a running sum over one row a range."""
+    from pyspark.sql import Window
+
+    # Numbers of a task start at task << 33, so the high bits name the range; a checkpoint fixes them for both readers.
+    placed = sites.sort(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33))
+    spark = sites.sparkSession
+    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() else placed.persist()
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("_range", "_start")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
+    return placed.join(starts, "_range").select(*sites.columns, place.cast("int").alias("site_id"))
+
+
+def read_alleles(spark: SparkSession, path: str) -> DataFrame:
+    """``site_id, hap, ploidy, n_allele, allele`` of every record with a GT field, sites numbered in the order of the files' lines."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    return matrix_of(lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+
+
+def matrix_of(lines: DataFrame) -> DataFrame:
+    """Alleles of full records with ``file, block, at`` as their order. A site's ploidy is its longest genotype's; shorter ones are padded with the end of vector."""
+    fields = F.split("line", "\t")
+    record = lines.select(
+        "file", "block", "at", (F.size(F.split(fields[4], ",")) + 1).alias("n_allele"),
+        F.array_position(F.split(fields[8], ":"), "GT").cast("int").alias("gt_at"), F.slice(fields, 10, F.greatest(F.size(fields) - 9, F.lit(0))).alias("samples"),
+    ).where("gt_at > 0")
+    genotypes = F.transform("samples", lambda s: F.transform(F.split(F.element_at(F.split(s, ":"), F.col("gt_at")), r"[|/]"), lambda x: vcf_allele(x)))
+    wide = record.withColumn("g", genotypes).withColumn("ploidy", F.array_max(F.transform("g", lambda x: F.size(x))))
+    padded = F.flatten(F.transform("g", lambda x: F.concat(x, F.array_repeat(F.lit(EOV), F.col("ploidy") - F.size(x)))))
+    numbered = number_sites(wide.select("file", "block", "at", "ploidy", "n_allele", padded.alias("gt")), ["file", "block", "at"])
+    return numbered.select("site_id", "ploidy", "n_allele", F.posexplode("gt").alias("hap", "allele")).select("site_id", "hap", "ploidy", "n_allele", "allele")
+
+
 def _individuals(alleles: DataFrame, phasing: str) -> DataFrame:
     own = alleles.withColumn("sample", F.floor(F.col("hap") / F.col("ploidy")).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("hap", vcf_symbol(F.col("allele")).alias("s"))))
