@@ -43,6 +43,8 @@ MAGIC, END_ID, TOKENIZER = b"HFTOK1\n\0", 1, "word_bpe_49k.json"
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
 #: A text with one of these is encoded whole: the strings of special tokens, and marks that may compose across a change.
 WHOLE = r"<\||\pM"
+#: Letters of the Latin, Greek and Cyrillic blocks that neither normalising nor lowering turns into a letter and a mark.
+SPLIT_AFTER = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{3B1}-\x{3C9}\x{400}-\x{481}\x{48A}-\x{52F}])([!-/:-@\[-`{-~])"
 CHUNK_CHARS = 2_000_000
 SLOT = np.dtype([("fingerprint", "<u4"), ("ordinal", "<u4"), ("run", "<u4")])
 BATCH_BYTES = 8 << 20
@@ -89,7 +91,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, WHOLE)
         plain = pc.if_else(whole, "", texts)
-        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"(\pL)([!-/:-@\[-`{-~])", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain), SPLIT_AFTER, r"\1 \2")
         split = pc.split_pattern_regex(plain, "[ \n]+")
         coded = split.flatten().dictionary_encode()
         pieces = self._words(coded.dictionary.to_pylist())
