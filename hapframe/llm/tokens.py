@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -39,13 +40,17 @@ from pyspark.sql import functions as F
 from hapframe.llm.common import new_path, release, table
 
 MAGIC, END_ID, TOKENIZER = b"HFTOK1\n\0", 1, "word_bpe_49k.json"
-#: Words kept with their ids in each Python worker, and the longest word kept.
+#: Words kept with their ids in each generation of a Python worker, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Stands between words encoded in one call, and the number of these.
+BETWEEN, JOINED = "\x01", 1000
 #: A text with one of these is encoded whole: the strings of special tokens, and marks that may compose across a change.
 WHOLE = r"<\||\pM"
 #: Letters of the Latin, Greek and Cyrillic blocks that neither normalising nor lowering turns into a letter and a mark.
 SPLIT_AFTER = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{3B1}-\x{3C9}\x{400}-\x{481}\x{48A}-\x{52F}])([!-/:-@\[-`{-~])"
-CHUNK_CHARS = 2_000_000
+#: A word of a-z alone; words on which the model must agree with the whole tokenizer.
+PLAIN, PROBES = re.compile("[a-z]+").fullmatch, ["a", "of", "the", "together", "qzxjv", "eronenthaor"]
+CHUNK_CHARS = 4_000_000
 SLOT = np.dtype([("fingerprint", "<u4"), ("ordinal", "<u4"), ("run", "<u4")])
 BATCH_BYTES = 8 << 20
 
@@ -65,26 +70,64 @@ class Encoder:
     """Encodes many texts at once through their distinct words.
 
     The tokenizer's pieces never cross white space, nor the border between a letter and an ASCII sign after it, so a text's
-    ids are those of its words in turn; each distinct word is encoded once and kept.
+    ids are those of its words in turn; each distinct word is encoded once and kept. A new word of a-z alone is one piece, so the
+    tokenizer's model takes it as it is; other new words are encoded many in one call, with a control character between them whose
+    id no other text gives.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.wide = self.model.get_vocab_size() > 65536
+        between = self.model.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        self.pieces = self.model.model
+        self.plain = [self._piece(w) for w in PROBES] == self._direct(PROBES)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.pieces.tokenize(word)])
+
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._joined(words)
+        other = iter(self._joined([w for w in words if not PLAIN(w)]))
+        return [self._piece(w) if PLAIN(w) else next(other) for w in words]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        if self.between is None:
+            return self._direct(words)
+        out: list[bytes] = []
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            joined = f" {BETWEEN} ".join(some)
+            if joined.count(BETWEEN) != len(some) - 1:
+                out += self._direct(some)
+                continue
+            ids = np.asarray(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends, data = (np.append(np.flatnonzero(ids == self.between), len(ids)) * 4).tolist(), ids.tobytes()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer lost a border between words")
+            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        return out
+
     def _words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        made = dict(zip(fresh, self._direct(fresh), strict=True))
-        out = [known.get(w) if w in known else made[w] for w in words]
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-        known.update((w, b) for w, b in made.items() if len(w) <= CACHE_CHARS)
+        """Words seen lately are kept in two generations: when the younger is full, it becomes the older, which is forgotten."""
+        out = [self.known.get(w) for w in words]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = self.older.get(words[i])
+        fresh = [i for i in missing if out[i] is None]
+        for i, ids in zip(fresh, self._fresh([words[i] for i in fresh]), strict=True):
+            out[i] = ids
+        for i in missing:
+            if len(self.known) >= CACHE_WORDS:
+                self.known, self.older = {}, self.known
+            if len(words[i]) <= CACHE_CHARS:
+                self.known[words[i]] = out[i]
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -92,7 +135,7 @@ class Encoder:
         whole = pc.match_substring_regex(texts, WHOLE)
         plain = pc.if_else(whole, "", texts)
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), SPLIT_AFTER, r"\1 \2")
-        split = pc.split_pattern_regex(plain, "[ \n]+")
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         pieces = self._words(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
