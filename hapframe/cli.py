@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.schema import BLOCK_SITES
-from hapframe.sources import archive, bcf, vcf
+from hapframe.sources import archive, bcf, coded, vcf
+
+MODEL = "model"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     codec = out.add_mutually_exclusive_group()
     codec.add_argument("-z", "--zstd", dest="codec", action="store_const", const="zstd")
     codec.add_argument("-l", "--lz4", dest="codec", action="store_const", const="lz4_raw")
+    codec.add_argument("-m", "--model", dest="codec", action="store_const", const=MODEL, help="adaptive context model: smallest, slowest")
     order = out.add_mutually_exclusive_group()
     order.add_argument("-p", "--permute", dest="permute", action="store_true", default=True)
     order.add_argument("-P", "--no-permute", dest="permute", action="store_false")
@@ -56,19 +59,23 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.compress:
         if not args.output:
             raise SystemExit("-c needs -o")
+        if args.codec == MODEL:
+            coded.write(coded.encode(load(spark, args.input), block_size=args.block_sites, use_pbwt=args.permute), args.output)
+            return
         archive.write(archive.encode(load(spark, args.input), block_size=args.block_sites, use_pbwt=args.permute), args.output, codec=args.codec, level=args.level)
         return
     stored = archive.read(spark, args.input)
-    permuted = stored_order(stored)
+    permuted, by_model = stored_order(stored), "payload" in stored.columns
     if args.decompress:
-        alleles = archive.decode(stored, use_pbwt=permuted).join(stored.select("site_id", "ploidy"), "site_id")
+        alleles = coded.decode(stored, use_pbwt=permuted) if by_model else archive.decode(stored, use_pbwt=permuted).join(stored.select("site_id", "ploidy"), "site_id")
         if args.output:
             vcf.write_vcf(alleles, args.output)
         else:
             for row in vcf.to_vcf(alleles).orderBy("site_id").toLocalIterator():
                 print(row.line)
         return
-    ways = {"scan": stored.agg(F.count("*"), F.sum("n")), "raw": archive.stored_vectors(stored), "decode": archive.decode(stored, use_pbwt=permuted)}
+    form = coded if by_model else archive
+    ways = {"scan": stored.agg(F.count("*"), F.sum("n_bytes" if by_model else "n")), "raw": form.stored_vectors(stored), "decode": form.decode(stored, use_pbwt=permuted)}
     took = {}
     for name, frame in ways.items():
         began = time.perf_counter()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hapframe.functions import alleles as codes
 from hapframe.operators import cohort, entropy, ewah, pbwt, route
-from hapframe.sources import archive, vcf
+from hapframe.sources import archive, coded, vcf
 from hapframe.sources.fixtures import duckdb_text, matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,5 +186,14 @@ def _coded(m: DataFrame) -> DataFrame:
     return pbwt.explode_vectors(back.join(named, [*keys, "i"])).select("site_id", "hap", "allele")
 
 
+def _coded_archive(m: DataFrame, use_pbwt: bool) -> DataFrame:
+    path = scratch(m.sparkSession)
+    coded.write(coded.encode(m, block_size=BLOCK, use_pbwt=use_pbwt), path)
+    return m.sparkSession.read.parquet(path)
+
+
 query("entropy_roundtrip", "g2", "SELECT site_id, hap, allele FROM m")(_coded)
+for _name, _use in (("model_archive_roundtrip", True), ("model_archive_nopbwt", False)):
+    query(_name, "g4", "SELECT site_id, hap, allele FROM m")(lambda m, use=_use: coded.decode(_coded_archive(m, use), use_pbwt=use).select("site_id", "hap", "allele"))
+query("model_archive_raw", "g4", _PBWT)(lambda m: coded.stored_vectors(_coded_archive(m, True)))
 query("codec_sizes", "g1", "SELECT site_id, n AS n_bytes FROM stats")(lambda m: entropy.compressed_size(route.site_vectors(m, BLOCK)).where("n_coded > 0").select("site_id", "n_bytes"))

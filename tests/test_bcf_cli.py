@@ -48,7 +48,7 @@ def test_bcf_records(spark, tmp_path):
         list(bcf.genotypes(data[:-1]))
 
 
-@pytest.mark.parametrize("name,flags", [("x.vcf", []), ("x.bcf", ["-z", "-P"])])
+@pytest.mark.parametrize("name,flags", [("x.vcf", []), ("x.bcf", ["-z", "-P"]), ("x.vcf", ["-m"]), ("x.bcf", ["-m", "-P"])])
 def test_command_line_round_trip(spark, tmp_path, name, flags):
     (tmp_path / name).write_bytes(as_bcf() if name.endswith("bcf") else as_vcf().encode())
     stored, text = str(tmp_path / "archive"), str(tmp_path / "text")
