@@ -8,11 +8,14 @@ to it are dropped, and so are slots that by their element or by their class, id
 forms or comments, which vary too. What is left of the article (else of the main element, else of the container with the most
 paragraph text) is written block by block.
 
+Copies of one page count once. A page that shares half of the text of its article or main element with the pivot is a near copy of it:
+it says nothing about what lies in that element or holds it, and where the template would leave nothing of it, it doesn't hold there.
+
 Counts are sums over all pages of a host, combined before the shuffle, so a host may hold any share of the pages. Pivots and templates
 are joined by host; Spark broadcasts them where their written size is below its threshold.
 
 Defined results: null and empty html give the empty text; a null URL or one without ``://`` is of the host with the empty name; a host with fewer
-than ``MIN_PAGES`` pages has no template; unclosed and stray tags are repaired; repeated rows and ids give one row each; an empty table gives an
+than ``MIN_PAGES`` distinct pages has no template; unclosed and stray tags are repaired; repeated rows and ids give one row each; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -24,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.common import cut, table
@@ -32,6 +35,10 @@ from hapframe.llm.tokens import bounded_batches
 from hapframe.llm.urls import host_of
 
 MIN_PAGES, CONSTANT = 4, 0.8
+#: Share of the longer one's text in the article or main element from which two pages are near copies.
+NEAR = 0.5
+#: A page with n copies counts UNIT // n a copy; rounded, their sum is exact for 2**31 pages of a host.
+UNIT = 1 << 32
 #: Most cells of one dynamic programme; beyond it children are matched in order of their tags.
 CELLS = 250_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.DOTALL)
@@ -47,7 +54,7 @@ SIGNS = frozenset("ad ads advert adverts advertisement advertising adbox banner
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "sub", "length", "size", "kind", "shape", "at")
+    __slots__ = ("tag", "marks", "children", "sub", "length", "size", "kind", "shape", "at", "own")
 
     def __init__(self, tag: str, marks: str = ""):
         self.tag, self.marks, self.children = tag, marks, []
@@ -63,6 +70,7 @@ class Node:
                 continue
             own = " ".join("".join(c if isinstance(c, str) else " " for c in node.children).split())
             inner = node.nodes()
+            node.own = own
             node.kind = (node.tag, node.marks)
             node.sub = hash((own, *(c.sub for c in inner)))
             node.length = len(own) + sum(c.length for c in inner)
@@ -198,6 +206,36 @@ def numbered(source: str) -> Node:
     return root
 
 
+def is_main(x: Node) -> bool:
+    return x.tag == "main" or (" main " in f" {x.marks} " and x.tag not in ("html", "body"))
+
+
+def held(root: Node) -> tuple[set[int], set[int]]:
+    """id() of the nodes in article elements, without any in main elements; and of those and all that hold one."""
+    inside, around = set(), set()
+    article = any(x.tag == "article" for x in root.walk())
+    stack: list = [(root, False, ())]
+    while stack:
+        x, within, above = stack.pop()
+        if not within and (x.tag == "article" if article else is_main(x)):
+            within, up = True, above
+            while up and id(up[0]) not in around:
+                around.add(id(up[0]))
+                up = up[1]
+        if within:
+            inside.add(id(x))
+        stack += [(c, within, (x, above)) for c in x.nodes()]
+    return inside, inside | around
+
+
+def near_copy(pairs: list[tuple[Node, Node]], page: Node, inside: set[int]) -> bool:
+    """Whether a page and the pivot share most of the text of their article and main elements; ``inside`` holds id() of the pivot's nodes in them."""
+    there = held(page)[0]
+    shared = sum(len(x.own) for x, y in pairs if id(y) in inside and x.own == y.own)
+    whole = sum(len(y.own) for _, y in pairs if id(y) in inside), sum(len(x.own) for x in page.walk() if id(x) in there)
+    return shared > 0 and shared >= NEAR * max(whole)
+
+
 def boilerplate(node: Node, inside: bool) -> bool:
     if node.tag in DROP or (node.tag == "header" and not inside):
         return True
@@ -261,20 +299,21 @@ def extract(source: str | None, pivot: Node | None, constant: dict[int, str]) ->
         return ""
     root = parse(source)
     template = {id(x) for x, y in match(root, pivot) if constant.get(y.at) == x.sub} if pivot is not None and constant else set()
-    return main_text(root, template)
+    text = main_text(root, template)
+    return text if text or not template else main_text(root, template - held(root)[1])
 
 
-def pivots(pages: DataFrame, html_col: str) -> DataFrame:
-    """``host, pivot, n``: the smallest page of each host."""
-    full = pages.where(F.length(html_col) > 0)
-    return full.groupBy("host").agg(F.min_by(F.col(html_col), F.struct(F.length(html_col), F.col(html_col))).alias("pivot"), F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+def pivots(pages: DataFrame, copies: DataFrame) -> DataFrame:
+    """``host, pivot, n``: the smallest page of each host of ``n`` distinct pages."""
+    least = pages.where("length(html) > 0").groupBy("host").agg(F.min_by(F.col("html"), F.struct(F.length("html"), F.col("html"))).alias("pivot"))
+    return least.join(copies.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "host").select("host", "pivot", "n")
 
 
-def templates(pages: DataFrame, of: DataFrame) -> DataFrame:
-    """``host, pivot, constant``: indices of the pivot's nodes whose text is constant. Pages are (host, html)."""
+def templates(pages: DataFrame, of: DataFrame, copies: DataFrame) -> DataFrame:
+    """``host, pivot, constant``: indices of the pivot's nodes whose text is constant. Pages are (host, html), copies (host, digest, n)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
+        trees: dict[str, tuple] = {}
         aligned, equal = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
@@ -282,33 +321,48 @@ def templates(pages: DataFrame, of: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "at": pa.array([k[1] for k in keys], pa.int64()), "aligned": pa.array([aligned[k] for k in keys], pa.int64()), "equal": pa.array([equal[k] for k in keys], pa.int64())})
 
         for batch in batches:
-            for host, source, pivot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, source, pivot, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if host not in trees:
                     if len(trees) > 1000:
                         trees.clear()
-                    trees[host] = numbered(pivot)
-                for x, y in match(parse(source), trees[host]):
-                    if y.length:
-                        aligned[host, y.at] += 1
-                        equal[host, y.at] += x.sub == y.sub
+                    root = numbered(pivot)
+                    trees[host] = root, *held(root)
+                if source == pivot:
+                    continue
+                root, inside, around = trees[host]
+                page = parse(source)
+                pairs = match(page, root)
+                near = bool(inside) and near_copy(pairs, page, inside)
+                for x, y in pairs:
+                    if y.length and not (near and id(y) in around):
+                        aligned[host, y.at] += weight
+                        equal[host, y.at] += weight * (x.sub == y.sub)
             if len(aligned) > 200_000:
                 yield out()
                 aligned.clear()
                 equal.clear()
         yield out()
 
-    counted = pages.where("length(html) > 0").join(of.select("host", "pivot"), "host").select("host", "html", "pivot").mapInArrow(count, "host string, at long, aligned long, equal long")
-    # The pivot itself is one of the pages that are equal everywhere.
-    same = counted.groupBy("host", "at").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where(F.col("equal") - 1 >= CONSTANT * (F.col("aligned") - 1)).where(F.col("aligned") >= MIN_PAGES)
+    repeated = copies.where("n > 1").select("host", "digest", F.floor(F.lit(UNIT) / F.col("n")).alias("weight"))
+    weighed = pages.where("length(html) > 0").withColumn("digest", digest()).join(repeated, ["host", "digest"], "left").join(of.select("host", "pivot"), "host")
+    counted = weighed.select("host", "html", "pivot", F.coalesce("weight", F.lit(UNIT)).alias("weight")).mapInArrow(count, "host string, at long, aligned long, equal long")
+    pages_of = [F.round(F.sum(c) / UNIT).alias(c) for c in ("aligned", "equal")]
+    # The pivot itself is one of the pages, and not counted.
+    same = counted.groupBy("host", "at").agg(*pages_of).where(F.col("equal") >= CONSTANT * F.col("aligned")).where(F.col("aligned") >= MIN_PAGES - 1)
     return of.select("host", "pivot").join(same.groupBy("host").agg(F.collect_list("at").alias("constant")), "host")
 
 
+def digest() -> Column:
+    return F.unhex(F.md5(F.encode("html", "UTF-8")))
+
+
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` with one row a page."""
     bounded_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    of = cut(pivots(narrow, "html"), "pivots")
-    wrapper = cut(templates(narrow.select("host", "html"), of), "templates")
+    copies = cut(narrow.where("length(html) > 0").groupBy("host", digest().alias("digest")).agg(F.count("*").alias("n")), "copies")
+    of = cut(pivots(narrow, copies), "pivots")
+    wrapper = cut(templates(narrow.select("host", "html"), of, copies), "templates")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, tuple] = {}
