@@ -44,7 +44,10 @@ CELLS = 250_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.DOTALL)
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+RAW = frozenset("template svg math".split())
+#: The content of these isn't markup: it goes up to their own end tag, which these find. In a script <!-- <script> hides one end tag.
+TEXT = {tag: re.compile(rf"<(/){tag}(?=[\s/>])", re.IGNORECASE) for tag in "style noscript textarea title iframe".split()}
+TEXT["script"] = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.IGNORECASE)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of these ends an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -88,40 +91,66 @@ class Node:
             stack += reversed(node.nodes())
 
 
+def text_end(source: str, at: int, tag: str) -> int | None:
+    """Where the end tag of a TEXT element begins whose content begins at ``at``; None if it has none."""
+    hidden = inner = False  # of scripts: after <!--, and there after <script
+    while m := TEXT[tag].search(source, at):
+        at = m.end()
+        if m[0] == "<!--":
+            hidden, at = True, at - 2  # <!--> is a whole one
+        elif m[0] == "-->":
+            hidden = inner = False
+        elif not m[1]:
+            inner = hidden
+        elif inner:
+            inner = False
+        else:
+            return m.start() if source.find(">", at) >= 0 else None
+    return None
+
+
 def parse(source: str) -> Node:
     root = Node("#")
-    stack, raw = [root], None
-    for m in TOKEN.finditer(source):
-        whole = m[0]
-        tag = (m[2] or m[5] or "").lower()
-        if raw is not None:  # nothing but its own end tag ends it
-            if tag == raw and (m[1] or m[4]):
-                raw = None
-            continue
-        if not tag:
-            if not whole.startswith(("<!", "<?")):
-                stack[-1].children.append(html.unescape(whole))
-            continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+    stack, raw, at = [root], None, 0
+    while at is not None:
+        start, at = at, None
+        for m in TOKEN.finditer(source, start):
+            whole = m[0]
+            tag = (m[2] or m[5] or "").lower()
+            if raw is not None:  # nothing but its own end tag ends it
+                if m[1] or m[4]:
+                    raw = None if tag == raw else raw
+                elif tag in TEXT and not whole.endswith("/>"):
+                    at = text_end(source, m.end(), tag)
                     break
-            continue
-        if tag in BLOCK:
-            close("p", stack)
-        for other in ENDS.get(tag, ()):
-            close(other, stack)
-        attributes = m[3] or m[6] or ""
-        node = Node(tag, " ".join((a or b or c).lower() for _, a, b, c in MARK.findall(attributes)) if attributes else "")
-        stack[-1].children.append(node)
-        if tag in VOID:
-            node.children.append(" ")
-        elif not attributes.endswith("/") or tag in BLOCK:
-            if tag in RAW:
-                raw = tag
-            elif len(stack) < 400:
-                stack.append(node)
+                continue
+            if not tag:
+                if not whole.startswith(("<!", "<?")):
+                    stack[-1].children.append(html.unescape(whole))
+                continue
+            if m[1] or m[4]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k:]
+                        break
+                continue
+            if tag in BLOCK:
+                close("p", stack)
+            for other in ENDS.get(tag, ()):
+                close(other, stack)
+            attributes = m[3] or m[6] or ""
+            node = Node(tag, " ".join((a or b or c).lower() for _, a, b, c in MARK.findall(attributes)) if attributes else "")
+            stack[-1].children.append(node)
+            if tag in VOID:
+                node.children.append(" ")
+            elif not attributes.endswith("/") or tag in BLOCK:
+                if tag in TEXT:
+                    at = text_end(source, m.end(), tag)
+                    break
+                if tag in RAW:
+                    raw = tag
+                elif len(stack) < 400:
+                    stack.append(node)
     root.finish()
     return root
 

@@ -97,6 +97,19 @@ def test_html(spark):
     assert got == [(i, f"{w} text\n\nmore {w}") for i, w in enumerate("abcdef")] + [(9, ""), (9, "")]
 
 
+@pytest.mark.parametrize("content", [
+    "for(var i=0;i<n;i++){f(i)}", "s='<p>';t=\"it's\";if(a<b)s=\"</p>\"", "<!-- if(a<b) -->", "<!-- no end", "<!--><script>", "<!-- d.write('<script src=x></script>') -->", "a</scripts>b<c", "",
+])
+def test_html_of_scripts(content):
+    for tag in ("script", "SCRIPT", "style", "svg><script"):
+        if "<script" in content and "cript" not in tag:
+            continue
+        ends = f"</{tag.rsplit('<')[-1].swapcase()} >" + ("</svg>" if "svg" in tag else "")
+        page = f"<p>A</p><{tag}>{content}{ends}<article><p>Body text</p></article>"
+        assert html_text.extract(page, None, {}) == "Body text"
+        assert html_text.parse(page).length == len("ABody text")
+
+
 def texts_of(spark, pages):
     rows = [(i, "http://h.com/x", page) for i, page in enumerate(pages)]
     return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
