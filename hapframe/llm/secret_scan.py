@@ -2,8 +2,10 @@ r"""Secret scan: fixed patterns, and random strings by token efficiency.
 
 Base spans come from three patterns (assignments, access keys, hexadecimal runs). The method adds runs of key characters
 that a tokenizer made for text can't shorten: fewer than ``RATIO`` characters a token under a byte-level vocabulary.
-Before the test known digests and identifiers are set aside: hexadecimal digests of the usual lengths, UUIDs, numbers, runs without
-both a letter and a digit, and names made of plain words; so are runs that touch a base span.
+Before the test known digests and identifiers are set aside: hexadecimal digests of the usual lengths, UUIDs, numbers, and names made of
+plain words and short numbers. A run that is not random as a whole may be text that signs glue to a random string: of its parts between signs, sequences
+of ``LEAST`` characters or more are tested too, their parts encoded alone; those with the most tokens beyond the ratio come first. Nothing
+that touches a base span counts.
 
 Defined results: null and empty texts have no spans; repeated rows and ids give one row each; an empty table gives an empty result; other
 columns are ignored. Offsets are code points, ends exclusive.
@@ -29,12 +31,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, RATIO = 6, 20, 2.0
+LEAST = 20
 #: Hexadecimal digits of CRC64/MD5/SHA-1/SHA-224/SHA-256/SHA-384/SHA-512.
 DIGESTS = (16, 32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 #: Words with at most a short number each, joined by signs: a path, a file name, a slug.
 NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
+PART = re.compile(r"[A-Za-z0-9+]+")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -56,21 +60,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """A digest, an identifier, or nothing that mixes letters and digits."""
+    """A digest, an identifier, a name with numbers, or nothing with letters."""
     return (
-        run.isdigit() or run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run)
-        or (len(run) in DIGESTS and DIGEST.fullmatch(run) is not None) or UUID.fullmatch(run) is not None or NAME.fullmatch(run) is not None
+        not any(c.isalpha() for c in run) or (len(run) in DIGESTS and DIGEST.fullmatch(run) is not None) or UUID.fullmatch(run) is not None
+        or (any(c.isdigit() for c in run) and NAME.fullmatch(run) is not None)
     )
 
 
+def glued(run: str, free, encoding) -> Iterator[tuple[int, int]]:
+    """Spans of the random sequences of parts of a run; ``free(a, b)`` tells whether a span may be part of one."""
+    uuids = [m.span() for m in UUID.finditer(run)]
+    pieces: list[list[tuple[int, int, float]]] = [[]]
+    for m in PART.finditer(run):
+        a, b = m.span()
+        if not free(a, b) or any(s < b and a < e for s, e in uuids) or (len(m[0]) in DIGESTS and DIGEST.fullmatch(m[0]) and not m[0].isalpha()):
+            pieces.append([])
+        else:
+            pieces[-1].append((a, b, 0 if m[0].isdigit() else RATIO * len(encoding.encode_ordinary(m[0])) - (b - a)))
+    while pieces:
+        parts = pieces.pop()
+        best, total, low, i = (0.0, 0, 0), 0.0, (), 0
+        # Of each last part the best first one, by the least sum before it; low has (sum before, first part) of those far enough.
+        sums = [0.0]
+        for j, (_, end, score) in enumerate(parts):
+            total += score
+            sums.append(total)
+            while i <= j and end - parts[i][0] >= LEAST:
+                low = min(low, (sums[i], i)) if low else (sums[i], i)
+                i += 1
+            if low and total - low[0] > best[0]:
+                best = total - low[0], low[1], j
+        if best[0] > 0:
+            _, first, last = best
+            a, b = parts[first][0], parts[last][1]
+            if not known(run[a:b]):
+                yield a, b
+            pieces += [parts[:first], parts[last + 1 :]]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if known(m[0]) or any(s < b and a < e for s, _, e in taken):
-            continue
-        if b - a < RATIO * len(encoding.encode_ordinary(m[0])):
+        near = [(s, e) for s, _, e in taken if s < b and a < e]
+        if not near and not known(m[0]) and b - a < RATIO * len(encoding.encode_ordinary(m[0])):
             found.append((a, 3, b))
+        else:
+            more = glued(m[0], lambda x, y, a=a, near=near: not any(s < a + y and a + x < e for s, e in near), encoding)
+            found += sorted((a + x, 3, a + y) for x, y in more)
     return found
 
 

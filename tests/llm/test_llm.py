@@ -141,6 +141,39 @@ def test_secrets(spark):
     assert secret_scan.scan(edges(spark)).count() == len(EDGES)
 
 
+def test_secrets_glued_to_text():
+    encoding, rng = secret_scan.load_encoding(tokens.vocabulary_path(secret_scan.VOCABULARY)), random.Random(3)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    words = ["database", "connection", "string", "services", "incoming", "webhooks", "production", "v2", "2024"]
+
+    def found(text):
+        base = secret_scan.base_spans(text)
+        return base, [(a, b) for a, _, b in secret_scan.random_spans(text, base, encoding)]
+
+    for _ in range(400):
+        secret = "".join(rng.choices(letters + rng.choice([[], list("0123456789")]), k=rng.choice([20, 24, 32])))
+        sign = rng.choice("/=_-")
+        before, after = ("".join(f"{w}{sign}" for w in rng.choices(words, k=rng.randrange(5))) for _ in range(2))
+        text = f"é {before}{secret}{sign}{after} end"
+        base, spans = found(text)
+        at = 2 + len(before)
+        assert any(a <= at and at + len(secret) <= b for a, b in spans), text
+    for _ in range(300):  # the best sequence of parts, by all of them
+        parts = ["".join(rng.choices(letters, k=rng.randrange(1, 15))) if rng.random() < 0.6 else rng.choice(words) for _ in range(rng.randrange(1, 9))]
+        run, ends = "-".join(parts), []
+        for p in parts:
+            ends.append((ends[-1][1] + 1 if ends else 0, (ends[-1][1] + 1 if ends else 0) + len(p)))
+        score = [0 if p.isdigit() else 2 * len(encoding.encode_ordinary(p)) - len(p) for p in parts]
+        best = max((sum(score[i : j + 1]) for i in range(len(parts)) for j in range(i, len(parts)) if ends[j][1] - ends[i][0] >= 20), default=0)
+        got = list(secret_scan.glued(run, lambda a, b: True, encoding))
+        sums = [sum(x for (a, b), x in zip(ends, score) if s <= a and b <= e) for s, e in got]
+        assert (best > 0) == bool(sums) and max(sums, default=0) == max(best, 0)
+    hexadecimal = "0123456789abcdef" * 2
+    for text in ("database_connection_string=/services/incoming/webhooks", "/users/of/incoming/production/550e8400-e29b-41d4-a716-446655440000/connection/profile/v2/settings/database", "see-also/2024/01/15/12/30/some-long-file-name", "-" * 50, "internationalization", f"file_{hexadecimal}_end"):
+        assert found(text)[1] == []
+    assert found(f"{hexadecimal}_qXv3KpL0zRt7WmB2yHc5Nd")[1] == [(33, 55)]
+
+
 def removed(rows, width=50):
     first = {}
     for doc, text in rows:
