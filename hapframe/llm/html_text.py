@@ -5,8 +5,8 @@ simple tree matching (the largest mapping that keeps order and parents, by dynam
 node with text the pages are counted in which it is aligned, and in which the text there is the same: nodes whose text is the same in nearly
 all are template, the others are slots whose content varies. A page's text comes from its slots: nodes aligned with a template node and equal
 to it are dropped, and so are slots that by their element or by their class, id or role are menus, headers, footers, sidebars, notices, adverts,
-forms or comments, which vary too. What is left of the article (else of the main element, else of the container with the most
-paragraph text) is written block by block.
+forms or comments, which vary too. What is left of all outermost article and main elements that aren't marked as comments or teasers (else of those that are; else of the
+least element that holds all paragraphs and headings, or of the page if that has less than half of its text) is written block by block.
 
 Copies of one page count once. A page that shares half of the text of its article or main element with the pivot is a near copy of it:
 it says nothing about what lies in that element or holds it, and where the template would leave nothing of it, it doesn't hold there.
@@ -53,6 +53,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl article section div main td th".split())
 DROP = frozenset("script style noscript template textarea title iframe svg math head nav footer aside form button select option dialog menu object canvas audio video".split())
+#: Elements of paragraphs and headings; other blocks count as one from LONG characters of own text.
+PARAGRAPHS, LONG = frozenset("p pre blockquote li td h1 h2 h3 h4 h5 h6".split()), 40
+TEASERS = frozenset("comment comments reply replies teaser teasers related recommended preview previews promo promoted sponsored".split())
 SIGNS = frozenset("ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments disqus consent cookie cookies gdpr notice notices footer masthead menu modal nav navbar navigation newsletter pager pagination popup promo promoted promotion related replies search share sharing sidebar signup login social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary alert header topbar".split())
 
 
@@ -239,14 +242,34 @@ def is_main(x: Node) -> bool:
     return x.tag == "main" or (" main " in f" {x.marks} " and x.tag not in ("html", "body"))
 
 
+def contents(root: Node, gone) -> list[Node]:
+    """Outermost article and main elements, in order; ``gone(x, within)`` tells which nodes to pass over."""
+    outer: list[tuple[Node, bool]] = []
+    loose: list[Node] = []
+    stack = [(root, False, False)]
+    while stack:
+        x, within, under = stack.pop()
+        if gone(x, within):
+            continue
+        if x.tag in ("article", "main"):
+            if not within:
+                outer.append((x, any(sign in TEASERS for sign in re.split(r"[^a-z]+", x.marks))))
+            within = True
+        elif is_main(x) and not within and not under:
+            loose.append(x)
+            under = True
+        stack += [(c, within, under) for c in reversed(x.nodes())]
+    return [x for x, teaser in outer if not teaser] or loose or [x for x, _ in outer]
+
+
 def held(root: Node) -> tuple[set[int], set[int]]:
-    """id() of the nodes in article elements, without any in main elements; and of those and all that hold one."""
+    """id() of the nodes in article and main elements that are content; and of those and all that hold one."""
+    tops = {id(x) for x in contents(root, boilerplate)}
     inside, around = set(), set()
-    article = any(x.tag == "article" for x in root.walk())
     stack: list = [(root, False, ())]
     while stack:
         x, within, above = stack.pop()
-        if not within and (x.tag == "article" if article else is_main(x)):
+        if not within and id(x) in tops:
             within, up = True, above
             while up and id(up[0]) not in around:
                 around.add(id(up[0]))
@@ -271,32 +294,32 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return bool(node.marks) and node.tag not in ("html", "body", "article", "main") and any(sign in SIGNS for sign in re.split(r"[^a-z]+", node.marks))
 
 
+def around_paragraphs(root: Node, gone) -> Node:
+    """The least node that holds all paragraphs and headings, the root if that has less than half of the text."""
+    lowest: list | None = None
+    own, stack = {}, [(root, [root])]
+    while stack:
+        x, path = stack.pop()
+        if gone(x, False):
+            continue
+        own[id(x)] = len(x.own)
+        if x.tag in PARAGRAPHS or (x.tag in BLOCK and len(x.own) >= LONG):
+            above = path if x.tag not in PARAGRAPHS else path[:-1]
+            if x.length:
+                lowest = above if lowest is None else [p for p, q in zip(lowest, above) if p is q]
+        stack += [(c, [*path, c]) for c in x.nodes()]
+    if lowest is None:
+        return root
+    return lowest[-1] if 2 * sum(own.get(id(x), 0) for x in lowest[-1].walk()) >= sum(own.values()) else root
+
+
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the content; ``template`` holds id() of the nodes to drop."""
-    def live(node: Node, inside: bool = False) -> Iterator[tuple[Node, Node]]:
-        stack = [(node, inside, node)]
-        while stack:
-            x, within, parent = stack.pop()
-            if id(x) in template or boilerplate(x, within):
-                continue
-            yield x, parent
-            stack += [(c, within or x.tag in ("article", "main"), x) for c in reversed(x.nodes())]
-
-    found = list(live(root))
-    content = None
-    for tag in ("article", "main"):
-        some = [x for x, _ in found if x.tag == tag or (tag == "main" and " main " in f" {x.marks} ")]
-        if some:
-            content = max(some, key=lambda x: x.length)
-            break
-    if content is None:
-        score: Counter = Counter()
-        holders = {}
-        for x, parent in found:
-            if x.tag in ("p", "pre", "blockquote", "li", "td"):
-                score[id(parent)] += x.length
-                holders[id(parent)] = parent
-        content = holders[score.most_common(1)[0][0]] if score and score.most_common(1)[0][1] >= 0.5 * root.length else root
+    def gone(x: Node, within: bool) -> bool:
+        return id(x) in template or boilerplate(x, within)
+
+    content = contents(root, gone) or [around_paragraphs(root, gone)]
+    chosen = {id(x) for x in content}
     blocks, now = [], []
 
     def flush() -> None:
@@ -305,16 +328,14 @@ def main_text(root: Node, template: set[int]) -> str:
             blocks.append(text)
         now.clear()
 
-    stack: list = [content]
-    first = True
+    stack: list = content[::-1]
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             now.append(x)
-        elif first or not (id(x) in template or boilerplate(x, True)):
-            first = False
+        elif id(x) in chosen or not gone(x, True):
             if x.tag in BLOCK or x.tag == "#":
                 flush()
                 stack.append(None)

@@ -110,6 +110,20 @@ def test_html_of_scripts(content):
         assert html_text.parse(page).length == len("ABody text")
 
 
+@pytest.mark.parametrize("body,text", [
+    ("<article><p>one</p></article><div>x</div><article><p>two is longer</p></article>", "one|two is longer"),
+    ("<article><p>one</p></article><article class='post teaser'><p>a longer teaser</p></article><article class=comment><p>no</p></article>", "one"),
+    ("<article class=teaser><p>a</p></article><article class=teaser><p>b</p></article>", "a|b"),
+    ("<main><h1>T</h1><article><p>one</p></article><article><p>two</p></article></main><main><p>three</p></main>", "T|one|two|three"),
+    ("<div class='main wide'><p>one</p></div><div>no</div><div role=main><p>two</p></div>", "one|two"),
+    (f"<h1>T</h1><section><p>{'a' * 60}</p></section><section><p>{'b' * 40}</p></section>", f"T|{'a' * 60}|{'b' * 40}"),
+    (f"<div><h2>T</h2><div><p>{'a' * 60}</p><p>b</p></div></div><span>out</span>", f"T|{'a' * 60}|b"),
+    ("<nav><p>m</p></nav><div><p>one</p></div>", "one"),
+])
+def test_html_of_several_containers(body, text):
+    assert html_text.extract(f"<body>{body}</body>", None, {}) == text.replace("|", "\n\n")
+
+
 def texts_of(spark, pages):
     rows = [(i, "http://h.com/x", page) for i, page in enumerate(pages)]
     return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
