@@ -5,7 +5,8 @@ simple tree matching (the largest mapping that keeps order and parents, by dynam
 node with text the pages are counted in which it is aligned, and in which the text there is the same: nodes whose text is the same in nearly
 all are template, the others are slots whose content varies. A page's text comes from its slots: nodes aligned with a template node and equal
 to it are dropped, and so are slots that by their element or by their class, id or role are menus, headers, footers, sidebars, notices, adverts,
-forms or comments, which vary too. What is left of all outermost article and main elements that aren't marked as comments or teasers (else of those that are; else of the
+forms or comments, which vary too. A class, id or role tells by its last part that isn't a word of layout, as ``ad`` in ``ad-box``;
+what holds the article or most of the paragraphs is never dropped for such a sign. What is left of all outermost article and main elements that aren't marked as comments or teasers (else of those that are; else of the
 least element that holds all paragraphs and headings, or of the page if that has less than half of its text) is written block by block.
 
 Copies of one page count once. A page that shares half of the text of its article or main element with the pivot is a near copy of it:
@@ -25,6 +26,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +57,10 @@ SCOPE = frozenset("html body table ul ol dl article section div main td th".spli
 DROP = frozenset("script style noscript template textarea title iframe svg math head nav footer aside form button select option dialog menu object canvas audio video".split())
 #: Elements of paragraphs and headings; other blocks count as one from LONG characters of own text.
 PARAGRAPHS, LONG = frozenset("p pre blockquote li td h1 h2 h3 h4 h5 h6".split()), 40
+#: Words after a sign that leave it one.
+LAYOUT = frozenset("area bar block box button buttons card container content count cta form grid group holder icon icons inner item items label left link links list main nav outer panel placeholder right root row section slot title top bottom unit wrap wrapper".split())
 TEASERS = frozenset("comment comments reply replies teaser teasers related recommended preview previews promo promoted sponsored".split())
+COMMENTS = frozenset("comment comments disqus replies".split())
 SIGNS = frozenset("ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments disqus consent cookie cookies gdpr notice notices footer masthead menu modal nav navbar navigation newsletter pager pagination popup promo promoted promotion related replies search share sharing sidebar signup login social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary alert header topbar".split())
 
 
@@ -253,7 +258,7 @@ def contents(root: Node, gone) -> list[Node]:
             continue
         if x.tag in ("article", "main"):
             if not within:
-                outer.append((x, any(sign in TEASERS for sign in re.split(r"[^a-z]+", x.marks))))
+                outer.append((x, signs(x.marks, TEASERS)[0]))
             within = True
         elif is_main(x) and not within and not under:
             loose.append(x)
@@ -264,7 +269,8 @@ def contents(root: Node, gone) -> list[Node]:
 
 def held(root: Node) -> tuple[set[int], set[int]]:
     """id() of the nodes in article and main elements that are content; and of those and all that hold one."""
-    tops = {id(x) for x in contents(root, boilerplate)}
+    kept = spared(root)
+    tops = {id(x) for x in contents(root, lambda x, within: boilerplate(x, within) and id(x) not in kept)}
     inside, around = set(), set()
     stack: list = [(root, False, ())]
     while stack:
@@ -288,10 +294,65 @@ def near_copy(pairs: list[tuple[Node, Node]], page: Node, inside: set[int]) -> b
     return shared > 0 and shared >= NEAR * max(whole)
 
 
+@lru_cache(100_000)
+def signs(marks: str, of: frozenset[str] = SIGNS) -> tuple[bool, bool]:
+    """Whether a class, id or role is a sign, and whether one is no more than that."""
+    some = whole = False
+    for token in marks.split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        whole |= len(parts) == 1 and parts[0] in of
+        while len(parts) > 1 and parts[-1] in LAYOUT and parts[-1] not in of:
+            parts.pop()
+        some |= bool(parts) and parts[-1] in of
+    return some, whole
+
+
 def boilerplate(node: Node, inside: bool) -> bool:
     if node.tag in DROP or (node.tag == "header" and not inside):
         return True
-    return bool(node.marks) and node.tag not in ("html", "body", "article", "main") and any(sign in SIGNS for sign in re.split(r"[^a-z]+", node.marks))
+    if node.tag in ("article", "main"):
+        return inside and node.tag == "article" and signs(node.marks, TEASERS)[0]
+    return bool(node.marks) and node.tag not in ("html", "body") and signs(node.marks)[0]
+
+
+def spared(root: Node) -> set[int]:
+    """id() of the elements that look like boilerplate but hold the article or main element, or most of the text and of its paragraphs."""
+    paths: list[tuple[Node, ...]] = []  # of boilerplate, around each article or main element
+    free: list[Node] = []
+    looks: list[Node] = []
+    stack: list = [(root, False, ())]
+    while stack:
+        x, within, path = stack.pop()
+        if boilerplate(x, within):
+            looks.append(x)
+            path = (*path, x)
+        elif x.tag in ("article", "main") and not signs(x.marks, TEASERS)[0]:
+            paths.append(path)
+            free.append(x)
+        within = within or x.tag in ("article", "main")
+        stack += [(c, within, path) for c in x.nodes()]
+    if not looks:
+        return set()
+    if paths:  # teasers lie in an aside or the like while another is free; a layout's class says nothing
+        plain = [p for p in paths if not any(x.tag in DROP or x.tag == "header" or signs(x.marks)[1] for x in p)]
+        kept = {id(x) for p in plain or [p for p in paths if len(p) == min(map(len, paths))] for x in p}
+        teasers = [x for x in looks if x.tag == "article"]
+        if all(x.tag == "main" for x in free) and 2 * sum(x.length for x in teasers) > sum(x.length for x in free):  # a page that lists them
+            kept |= {id(x) for x in teasers}
+        return kept
+
+    def of_paragraphs(top: Node) -> int:
+        total, todo = 0, [top]
+        while todo:
+            x = todo.pop()
+            if x.tag in ("p", "pre", "blockquote"):
+                total += x.length
+            else:
+                todo += x.nodes()
+        return total
+
+    most = of_paragraphs(root)
+    return {id(x) for x in looks if 2 * x.length > root.length and 2 * of_paragraphs(x) > most and not signs(x.marks, COMMENTS)[0]}
 
 
 def around_paragraphs(root: Node, gone) -> Node:
@@ -315,8 +376,10 @@ def around_paragraphs(root: Node, gone) -> Node:
 
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the content; ``template`` holds id() of the nodes to drop."""
+    kept = spared(root)
+
     def gone(x: Node, within: bool) -> bool:
-        return id(x) in template or boilerplate(x, within)
+        return id(x) in template or (boilerplate(x, within) and id(x) not in kept)
 
     content = contents(root, gone) or [around_paragraphs(root, gone)]
     chosen = {id(x) for x in content}

@@ -124,6 +124,26 @@ def test_html_of_several_containers(body, text):
     assert html_text.extract(f"<body>{body}</body>", None, {}) == text.replace("|", "\n\n")
 
 
+ARTICLE = "<article><h1>T</h1><p>one</p></article>"
+
+
+@pytest.mark.parametrize("body,text", [
+    (f"<div class='layout with-sidebar'>{ARTICLE}<div class=sidebar><p>no</p></div></div>", "T|one"),
+    (f"<div id=search-page>{ARTICLE}</div><div id=search-box>no</div>", "T|one"),
+    (f"<form action=x>{ARTICLE}<div class=ad-slot-1>no</div></form>", "T|one"),
+    (f"<div class=sidebar><form>{ARTICLE}</form></div>", "T|one"),
+    (f"{ARTICLE}<aside><article><p>a much longer teaser</p></article></aside><div class=related><article><p>no</p></article></div>", "T|one"),
+    (f"<form><aside><article><p>teaser</p></article></aside>{ARTICLE}</form>", "T|one"),
+    ("<article><p class=share-price>one</p><article class=comment><p>no</p></article></article>", "one"),
+    ("<article><div class='nav-main x'><p>no</p></div><p>one</p><div class=comments_list><p>no</p></div></article>", "one"),
+    (f"<form><p>{'a' * 60}</p><p>b</p></form><div class=cookie-notice><p>no</p></div>", f"{'a' * 60}|b"),
+    ("<main><article class='post teaser'><p>one</p></article><article class='post teaser'><p>two</p></article></main>", "one|two"),
+    ("<div><p>one</p></div><div id=comments><p>very long comments</p></div>", "one"),
+])
+def test_html_of_wrappers(body, text):
+    assert html_text.extract(f"<body>{body}</body>", None, {}) == text.replace("|", "\n\n")
+
+
 def texts_of(spark, pages):
     rows = [(i, "http://h.com/x", page) for i, page in enumerate(pages)]
     return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
