@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are trees from one template. Each host's smallest page is its pivot; every page is aligned with it by
+Pages of one host are trees from a few templates. The smallest pages of each host's ``PIVOTS`` most frequent shapes (sets of tags and
+classes), at most one for four pages, are its pivots, merged into one tree that holds all their nodes; every page is aligned with it by
 simple tree matching (the largest mapping that keeps order and parents, by dynamic programming over children). For each pivot
 node with text the pages are counted in which it is aligned, and in which the text there is the same: nodes whose text is the same in nearly
 all are template, the others are slots whose content varies. A page's text comes from its slots: nodes aligned with a template node and equal
@@ -28,8 +29,9 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hapframe.llm.common import cut, table
@@ -41,7 +43,9 @@ MIN_PAGES, CONSTANT = 4, 0.8
 NEAR = 0.5
 #: A page with n copies counts UNIT // n a copy; rounded, their sum is exact for 2**31 pages of a host.
 UNIT = 1 << 32
-#: Most cells of one dynamic programme; beyond it children are matched in order of their tags.
+#: Most pivots of a host.
+PIVOTS = 8
+#: Most cells of one dynamic programme that is kept whole; larger ones are halved, and only keep a row.
 CELLS = 250_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.DOTALL)
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -72,13 +76,7 @@ class Node:
 
     def finish(self) -> None:
         """Of each subtree: a hash of its text, its length in text, its number of nodes and its shape; and the label that aligned nodes share."""
-        stack = [(self, False)]
-        while stack:
-            node, ready = stack.pop()
-            if not ready:
-                stack.append((node, True))
-                stack += [(c, False) for c in node.children if isinstance(c, Node)]
-                continue
+        for node in self.upwards():
             own = " ".join("".join(c if isinstance(c, str) else " " for c in node.children).split())
             inner = node.nodes()
             node.own = own
@@ -88,6 +86,23 @@ class Node:
             node.size = 1 + sum(c.size for c in inner)
             node.shape = hash((node.kind, *(c.shape for c in inner)))
 
+    def measure(self) -> None:
+        """Sizes and shapes anew, where nodes were added."""
+        for node in self.upwards():
+            inner = node.nodes()
+            node.size = 1 + sum(c.size for c in inner)
+            node.shape = hash((node.kind, *(c.shape for c in inner)))
+
+    def upwards(self) -> Iterator[Node]:
+        stack = [(self, False)]
+        while stack:
+            node, ready = stack.pop()
+            if ready:
+                yield node
+                continue
+            stack.append((node, True))
+            stack += [(c, False) for c in node.children if isinstance(c, Node)]
+
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
@@ -187,9 +202,35 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         key = (id(x), id(y))
         if key not in seen:
             xs, ys, ends = trimmed(x.nodes(), y.nodes())
-            seen[key] = 1 + sum(p.size for p, _ in ends) + programme(xs, ys)[-1][-1]
+            seen[key] = 1 + sum(p.size for p, _ in ends) + (int(last_row(xs, ys)[-1]) if len(xs) * len(ys) > CELLS else programme(xs, ys)[-1][-1])
         return seen[key]
 
+    def last_row(xs: list[Node], ys: list[Node]) -> np.ndarray:
+        """The last row of programme(); weights are those of shapes."""
+        codes: dict = {}
+        at = np.fromiter((codes.setdefault(y.shape, len(codes)) for y in ys), np.int64, len(ys))
+        first = {y.shape: y for y in reversed(ys)}
+        rows: dict = {}
+        row = np.zeros(len(ys) + 1, np.int64)
+        for x in xs:
+            if x.shape not in rows:
+                rows[x.shape] = np.fromiter((weight(x, first[c]) for c in codes), np.int64, len(codes))
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x.shape][at]))
+        return row
+
+    def halves(xs: list[Node], ys: list[Node]) -> list[tuple[list[Node], list[Node]]]:
+        """Parts whose best mappings make up a best one, none of more than CELLS."""
+        out, parts = [], [(xs, ys)]
+        while parts:
+            xs, ys = parts.pop()
+            if len(xs) * len(ys) <= CELLS or len(xs) == 1:
+                out.append((xs, ys))
+                continue
+            k = len(xs) // 2
+            j = int(np.argmax(last_row(xs[:k], ys) + last_row(xs[:k - 1 : -1], ys[::-1])[::-1]))
+            parts += [(xs[:k], ys[:j]), (xs[k:], ys[j:])]
+        return out
+
     def trimmed(xs: list[Node], ys: list[Node]) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
         """Without the equal shapes at both ends; to pair them is never worse than anything else."""
         n, low = min(len(xs), len(ys)), 0
@@ -216,31 +257,74 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         pairs.append((x, y))
         xs, ys, ends = trimmed(x.nodes(), y.nodes())
         todo += ends
-        if not xs or not ys:
-            continue
-        if len(xs) * len(ys) > CELLS:
-            left: dict = {}
-            for q in reversed(ys):
-                left.setdefault(q.kind, []).append(q)
-            todo += [(p, left[p.kind].pop()) for p in xs if left.get(p.kind)]
-            continue
-        best, i, j = programme(xs, ys), len(xs), len(ys)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((xs[i], ys[j]))
+        for xs, ys in halves(xs, ys) if len(xs) * len(ys) > CELLS else [(xs, ys)]:
+            if not xs or not ys:
+                continue
+            best, i, j = programme(xs, ys), len(xs), len(ys)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((xs[i], ys[j]))
     return pairs
 
 
-def numbered(source: str) -> Node:
-    root = parse(source)
-    for k, node in enumerate(root.walk()):
-        node.at = k
-    return root
+class Wrapper:
+    """A host's pivots in one tree. Nodes keep the text of the first pivot that has them."""
+
+    def __init__(self, sources: list[str]):
+        self.sources, self.root = frozenset(sources), None
+        self.around: set[int] = set()
+        self.texts: dict[int, list[tuple[int, str]]] = {}  # of nodes in article and main elements: (pivot, own text)
+        self.totals: list[int] = []
+        self.pages: list[Node] = []
+        for k, source in enumerate(sources):
+            page = parse(source)
+            inside, around = held(page)
+            nodes = list(page.walk())
+            same = self.merge(page)
+            self.around |= {id(same.get(id(x), x)) for x in nodes if id(x) in around}
+            own = [x for x in nodes if id(x) in inside]
+            self.totals.append(sum(len(x.own) for x in own))
+            for x in own:
+                self.texts.setdefault(id(same.get(id(x), x)), []).append((k, x.own))
+        for k, node in enumerate(self.root.walk()):
+            node.at = k
+
+    def merge(self, page: Node) -> dict[int, Node]:
+        """Adds the nodes that the tree lacks; of the others, the tree's node by id()."""
+        if self.root is None:
+            self.root = page
+            return {}
+        pairs = match(page, self.root)
+        same = {id(x): y for x, y in pairs}
+        for x, y in pairs:
+            before = None
+            for c in x.nodes():
+                if id(c) in same:
+                    before = same[id(c)]
+                else:
+                    y.children.insert(next((i + 1 for i, q in enumerate(y.children) if q is before), 0), c)
+                    before = c
+        self.root.measure()
+        self.pages.append(page)  # so that no other node gets the id() of one of its own
+        return same
+
+    def near_copy(self, pairs: list[tuple[Node, Node]], page: Node) -> bool:
+        """Whether a page and a pivot share most of the text of their article and main elements."""
+        shared: Counter = Counter()
+        for x, y in pairs:
+            for k, own in self.texts.get(id(y), ()):
+                if own == x.own:
+                    shared[k] += len(own)
+        if not any(shared.values()):
+            return False
+        inside = held(page)[0]
+        total = sum(len(x.own) for x in page.walk() if id(x) in inside)
+        return any(n > 0 and n >= NEAR * max(total, self.totals[k]) for k, n in shared.items())
 
 
 def is_main(x: Node) -> bool:
@@ -286,14 +370,6 @@ def held(root: Node) -> tuple[set[int], set[int]]:
     return inside, inside | around
 
 
-def near_copy(pairs: list[tuple[Node, Node]], page: Node, inside: set[int]) -> bool:
-    """Whether a page and the pivot share most of the text of their article and main elements; ``inside`` holds id() of the pivot's nodes in them."""
-    there = held(page)[0]
-    shared = sum(len(x.own) for x, y in pairs if id(y) in inside and x.own == y.own)
-    whole = sum(len(y.own) for _, y in pairs if id(y) in inside), sum(len(x.own) for x in page.walk() if id(x) in there)
-    return shared > 0 and shared >= NEAR * max(whole)
-
-
 @lru_cache(100_000)
 def signs(marks: str, of: frozenset[str] = SIGNS) -> tuple[bool, bool]:
     """Whether a class, id or role is a sign, and whether one is no more than that."""
@@ -416,17 +492,35 @@ def extract(source: str | None, pivot: Node | None, constant: dict[int, str]) ->
     return text if text or not template else main_text(root, template - held(root)[1])
 
 
+def shape() -> Column:
+    """Of a page, a hash of its set of tags with their classes."""
+    tags = F.regexp_extract_all("html", F.lit(r"""<([a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*?\bclass\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)"""), F.lit(1))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda x: F.regexp_replace(x, r"\s(?s:.*)\bclass", " class")))))
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, digest, n, shape, size``: n copies each."""
+    return pages.where("length(html) > 0").select("host", digest().alias("digest"), shape().alias("shape"), F.length("html").alias("size")).groupBy("host", "digest").agg(
+        F.count("*").alias("n"), F.min("shape").alias("shape"), F.min("size").alias("size"),
+    )
+
+
 def pivots(pages: DataFrame, copies: DataFrame) -> DataFrame:
-    """``host, pivot, n``: the smallest page of each host of ``n`` distinct pages."""
-    least = pages.where("length(html) > 0").groupBy("host").agg(F.min_by(F.col("html"), F.struct(F.length("html"), F.col("html"))).alias("pivot"))
-    return least.join(copies.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "host").select("host", "pivot", "n")
+    """``host, pivots``: of each host of MIN_PAGES distinct pages the least ones of its most frequent shapes, the most frequent first."""
+    shapes = copies.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.min(F.struct("size", "digest")).alias("least"))
+    ranked = shapes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "least"))).where(F.col("rank") <= PIVOTS)
+    full = copies.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    # Written out, so that Spark sees how small it is and doesn't deal out the pages.
+    wanted = cut(ranked.join(full, "host").where((F.col("rank") == 1) | (F.col("rank") * 4 <= F.col("n"))).select("host", F.col("least.digest").alias("digest"), "rank"), "wanted")
+    found = pages.where("length(html) > 0").withColumn("digest", digest()).join(wanted, ["host", "digest"]).groupBy("host", "rank").agg(F.min("html").alias("html"))
+    return found.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda x: x["html"]).alias("pivots"))
 
 
 def templates(pages: DataFrame, of: DataFrame, copies: DataFrame) -> DataFrame:
-    """``host, pivot, constant``: indices of the pivot's nodes whose text is constant. Pages are (host, html), copies (host, digest, n)."""
+    """``host, pivots, constant``: indices of the wrapper's nodes whose text is constant. Pages are (host, html), copies (host, digest, n)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple] = {}
+        trees: dict[str, Wrapper] = {}
         aligned, equal = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
@@ -434,20 +528,20 @@ def templates(pages: DataFrame, of: DataFrame, copies: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "at": pa.array([k[1] for k in keys], pa.int64()), "aligned": pa.array([aligned[k] for k in keys], pa.int64()), "equal": pa.array([equal[k] for k in keys], pa.int64())})
 
         for batch in batches:
-            for host, source, pivot, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hosts, sources, _, weights = (c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns))
+            for row, (host, source, weight) in enumerate(zip(hosts, sources, weights, strict=True)):
                 if host not in trees:
                     if len(trees) > 1000:
                         trees.clear()
-                    root = numbered(pivot)
-                    trees[host] = root, *held(root)
-                if source == pivot:
+                    trees[host] = Wrapper(batch.column(2)[row].as_py())
+                wrapper = trees[host]
+                if source in wrapper.sources:
                     continue
-                root, inside, around = trees[host]
                 page = parse(source)
-                pairs = match(page, root)
-                near = bool(inside) and near_copy(pairs, page, inside)
+                pairs = match(page, wrapper.root)
+                near = wrapper.near_copy(pairs, page)
                 for x, y in pairs:
-                    if y.length and not (near and id(y) in around):
+                    if y.length and not (near and id(y) in wrapper.around):
                         aligned[host, y.at] += weight
                         equal[host, y.at] += weight * (x.sub == y.sub)
             if len(aligned) > 200_000:
@@ -456,13 +550,13 @@ def templates(pages: DataFrame, of: DataFrame, copies: DataFrame) -> DataFrame:
                 equal.clear()
         yield out()
 
-    repeated = copies.where("n > 1").select("host", "digest", F.floor(F.lit(UNIT) / F.col("n")).alias("weight"))
-    weighed = pages.where("length(html) > 0").withColumn("digest", digest()).join(repeated, ["host", "digest"], "left").join(of.select("host", "pivot"), "host")
-    counted = weighed.select("host", "html", "pivot", F.coalesce("weight", F.lit(UNIT)).alias("weight")).mapInArrow(count, "host string, at long, aligned long, equal long")
+    repeated = cut(copies.where("n > 1").select("host", "digest", F.floor(F.lit(UNIT) / F.col("n")).alias("weight")), "repeated")
+    weighed = pages.where("length(html) > 0").withColumn("digest", digest()).join(repeated, ["host", "digest"], "left").join(of.select("host", "pivots"), "host")
+    counted = weighed.select("host", "html", "pivots", F.coalesce("weight", F.lit(UNIT)).alias("weight")).mapInArrow(count, "host string, at long, aligned long, equal long")
     pages_of = [F.round(F.sum(c) / UNIT).alias(c) for c in ("aligned", "equal")]
-    # The pivot itself is one of the pages, and not counted.
+    # Pivots are pages too, and not counted.
     same = counted.groupBy("host", "at").agg(*pages_of).where(F.col("equal") >= CONSTANT * F.col("aligned")).where(F.col("aligned") >= MIN_PAGES - 1)
-    return of.select("host", "pivot").join(same.groupBy("host").agg(F.collect_list("at").alias("constant")), "host")
+    return of.select("host", "pivots").join(same.groupBy("host").agg(F.collect_list("at").alias("constant")), "host")
 
 
 def digest() -> Column:
@@ -473,7 +567,7 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """``page_id, url, text, n_chars`` with one row a page."""
     bounded_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    copies = cut(narrow.where("length(html) > 0").groupBy("host", digest().alias("digest")).agg(F.count("*").alias("n")), "copies")
+    copies = cut(distinct_pages(narrow), "copies")
     of = cut(pivots(narrow, copies), "pivots")
     wrapper = cut(templates(narrow.select("host", "html"), of, copies), "templates")
 
@@ -481,18 +575,19 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         trees: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for host, source, pivot, constant in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                if pivot is not None and host not in trees:
+            for row, (host, source) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:4]), strict=True)):
+                if host not in trees:
                     if len(trees) > 1000:
                         trees.clear()
-                    root = numbered(pivot)
-                    wanted = set(constant)
-                    trees[host] = root, {x.at: x.sub for x in root.walk() if x.at in wanted}
-                texts.append(extract(source, *trees[host]) if pivot is not None else extract(source, None, {}))
+                    trees[host] = None, {}
+                    if batch.column(4)[row].is_valid:
+                        root, wanted = Wrapper(batch.column(4)[row].as_py()).root, set(batch.column(5)[row].as_py())
+                        trees[host] = root, {x.at: x.sub for x in root.walk() if x.at in wanted}
+                texts.append(extract(source, *trees[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     key = pages.schema[id_col].dataType.simpleString()
-    return narrow.join(wrapper, "host", "left").select("page_id", "url", "host", "html", "pivot", "constant").mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")
+    return narrow.join(wrapper, "host", "left").select("page_id", "url", "host", "html", "pivots", "constant").mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
