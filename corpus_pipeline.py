@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it; the last may be cut to its first words."""
+    """Each document as often as its source's target takes it, whole each time."""
     return mix_documents(docs)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import NOT_WS, WORD_COUNT_SQL, WS, cut, table, word_count
+from hapframe.llm.common import WORD_COUNT_SQL, cut, table, word_count
 
 WEIGHTS, MOST = (5, 2, 1), 3
 SYMBOLS = "#*$%&|<>"
@@ -108,14 +108,8 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
-def _first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    ends = F.split(text, rf"(?<={NOT_WS})(?={WS})")
-    return F.array_join(F.slice(ends, 1, F.greatest(n, F.lit(1)).cast("int")), "")
-
-
 def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents of the mix with their own columns: whole epochs as repeated rows, then the first words of a partly taken one."""
+    """The documents of the mix with their own columns: whole epochs as repeated rows; a partly taken one is taken whole from half of its words on, else not."""
     taken = cut(mix(docs, weights=weights, most=most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_of")).agg(
         F.max("taken").alias("_taken"), F.sum("taken").alias("_all"), F.count("*").alias("_n"),
     ), "taken")
@@ -123,9 +117,5 @@ def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most:
     rows = sized.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")))
     # Where ids repeat, rows of one size share what they take; the mean of theirs then holds for each.
     words = F.when(F.col("_n") == 1, F.col("_taken")).otherwise(F.round(F.col("_all") / F.col("_n"))).cast("long")
-    whole, part = F.floor(words / F.col("_size")).cast("int"), (words % F.col("_size")).cast("int")
-    parts = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = rows.withColumn("_part", F.explode(parts))
-    text = F.when(F.col("_part") < F.col("_size"), _first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))
-    n_chars = [F.when(F.col("_part") < F.col("_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")] if "n_chars" in docs.columns else []
-    return out.select(*(text.alias(c) if c == "text" else n_chars[0] if c == "n_chars" else F.col(c) for c in docs.columns))
+    times = F.floor(words / F.col("_size")) + F.when(2 * (words % F.col("_size")) >= F.col("_size"), 1).otherwise(0)
+    return rows.withColumn("_part", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)

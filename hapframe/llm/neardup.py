@@ -13,8 +13,8 @@
    1 - similarity of d, so of the nodes linked to the pivot only those near an unlinked one's distance must go on.
 
 Defined results: null and word-less texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle
-of its own length; repeated rows and ids give one row each; a null id is never a component's name while another is there and is never kept;
-an empty table gives an empty result; other columns are ignored.
+of its own length; repeated rows and ids give one row each; a null id is never a component's name while another is there; of a
+component of null ids alone one row is kept, and every word-less row with a null id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.arrow import fixed, groups, word_codes
@@ -91,9 +91,12 @@ def farthest(similarity: float, samples: int, bits: int = BITS) -> int:
 
 
 def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, odd``; the last three are null for an empty set."""
+    """``doc_id, n_shingles, node, bands, odd, row, key``; node, bands and odd are null for an empty set.
+
+    Where the id is null, ``row`` tells the rows apart and ``key`` finds their text again; else they are null.
+    """
     bounded_batches(docs.sparkSession)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, odd binary"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, odd binary, row long, key string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -112,10 +115,16 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int,
                     banded = mix64(banded + np.arange(bands, dtype=np.uint64), rows).view(np.int64)
                     for i, k, o in zip(full, banded, odd_sketches(samples), strict=True):
                         node[i], keys[i], odd[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), k, o.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "n_shingles", "node", "bands", "odd", "row", "key"])
         release()
 
-    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "sketches")
+    none = F.col(id_col).isNull()
+    keys = F.when(none, F.monotonically_increasing_id()).alias("row"), F.when(none, text_key(F.col(text_col))).alias("key")
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keys).mapInArrow(run, schema), "sketches")
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
 class Forest:
@@ -237,6 +246,10 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
     """``a, b``: spanning forest of all links inside the candidate groups, on full sets."""
     wanted = nodes.select("node", "rep").join(roots, "node")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "rep").select("node", "root", "text")
+    nameless = cut(nodes.where("rep IS NULL").select("node", F.col("alone.key").alias("key")).join(roots, "node"), "nameless")
+    if not nameless.isEmpty():
+        found = docs.where(F.col(id_col).isNull()).select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+        texts = texts.union(found.join(nameless, "key").select("node", "root", "text"))
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -265,27 +278,44 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
     return edges
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``; documents link at 100 * |intersection| >= percent * |union|."""
+def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, key``."""
     sketches = sketch(docs, width, id_col, text_col, bands, rows)
-    nodes = cut(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")
+    nodes = cut(sketches.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(F.when(F.col("row").isNotNull(), F.struct("row", "key"))).alias("alone"),
+    ), "nodes")
     roots = components(candidate_edges(nodes, percent / 100, bands * rows))
     linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most))
-    named = nodes.select("node", "rep").join(linked, "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    of_node = nodes.select("node", "rep").join(named.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("of_node"))
+    named = nodes.select("node", "rep", "alone.row").join(linked, "node")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.min("row").alias("least_row"))
+    of_node = nodes.select("node", "rep", "alone.row").join(named.join(least, "root").select("node", "least", "least_row"), "node", "left").select(
+        "node", F.coalesce("least", "rep").alias("of_node"), F.coalesce("least_row", "row").alias("of_row"),
+    )
     component = F.coalesce("of_node", "doc_id")
-    return sketches.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    alone = component.isNull() & (F.col("node").isNull() | (F.col("row") == F.col("of_row")))
+    return sketches.select("doc_id", "n_shingles", "node", "row", "key").join(of_node, "node", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce((F.col("doc_id") == component) | alone, F.lit(False)).alias("kept"), "key",
     )
 
 
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``; documents link at 100 * |intersection| >= percent * |union|."""
+    return decided(docs, width=width, percent=percent, id_col=id_col, text_col=text_col, bands=bands, rows=rows, most=most).drop("key")
+
+
 def keep_one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their component, with their own columns; whole repeated rows are reduced to one."""
-    kept = near_duplicates(docs, width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """The documents that name their component, with their own columns; whole repeated rows are reduced to one. Of components of null ids, one."""
+    kept = decided(docs, width=width, percent=percent).where("kept").groupBy("doc_id", "key", (F.col("n_shingles") == 0).alias("empty")).agg(F.count("*").alias("n"))
     kept = cut(kept, "kept")
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates()
+    named = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    out = docs.join(named.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    out = out if named.where("n > 1").isEmpty() else out.dropDuplicates()
+    nameless = kept.where("doc_id IS NULL").select(F.col("key").alias("_key"), "empty")
+    if nameless.isEmpty():
+        return out
+    found = docs.where("doc_id IS NULL").withColumn("_key", text_key(F.col("text")))
+    full = found.join(nameless.where("NOT empty"), "_key", "left_semi").dropDuplicates(["_key"])
+    return out.union(full.select(docs.columns)).union(found.join(nameless.where("empty"), "_key", "left_semi").select(docs.columns))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

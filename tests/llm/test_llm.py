@@ -293,6 +293,47 @@ def test_near_duplicates_are_those_of_brute_force(spark, percent, most):
     assert sorted(map(tuple, neardup.near_duplicates(docs, width=3, percent=percent, most=most).collect())) == groups(documents(spark), 3, percent)
 
 
+def test_near_duplicates_of_null_ids(spark):
+    a = [f"w{i}" for i in range(40)]
+    near, far = " ".join(["y", *a[1:]]), " ".join(["y", *a[1:-1], "z"])
+    rows = [(4, " ".join(a)), (None, near), (3, far), (None, "one two three four five six"), (None, "One two three four five six"), (None, "one two three four five six"), (None, "alone a b c d e"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, percent=90).collect()
+    assert {r.component_id for r in got if r.doc_id} == {3} and sum(r.component_id == 3 for r in got) == 3
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in got if r.kept) == [(0, 0), (0, 0), (0, 2), (0, 2), (3, 36)]
+    kept = [tuple(r) for r in neardup.keep_one_of_each(docs, percent=90).collect()]
+    assert len(kept) == 5 and {(d, (t or "").lower()) for d, t in kept} == {(3, far), (None, rows[3][1]), (None, "alone a b c d e"), (None, "")}
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark, oracle):
+    from collections import Counter
+
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), corpus_pipeline.table(spark, SF, "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    names = docs.columns
+
+    def after(name, of):
+        return corpus_pipeline.cut(stages[name](spark, of, SF), name)
+
+    def ids(frame):
+        return sorted(r.doc_id for r in frame.select("doc_id").collect())
+
+    least = groups(rows, 5, 80)
+    assert ids(after("near_duplicates", docs)) == sorted(doc for doc, _, _, kept in least if kept)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not [d for d, t in rows if any(x in t for x in items) and d in set(ids(after("decontamination", docs)))]
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.taken // r.size + (2 * (r.taken % r.size) >= r.size) if r.size else 0
+    mixed = after("source_mix", docs)
+    assert Counter(ids(mixed)) == +want
+    texts = dict(rows)
+    assert all(r.text == texts[r.doc_id] for r in mixed.collect())
+    assert after("token_shards", mixed).count() == mixed.count() and mixed.columns == names
+
+
 def test_classifier_on_labels(spark):
     got = QUERIES["op8_quality_classifier"](spark, "/root/testdata/sf0.01").select("doc_id", "kept")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(got, "doc_id")
