@@ -1,19 +1,24 @@
-"""Removal of byte strings that an earlier document has.
+"""Removal of byte strings that an earlier document has, by run-length indexes and matching statistics.
 
-A byte goes if it lies in a ``width``-byte string that also starts in a document with a smaller id. No string is sampled away and
-nothing is held in one place:
+A byte goes if it lies in a ``width``-byte string that also starts in a document with a smaller id. A string's first copy may lie in any document,
+so an index of some documents would have to meet all others. The text is dealt by content instead, and every shard's index holds all
+that can match there:
 
-1. Minimizers. Of the 20-byte strings inside a ``width``-byte window the one with the least hash names the window, so equal windows have
-   equal names at equal offsets. Only minimizers travel (about one in 16 bytes), as packed arrays by bucket of their hash, each with a hash of
-   all bytes that its windows cover. Where those are equal all but the least document's are covered whole: first inside
-   a batch, so that what many documents share travels once a batch, then inside a bucket.
-2. Minimizers that meet different surroundings stand at the ends of repeats. They go back to their documents, which send the bytes around each of them.
-3. In a bucket equal surroundings fall together first: all but the least document's are covered whole. The windows of
-   the rest are sorted by a 64-bit fingerprint, and those of all but the least document of each class are marked.
-4. Marks meet their document, where they are united; the hash of what remains is taken.
+1. Documents are packed into chunks of about ``CHUNK`` bytes, which are written out.
+2. Of the 20-byte strings inside a ``width``-byte string the one with the least hash (the last of equal ones) is its anchor, so equal strings have equal
+   anchors at equal places. Neighbouring strings with one anchor make up a segment. Shards are hash ranges of anchors. First only the anchors'
+   hashes travel, once a chunk, to find those that two documents have; of these the segments travel, once a chunk however many documents of it have them.
+3. A shard's run-length index (``run_index``) holds the segments that some later document could have; those that some earlier document could have
+   stream their matching statistics over it. Where a match is ``width`` long, the index tells the least document of the string.
+4. The answers return to their chunks, where every document marks the strings whose least document is smaller than its own. Marks are united there.
+
+Segments are compared by their bytes. Hashes only bring them together: a false meeting costs work alone. A shard is taken in ``PARTS`` parts, one at a
+time. A segment of which a third of all documents have copies travels once a chunk. An anchor with more than ``hot`` occurrences may stand between very
+many different bytes: its strings are dealt each by its own hash instead, so that none of its shards holds more than equal strings.
 
 Defined results: null and empty texts and those shorter than ``width`` lose nothing; documents with equal ids are not earlier than each other, each row
-gets its own result; a row with a null id is neither earlier nor later than any; an empty table gives an empty result; other columns are ignored.
+gets its own result; a row with a null id is neither earlier nor later than any; ids of any type that has an order will do; a text of any length
+is one chunk at least; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,305 +28,455 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from hapframe.llm.common import cut, release, table
+from hapframe.llm.run_index import GRAM, RunIndex, starts_of
 from hapframe.llm.tokens import bounded_batches, mix64
 
-WIDTH, GRAM = 50, 20
-KEY = np.dtype([("doc", "<i8"), ("text", "<i8")])
-CHUNK = 4 << 20
-
-
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, as integers."""
-    return np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
+WIDTH = 50
+CHUNK, PARTS, HOT = 4 << 20, 16, 1 << 18
+#: Positions at once while anchors are looked for, so that the arrays stay in the cache.
+STEP = 1 << 16
+PLACE = np.uint64((1 << 31) - 1)
+NEVER = np.iinfo(np.int64).max
+MARKS = np.dtype([("segment", "<u4"), ("first", "u1"), ("n", "u1"), ("least", "<i8")])
 
 
-def slide(x: np.ndarray, n: int, least) -> np.ndarray:
-    """least (or most) of x[i:i + n] for every i with n values left."""
+def slide(x: np.ndarray, n: int) -> np.ndarray:
+    """least of x[i:i + n] for every i with n values left."""
     size = 1
     while 2 * size <= n:
-        x = least(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    return least(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    x = words_at(data)
-    n = len(data) - GRAM + 1
-    return mix64(mix64(x[:n], 1) ^ (x[8 : n + 8] * np.uint64(0x9E3779B97F4A7C15)) ^ mix64(x[12 : n + 12], 2), 3)
+def gram_hashes(data: bytes, n: int) -> np.ndarray:
+    """Of the GRAM bytes from each of the first ``n`` positions on."""
+    x = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h = x[:n] * np.uint64(0x9E3779B97F4A7C15) + x[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + x[12 : n + 12] * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0x94D049BB133111EB)
 
 
-def minimizers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every minimizer of the windows inside each text; texts follow one another in ``data``."""
-    if len(data) < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h, span = gram_hashes(data) | np.uint64(1), width - GRAM + 1
-    low = slide(h, span, np.minimum)
-    inside = np.zeros(len(low) + 1, np.int32)
+def segments(data: bytes, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, number of strings, anchor, anchor's hash) of the segments of texts that follow one another in ``data``."""
+    span, found = width - GRAM + 1, []
+    inside = np.zeros(len(data) + 2, np.int8)
     real = sizes >= width
-    np.add.at(inside, starts[real], 1)
-    np.add.at(inside, (starts + sizes - width + 1)[real], -1)
-    low[np.cumsum(inside[:-1]) == 0] = 0  # windows across texts
-    padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-    at = np.flatnonzero(slide(padded, span, np.maximum)[: len(h)] == h)
-    return at, h[at]
+    inside[starts[real]] += 1
+    inside[(starts + sizes - width + 1)[real]] -= 1
+    for a in range(0, len(data) - width + 1, STEP):
+        n = min(STEP, len(data) - width + 1 - a)
+        piece = data[a : a + n + width - 1]
+        h = gram_hashes(piece, len(piece) - GRAM + 1)
+        low = slide((h & ~PLACE) | (PLACE - np.arange(a, a + len(h), dtype=np.uint64)), span)
+        at = (PLACE - (low & PLACE)).astype(np.int64)
+        change = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        found.append((change + a, at[change], h[at[change] - a]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    first, at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    # Cut at the ends of texts too, and leave out what crosses them.
+    ends = np.cumsum(inside[: len(data)], dtype=np.int8)
+    borders = np.flatnonzero(np.diff(ends, prepend=0))
+    borders = borders[borders < len(data) - width + 1]
+    where = np.searchsorted(first, borders, side="right") - 1
+    first, at, h = np.concatenate([first, borders]), np.concatenate([at, at[where]]), np.concatenate([h, h[where]])
+    order = np.argsort(first, kind="stable")
+    first, at, h = first[order], at[order], h[order]
+    n = np.diff(np.append(first, max(len(data) - width + 1, 0)))
+    keep = (n > 0) & (ends[np.minimum(first, len(data) - 1)] > 0)
+    first, at, h, n = first[keep], at[keep], h[keep], n[keep]
+    joined = np.flatnonzero((at[1:] == at[:-1]) & (first[1:] == first[:-1] + n[:-1])) + 1  # pieces of one
+    lead = np.ones(len(at), bool)
+    lead[joined] = False
+    lead = np.flatnonzero(lead)
+    return first[lead], np.add.reduceat(n, lead) if len(lead) else n, at[lead], h[lead]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their lengths and types."""
+    kinds = [a.dtype.str.encode().ljust(8) if a.dtype.names is None else b"marks   " for a in arrays]
+    return len(arrays).to_bytes(8, "little") + b"".join(k + len(a).to_bytes(8, "little") for k, a in zip(kinds, arrays, strict=True)) + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n, out = int.from_bytes(data[:8], "little"), []
+    at = 8 + 16 * n
+    for k in range(n):
+        kind, size = data[8 + 16 * k : 16 + 16 * k].strip(), int.from_bytes(data[16 + 16 * k : 24 + 16 * k], "little")
+        kind = MARKS if kind == b"marks" else np.dtype(kind.decode())
+        out.append(np.frombuffer(data, kind, size, at))
+        at += size * kind.itemsize
+    return out
 
 
-def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' bytes one after another, with starts and sizes."""
-    raw = [b"" if t is None else t.encode() for t in texts.to_pylist()]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
+def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integers as a base and differences of as few bytes as they need."""
+    base = x.min() if len(x) else 0
+    rest = x - base
+    top = int(rest.max()) if len(x) else 0
+    return np.array([base], np.int64), rest.astype("<u4" if top < 1 << 32 else "<i8")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most about CHUNK bytes of text."""
-    for batch in batches:
-        sizes = np.cumsum([0 if t is None else len(t) for t in batch.column(column).to_pylist()])
-        cuts = [0, *(np.flatnonzero(np.diff(sizes // CHUNK)) + 1), batch.num_rows]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+def of_rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.values())], list(schema))
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays of known types one after another; lengths first."""
-    return np.array([len(a) for a in arrays.values()], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays.values())
+RECORD = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary()}
+RECORD_DDL = "bucket long, chunk long, data binary"
 
 
-def unpack(data: bytes, *types) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(data, "<i8", len(types)), 8 * len(types), []
-    for n, kind in zip(sizes, types, strict=True):
-        out.append(np.frombuffer(data, kind, int(n), at))
-        at += int(n) * np.dtype(kind).itemsize
-    return out
+class Chunk:
+    """Documents of one chunk: bytes, starts, sizes and ranks (NEVER where the id is null)."""
 
+    def __init__(self, data: bytes, sizes: bytes, ranks: bytes):
+        self.data, self.sizes, self.ranks = data, np.frombuffer(sizes, "<i8"), np.frombuffer(ranks, "<i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-def by_key(doc: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc, text, values) of each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((doc["text"], doc["doc"]))
-    doc, values = doc[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-        yield int(doc["doc"][a]), int(doc["text"][a]), values[a:b].tobytes()
+    def segments(self, width: int) -> tuple[np.ndarray, ...]:
+        """As ``segments``, of documents with an id, and each one's document."""
+        first, n, at, h = segments(self.data, self.starts, np.where(self.ranks == NEVER, 0, self.sizes), width)
+        real = np.flatnonzero(self.sizes)  # empty ones share their start with the next
+        return first, n, at, h, real[np.searchsorted(self.starts[real], first, side="right") - 1]
 
 
-def _rows(found: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    found = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc", "text", "data"])
+def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``chunk, ids, data, sizes, ranks``: documents packed, ids as they are and as ranks in their order."""
+    kind, ids = docs.schema[id_col].dataType, F.col(f"`{id_col}`")
+    narrow = docs.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if isinstance(kind, IntegralType):
+        ranked = narrow.withColumn("rank", F.col("id").cast("long"))
+    else:  # numbers of a sorted frame rise with it; written out, so that no task gives others
+        ranks = cut(narrow.where("id IS NOT NULL").select("id").distinct().sort("id").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+        ranked = narrow.join(ranks, "id", "left").select("id", "text", "rank")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
 
-def _new(*columns: np.ndarray) -> np.ndarray:
-    """Where sorted rows start another value."""
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
+        def out() -> pa.RecordBatch:
+            nonlocal number, n
+            ids = pa.concat_arrays([h[0] for h in held])
+            raw = [x for h in held for x in h[1]]
+            ranks = np.concatenate([h[2] for h in held])
+            number, n = number + 1, 0
+            held.clear()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([b"".join(raw)], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "ids", "data", "sizes", "ranks"])
+
+        for batch in batches:
+            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
+            ranks = batch.column(2).fill_null(NEVER).to_numpy()
+            a = 0
+            for b, text in enumerate(texts, 1):
+                n += len(text) + 64
+                if n >= size or b == len(texts):
+                    held.append((batch.column(0).slice(a, b - a), texts[a:b], ranks[a:b]))
+                    a = b
+                    if n >= size:
+                        yield out()
+        if held:
+            yield out()
+        release()
 
+    return cut(ranked.mapInArrow(run, f"chunk long, ids array<{kind.simpleString()}>, data binary, sizes binary, ranks binary"), "chunks")
 
-def several(order: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Along ``order`` (by h): group number of each row, the least document of each group, whether a group has several."""
-    group = np.cumsum(_new(h[order])) - 1
-    first = np.flatnonzero(_new(group))
-    least = np.minimum.reduceat(doc[order], first)
-    return group, least, np.maximum.reduceat(doc[order], first) != least
 
+def spans(*keys: np.ndarray) -> Iterable[tuple[int, int]]:
+    """(first, end) of the runs of equal keys."""
+    cuts = starts_of(*keys).tolist()
+    return zip(cuts, [*cuts[1:], len(keys[0])], strict=True) if cuts else ()
 
-def settle(h: np.ndarray, around: np.ndarray, doc: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(covered, open): rows whose whole surroundings an earlier document has, and the other rows whose minimizer meets other surroundings."""
-    order = np.lexsort((doc, around, h))
-    h, around, doc = h[order], around[order], doc[order]
-    start = _new(h, around)
-    lead = np.flatnonzero(start)[np.cumsum(start) - 1]
-    later = inner[order] & (doc > doc[lead])
-    group, _, many = several(np.arange(len(h)), h, doc)
-    classes = np.bincount(group, weights=start)
-    return order[later], order[~later & many[group] & (classes[group] > 1)]
 
+def by_value(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its places) of small integers."""
+    order = np.argsort(x, kind="stable")
+    for a, b in spans(x[order]):
+        yield int(x[order[a]]), order[a:b]
 
-def shared_minimizers(docs: DataFrame, width: int, n: int) -> DataFrame:
-    """``marks, doc, text, data``: pairs (first, end) that are settled, or (marks false) positions to look at closer."""
-    side = width - GRAM
-    span = GRAM + 2 * side
 
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], ["bucket", "marks", "doc", "text", "data"])
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """(bucket, chunks, arrays of each record) of a partition that is sorted by buckets."""
+    now, numbers, found = None, [], []
+    for batch in batches:
+        for bucket, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and numbers:
+                yield now, numbers, found
+                numbers, found = [], []
+            now = bucket
+            numbers.append(number)
+            found.append(unpack(data))
+    if numbers:
+        yield now, numbers, found
+
+
+def dealt(records: DataFrame, n: int) -> DataFrame:
+    return records.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+def keys_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Bucket and 32 further bits of hashes, in one number."""
+    return ((h >> np.uint64(32)) % np.uint64(n)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+
 
-    def covered(doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
-        pairs = np.stack([pos - side, pos - side + span], axis=1).astype("<i4")
-        return [(d % n, True, d, t, united(np.frombuffer(x, "<i4").reshape(-1, 2)).astype("<i4").tobytes()) for d, t, x in by_key(doc, pairs)]
+def shared_anchors(packed: DataFrame, width: int, n: int, hot: int) -> DataFrame:
+    """``chunk, shared``: bucket, number of hot ones, and the bits of the chunk's anchors that two documents have, the hot ones first."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            data, starts, sizes = joined(batch.column(2))
-            at, h = minimizers(data, starts, sizes, width)
-            if not len(at):
-                continue
-            row = np.searchsorted(starts + sizes, at, side="right")
-            doc = np.empty(len(at), KEY)
-            doc["doc"], doc["text"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            pos = (at - starts[row]).astype("<i4")
-            # Surroundings that the text's ends clip equal no others here; they are looked at closer.
-            inner = (pos >= side) & (pos + GRAM + side <= sizes[row])
-            around = mix64(doc["doc"].view(np.uint64) ^ doc["text"].view(np.uint64), 4) + pos.astype(np.uint64)
-            x, first = words_at(data), at[inner] - side
-            seen = np.zeros(len(first), np.uint64)
-            for k in [*range(0, span - 8, 8), span - 8]:
-                seen = mix64(seen ^ x[first + k], k)
-            around[inner] = seen
-            done, _ = settle(h, around, doc["doc"], inner)
-            out = covered(doc[done], pos[done])
-            go = np.ones(len(h), bool)
-            go[done] = False
-            go = np.flatnonzero(go)
-            bucket = (h[go] >> np.uint64(20)) % np.uint64(n)
-            order = np.argsort(bucket, kind="stable")
-            go, bucket = go[order], bucket[order].astype(np.int64)
-            cuts = np.flatnonzero(_new(bucket))
-            for a, b in zip(cuts, np.append(cuts[1:], len(go)), strict=True):
-                some = go[a:b]
-                out.append((int(bucket[a]), False, 0, 0, pack(h=(mix64(h[some], 6) >> np.uint64(32)).astype("<u4"), around=around[some], doc=doc[some], pos=pos[some], inner=inner[some])))
-            yield rows(out)
+        for batch in batches:
+            for number, data, sizes, ranks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunk = Chunk(data, sizes, ranks)
+                *_, h, doc = chunk.segments(width)
+                if not len(h):
+                    continue
+                key, rank = keys_of(h, n * PARTS), chunk.ranks[doc]
+                order = np.argsort(key)
+                key, rank = key[order], rank[order]
+                at = starts_of(key)
+                count = np.diff(np.append(at, len(key)))
+                several = np.minimum.reduceat(rank, at) != np.maximum.reduceat(rank, at)
+                told = (np.minimum(count, 32767) * 2 + several).astype("<u2")
+                bucket, rest = (key[at] >> np.uint64(32)).astype(np.int64), (key[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield of_rows(RECORD, [(int(bucket[a]), number, pack(rest[a:b], told[a:b])) for a, b in spans(bucket)])
+        release()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            settled = batch.filter(batch.column(1))
-            if settled.num_rows:
-                yield settled
-            for bucket, mark, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if not mark:
-                    parts.setdefault(bucket, []).append(unpack(data, "<u4", "<u8", KEY, "<i4", "?"))
-        while parts:
-            h, around, doc, pos, inner = map(np.concatenate, zip(*parts.popitem()[1], strict=True))
-            done, open_ = settle(h, around, doc["doc"], inner)
-            yield rows(covered(doc[done], pos[done]) + [(0, False, *x) for x in by_key(doc[open_], pos[open_])])
+        for bucket, numbers, found in parts(batches):
+            rest, told = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            order = np.argsort(rest)
+            rest, told, of = rest[order], told[order], of[order]
+            at = starts_of(rest)
+            size = np.diff(np.append(at, len(rest)))
+            shared = (size > 1) | (np.maximum.reduceat(told & 1, at) > 0)
+            many = np.repeat(np.add.reduceat(told.astype(np.int64) >> 1, at) > hot, size)
+            keep = np.flatnonzero(np.repeat(shared, size))
+            rows = []
+            for k, places in by_value(of[keep]):
+                some = keep[places]
+                some = some[np.argsort(~many[some], kind="stable")]
+                rows.append((bucket, numbers[k], pack(np.array([bucket, many[some].sum()], "<u8"), rest[some])))
+            yield of_rows(RECORD, rows)
         release()
 
-    schema = "bucket long, marks boolean, doc long, text long, data binary"
-    return cut(docs.mapInArrow(send, schema).repartition(n, "bucket").mapInArrow(meet, schema).drop("bucket"), "shared")
+    sent = packed.select("chunk", "data", "sizes", "ranks").mapInArrow(send, RECORD_DDL)
+    return dealt(sent, n).mapInArrow(meet, RECORD_DDL).groupBy("chunk").agg(F.collect_list("data").alias("shared"))
+
+
+def around(data: bytes, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, side: int) -> np.ndarray:
+    """Rows of ``side`` bytes, the anchor and ``side`` bytes; zeros where the segment doesn't reach."""
+    padded = np.frombuffer(b"".join((bytes(side), data, bytes(side))), np.uint8)
+    at = np.arange(GRAM + 2 * side)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, GRAM + 2 * side)[anchor]
+    rows[(at < side - left[:, None].astype(np.int64)) | (at >= side + GRAM + right[:, None].astype(np.int64))] = 0
+    return rows
+
+
+def row_hashes(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    n = rows.shape[1] // 8 * 8
+    words, h = np.ascontiguousarray(rows[:, :n]).view("<u8"), mix64(seed.astype(np.uint64), 1)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    for k in range(n, rows.shape[1]):
+        h = (h ^ rows[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def distinct(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct segment, number of its segment for each row)."""
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 2
+    lengths = left.astype(np.int64) << 8 | right
+    h = row_hashes(rows, lengths)
+    order = np.argsort(h)
+    new = np.zeros(len(order), bool)
+    new[starts_of(h[order])] = True
+    number = np.cumsum(new) - 1
+    lead = order[new][number]
+    if (rows[lead] != rows[order]).any() or (lengths[lead] != lengths[order]).any():  # unequal segments of one hash
+        whole = np.concatenate([rows, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
+        _, one, of = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+        return one, of.ravel()
+    of = np.empty(len(order), np.int64)
+    of[order] = number
+    return order[new], of
+
+
+def bounds(of: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least of ``least`` and largest of ``most`` by number."""
+    low, high = np.full(n, NEVER), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, of, least)
+    np.maximum.at(high, of, most)
+    return low, high
+
+
+def shared_segments(packed: DataFrame, shared: DataFrame, width: int, n: int) -> DataFrame:
+    """Records of segments by bucket, and with bucket -1 the places where a chunk has them."""
+    side = width - GRAM
+
+    def known(records: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, sorted, and whether each is hot."""
+        keys, hot = [], []
+        for (bucket, n_hot), rest in map(unpack, records):
+            keys.append(bucket << np.uint64(32) | rest.astype(np.uint64))
+            hot.append(np.arange(len(rest)) < int(n_hot))
+        keys, hot = np.concatenate(keys), np.concatenate(hot)
+        order = np.argsort(keys)
+        return keys[order], hot[order]
 
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, sizes, ranks, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunk, (keys, hot) = Chunk(data, sizes, ranks), known(told)
+                first, count, anchor, h, doc = chunk.segments(width)
+                own = keys_of(h, n * PARTS)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                pick = np.flatnonzero(keys[at] == own)
+                apart = hot[at[pick]]
+                bucket = (own[pick] >> np.uint64(32)).astype(np.int64)
+                first, count, anchor, doc = first[pick], count[pick], anchor[pick], doc[pick]
+                if apart.any():
+                    many = np.where(apart, count, 1)
+                    add = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    first, anchor, doc, bucket, apart = np.repeat(first, many) + add, np.repeat(anchor, many), np.repeat(doc, many), np.repeat(bucket, many), np.repeat(apart, many)
+                    count = np.where(apart, 1, np.repeat(count, many))
+                left, right = anchor - first, first + count - 1 + width - anchor - GRAM
+                rows = around(data, anchor, left, right, side)
+                if apart.any():
+                    bucket[apart] = ((row_hashes(rows[apart], left[apart]) >> np.uint64(32)) % np.uint64(n * PARTS)).astype(np.int64)
+                one, of = distinct(rows, left, right)
+                least, most = bounds(of, chunk.ranks[doc], chunk.ranks[doc], len(one))
+                order = np.argsort(of, kind="stable")
+                out = [(-1, number, pack(*(x[order].astype("<u4") for x in (of, doc, first))))]
+                mask = np.arange(rows.shape[1])
+                for b, some in by_value(bucket[one]):
+                    rows_of, left_of, right_of = rows[one[some]], left[one[some]], right[one[some]]
+                    flat = rows_of[(mask >= side - left_of[:, None]) & (mask < side + GRAM + right_of[:, None])]
+                    out.append((b, number, pack(left_of.astype("u1"), right_of.astype("u1"), some.astype("<u4"), *small(least[some]), *small(most[some]), flat)))
+                yield of_rows(RECORD, out)
+        release()
 
-def marks(texts: DataFrame, width: int, n: int) -> DataFrame:
-    """``doc, text, data``: pairs (first, end) of int32 that go, from (doc, text, value, data) with shared minimizers."""
+    known_here = packed.select("chunk", "data", "sizes", "ranks").join(shared.hint("merge"), "chunk")
+    return cut(known_here.select("chunk", "data", "sizes", "ranks", "shared").mapInArrow(send, RECORD_DDL), "segments")
+
+
+def matched(left: np.ndarray, right: np.ndarray, rows: np.ndarray, least: np.ndarray, most: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first string, number of strings, least document) of what an earlier document has of a segment."""
+    gram = row_hashes(rows[:, side : side + GRAM], np.zeros(len(rows), np.int64))
+    order = np.argsort(gram)
+    at = starts_of(gram[order])
+    of = np.empty(len(gram), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(gram))))
+    earliest, latest = bounds(of, least, most, len(at))
+    source, query = np.flatnonzero(least < latest[of]), np.flatnonzero(most > earliest[of])
+    index = RunIndex(rows[source], left[source], right[source], least[source], side)
+    which, d, found = index.long_matches(rows[query], left[query], right[query])
+    which = query[which]
+    earlier = found < most[which]
+    which, first, found = which[earlier], (left[which] - d)[earlier], found[earlier]
+    order = np.lexsort((first, which))
+    which, first, found = which[order], first[order], found[order]
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (first[1:] != first[:-1] + 1) | (found[1:] != found[:-1])
+    lead = np.flatnonzero(new)
+    return which[lead], first[lead], np.diff(np.append(lead, len(which))), found[lead]
+
+
+def answers(records: DataFrame, width: int, n: int) -> DataFrame:
+    """``chunk, data``: MARKS for the chunk's segments."""
     side = width - GRAM
     span = GRAM + 2 * side
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            data, starts, sizes = joined(batch.column(2))
-            data = np.concatenate([np.zeros(span, np.uint8), data, np.zeros(span, np.uint8)])
-            lists = [np.unique(np.frombuffer(b"".join(x), "<i4")) for x in batch.column(3).to_pylist()]
-            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            pos = np.concatenate(lists).astype(np.int64)
-            doc = np.empty(len(pos), KEY)
-            doc["doc"], doc["text"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            h = gram_hashes(data)[starts[row] + pos + span]
-            bucket = ((h | np.uint64(1)) >> np.uint64(20)) % np.uint64(n)
-            order = np.argsort(bucket, kind="stable")
-            if not len(order):
-                continue
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                some = order[a:b]
-                first = pos[some] - side
-                bytes_ = data[(starts[row[some]] + first + span)[:, None] + np.arange(span)]
-                lo, hi = np.maximum(0, -first), np.minimum(span, sizes[row[some]] - first)
-                bytes_[(np.arange(span) < lo[:, None]) | (np.arange(span) >= hi[:, None])] = 0
-                out.append((int(bucket[some[0]]), pack(doc=doc[some], first=first.astype("<i4"), lo=lo.astype(np.uint8), hi=hi.astype(np.uint8), bytes=bytes_.ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "data"])
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(bucket, []).append(unpack(data, KEY, "<i4", "u1", "u1", "u1"))
-        while parts:
-            doc, first, lo, hi, flat = map(np.concatenate, zip(*parts.popitem()[1], strict=True))
-            around = flat.reshape(len(doc), span)
-            x = np.lib.stride_tricks.sliding_window_view(around, 8, axis=1)
-            word = lambda k, rows: np.ascontiguousarray(x[rows, k]).view("<u8")[:, 0]
-            # Equal surroundings: all but the least document's are covered from end to end.
-            whole = mix64(lo.astype(np.uint64) << np.uint64(8) | hi.astype(np.uint64), 9)
-            for k in [*range(0, span - 8, 8), span - 8]:
-                whole = mix64(whole ^ word(k, slice(None)), k)
-            order = np.lexsort((doc["doc"], whole))
-            new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = doc["doc"][order] > doc["doc"][lead]
-            done = order[later & (hi[order].astype(int) - lo[order] >= width)]
-            pairs = [np.stack([first[done] + lo[done], first[done] + hi[done]], axis=1).astype("<i4")]
-            docs_ = [doc[done]]
-            # Equal leads of one document are one source; each row of it still gets its marks.
-            rest = order[~later]
-            for part in (rest,):
-                offsets = np.arange(side + 1)
-                ok = (offsets >= lo[part][:, None]) & (offsets + width <= hi[part][:, None].astype(int))
-                r, o = np.nonzero(ok)
-                print_ = np.empty((len(part), side + 1), np.uint64)
-                for k in offsets:
-                    f = np.zeros(len(part), np.uint64)
-                    for j in [*range(0, width - 8, 8), width - 8]:
-                        f = mix64(f ^ word(k + j, part), j)
-                    print_[:, k] = f
-                prints, own = print_[r, o], part[r]
-                by = np.argsort(prints, kind="stable")
-                if not len(by):
-                    continue
-                group, least, many = several(by, prints, doc["doc"][own])
-                hit = by[many[group] & (doc["doc"][own][by] > least[group])]
-                start = first[own[hit]] + o[hit]
-                pairs.append(np.stack([start, start + width], axis=1).astype("<i4"))
-                docs_.append(doc[own[hit]])
-            yield _rows(by_key(np.concatenate(docs_), np.concatenate(pairs)))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, numbers, found in parts(batches):
+            sizes = np.array([len(f[0]) for f in found])
+            left, right, segment = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
+            least, most = (np.concatenate([f[k + 1] + f[k] for f in found]) for k in (3, 5))
+            length, flat = left + GRAM + right, np.concatenate([f[7] for f in found])
+            rows = np.zeros((len(left), span), np.uint8)
+            inside = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+            rows.ravel()[np.repeat(np.arange(len(left)) * span + side - left, length) + inside] = flat
+            one, of = distinct(rows, left, right)
+            low, high = bounds(of, least, most, len(one))
+            which, first, count, doc = matched(left[one], right[one], rows[one], low, high, side)
+            begin = np.searchsorted(which, of)
+            times = np.searchsorted(which, of, side="right") - begin
+            record = np.repeat(np.arange(len(of)), times)
+            run_ = np.repeat(begin, times) + np.arange(len(record)) - np.repeat(np.cumsum(times) - times, times)
+            keep = doc[run_] < most[record]
+            record, run_ = record[keep], run_[keep]
+            marks = np.empty(len(record), MARKS)
+            marks["segment"], marks["first"], marks["n"], marks["least"] = segment[record], first[run_], count[run_], doc[run_]
+            chunk = np.repeat(np.arange(len(sizes)), sizes)[record]
+            yield of_rows(RECORD, [(0, numbers[int(chunk[a])], marks[a:b].tobytes()) for a, b in spans(chunk)])
         release()
 
-    return texts.mapInArrow(send, "bucket long, data binary").repartition(n, "bucket").mapInArrow(meet, "doc long, text long, data binary")
+    return dealt(records.where("bucket >= 0"), n).mapInArrow(run, RECORD_DDL).select("chunk", "data")
 
 
-def united(pairs: np.ndarray) -> np.ndarray:
-    """Maximal runs of the union of (first, end) pairs; runs that touch are one."""
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")].astype(np.int64)
-    reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return np.stack([pairs[at, 0], reach[np.append(at[1:], len(pairs)) - 1]], axis=1)
+def covered(size: int, places: bytes | None, marks: list[bytes] | None, ranks: np.ndarray, width: int) -> np.ndarray:
+    """Which bytes of a chunk go."""
+    if not places or not marks:
+        return np.zeros(size, bool)
+    segment, doc, first = unpack(places)
+    found = np.frombuffer(b"".join(marks), MARKS)
+    low = np.searchsorted(segment, found["segment"])
+    times = np.searchsorted(segment, found["segment"], side="right") - low
+    of = np.repeat(np.arange(len(found)), times)
+    at = np.repeat(low, times) + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    earlier = found["least"][of] < ranks[doc[at]]
+    of, at = of[earlier], at[earlier]
+    start = first[at].astype(np.int64) + found["first"][of]
+    depth = np.bincount(start, minlength=size + 1) - np.bincount(start + found["n"][of] + width - 1, minlength=size + 1)
+    return np.cumsum(depth[:size]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` with one row a document."""
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk_bytes: int = CHUNK) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` with one row a document; ``kept`` are the bytes that stay."""
     if not GRAM + 8 <= width <= 100:
         raise ValueError(f"width must be from {GRAM + 8} to 100")
     spark = docs.sparkSession
     bounded_batches(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text"), F.col(text_col).alias("value"))
-    known = keyed.where("doc IS NOT NULL AND value IS NOT NULL")
-    found = shared_minimizers(known, width, n)
-    closer = found.where("not marks").groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
-    marked = marks(known.join(closer.hint("merge"), ["doc", "text"]).select("doc", "text", "value", "data"), width, n)
-    gathered = cut(marked.union(found.where("marks").select("doc", "text", "data")), "marks").groupBy("doc", "text").agg(F.collect_list("data").alias("data"))
+    packed = chunks(docs, id_col, text_col, chunk_bytes)
+    met = shared_segments(packed, shared_anchors(packed, width, n, hot), width, n)
+    places = met.where("bucket < 0").select("chunk", F.col("data").alias("places"))
+    told = answers(met, width, n).groupBy("chunk").agg(F.collect_list("data").alias("marks"))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            rows = []
-            for value, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (value or "").encode()
-                runs = united(np.frombuffer(b"".join(data), "<i4").reshape(-1, 2)) if data else np.empty((0, 2), np.int64)
-                ends = [0, *runs[:, 1].tolist()]
-                kept = b"".join(raw[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(raw)], strict=True))
-                rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        for batch in batches:
+            for k, (data, sizes, ranks, at, marks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                chunk = Chunk(data, sizes, ranks)
+                gone = covered(len(data), at, marks, chunk.ranks, width)
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                real = np.flatnonzero(chunk.sizes)
+                begins[chunk.starts[real]] = gone[chunk.starts[real]]
+                n_spans, n_removed = np.zeros(len(sizes) // 8, np.int64), np.zeros(len(sizes) // 8, np.int64)
+                if len(real):
+                    n_spans[real] = np.add.reduceat(begins, chunk.starts[real], dtype=np.int64)
+                    n_removed[real] = np.add.reduceat(gone, chunk.starts[real], dtype=np.int64)
+                left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                ends = np.cumsum(chunk.sizes - n_removed).tolist()
+                kept = [left[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0)[k].values, pa.array(chunk.sizes), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()),
+                ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        release()
 
-    return keyed.join(gathered.hint("merge"), ["doc", "text"], "left").select("doc", "value", "data").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    whole = packed.join(places.hint("merge"), "chunk", "left").join(told.hint("merge"), "chunk", "left")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return whole.select("ids", "data", "sizes", "ranks", "places", "marks").mapInArrow(apply, schema)
 
 
 def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -263,7 +263,7 @@ def test_repeats_are_those_of_brute_force(spark):
     assert got == sorted(removed(documents(spark)))
     line = "The quick brown fox jumps over the lazy dog again and again, über alles 1234567890."
     rows = [(5, None), (7, "x" * 70), (7, "x" * 70), (9, "x" * 71), (9, line), (11, f"ab{line}cd"), (11, f"ab{line}cd"), (3, line[:50]), (4, line[:49])]
-    assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept_text").collect())) == sorted(removed(rows))
+    assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect())) == sorted(removed(rows))
 
 
 def groups(rows, width, percent):
