@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no frame needs any more; the driver's JVM finds them when it collects garbage, which may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives freed memory of a Python worker back to the system; workers outlive their tasks, and their pools would keep it."""
     import ctypes

@@ -4,7 +4,7 @@ A byte goes if it lies in a ``width``-byte string that also starts in a document
 so an index of some documents would have to meet all others. The text is dealt by content instead, and every shard's index holds all
 that can match there:
 
-1. Documents are packed into chunks of about ``CHUNK`` bytes, which are written out.
+1. Documents are packed into chunks of about ``CHUNK`` bytes, which are written out, compressed.
 2. Of the 20-byte strings inside a ``width``-byte string the one with the least hash (the last of equal ones) is its anchor, so equal strings have equal
    anchors at equal places. Neighbouring strings with one anchor make up a segment. Shards are hash ranges of anchors. First only the anchors'
    hashes travel, once a chunk, to find those that two documents have; of these the segments travel, once a chunk however many documents of it have them.
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from hapframe.llm.common import cut, release, table
+from hapframe.llm.common import cut, forget, release, table
 from hapframe.llm.run_index import GRAM, RunIndex, starts_of
 from hapframe.llm.tokens import bounded_batches, mix64
 
 WIDTH = 50
-CHUNK, PARTS, HOT = 4 << 20, 16, 1 << 18
+CHUNK, PARTS, HOT = 4 << 20, 4, 1 << 18
 #: Positions at once while anchors are looked for, so that the arrays stay in the cache.
 STEP = 1 << 16
 PLACE = np.uint64((1 << 31) - 1)
@@ -118,6 +118,14 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Integers as a base and differences of as few bytes as they need."""
     base = x.min() if len(x) else 0
@@ -138,7 +146,7 @@ class Chunk:
     """Documents of one chunk: bytes, starts, sizes and ranks (NEVER where the id is null)."""
 
     def __init__(self, data: bytes, sizes: bytes, ranks: bytes):
-        self.data, self.sizes, self.ranks = data, np.frombuffer(sizes, "<i8"), np.frombuffer(ranks, "<i8")
+        self.data, self.sizes, self.ranks = loosened(data), np.frombuffer(sizes, "<i8"), np.frombuffer(ranks, "<i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def segments(self, width: int) -> tuple[np.ndarray, ...]:
@@ -169,7 +177,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             number, n = number + 1, 0
             held.clear()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([b"".join(raw)], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "ids", "data", "sizes", "ranks"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "ids", "data", "sizes", "ranks"])
 
         for batch in batches:
             texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
@@ -202,7 +210,7 @@ def by_value(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(x[order[a]]), order[a:b]
 
 
-def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+def parts(batches: Iterable[pa.RecordBatch], read=unpack) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
     """(bucket, chunks, arrays of each record) of a partition that is sorted by buckets."""
     now, numbers, found = None, [], []
     for batch in batches:
@@ -212,7 +220,7 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[int], l
                 numbers, found = [], []
             now = bucket
             numbers.append(number)
-            found.append(unpack(data))
+            found.append(read(data))
     if numbers:
         yield now, numbers, found
 
@@ -319,54 +327,64 @@ def bounds(of: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> tuple
     return low, high
 
 
-def shared_segments(packed: DataFrame, shared: DataFrame, width: int, n: int) -> DataFrame:
-    """Records of segments by bucket, and with bucket -1 the places where a chunk has them."""
+def known(records: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a chunk's shared anchors, sorted, and whether each is hot."""
+    keys, hot = [], []
+    for (bucket, n_hot), rest in map(unpack, records):
+        keys.append(bucket << np.uint64(32) | rest.astype(np.uint64))
+        hot.append(np.arange(len(rest)) < int(n_hot))
+    keys, hot = np.concatenate(keys), np.concatenate(hot)
+    order = np.argsort(keys)
+    return keys[order], hot[order]
+
+
+class Segments:
+    """A chunk's distinct segments of shared anchors, and the places where it has them: segment, document, first string."""
+
+    def __init__(self, chunk: Chunk, told: list[bytes], width: int, n: int):
+        (keys, hot), side = known(told), width - GRAM
+        first, count, anchor, h, doc = chunk.segments(width)
+        own = keys_of(h, n * PARTS)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        pick = np.flatnonzero(keys[at] == own)
+        apart = hot[at[pick]]
+        bucket = (own[pick] >> np.uint64(32)).astype(np.int64)
+        first, count, anchor, doc = first[pick], count[pick], anchor[pick], doc[pick]
+        if apart.any():
+            many = np.where(apart, count, 1)
+            add = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first, anchor, doc, bucket, apart = np.repeat(first, many) + add, np.repeat(anchor, many), np.repeat(doc, many), np.repeat(bucket, many), np.repeat(apart, many)
+            count = np.where(apart, 1, np.repeat(count, many))
+        left, right = anchor - first, first + count - 1 + width - anchor - GRAM
+        rows = around(chunk.data, anchor, left, right, side)
+        if apart.any():
+            bucket[apart] = ((row_hashes(rows[apart], left[apart]) >> np.uint64(32)) % np.uint64(n * PARTS)).astype(np.int64)
+        one, of = distinct(rows, left, right)
+        self.rows, self.left, self.right, self.bucket = rows[one], left[one], right[one], bucket[one]
+        self.least, self.most = bounds(of, chunk.ranks[doc], chunk.ranks[doc], len(one))
+        order = np.argsort(of, kind="stable")
+        self.segment, self.doc, self.first = of[order], doc[order], first[order]
+
+
+def shared_segments(met: DataFrame, width: int, n: int) -> DataFrame:
+    """Records of the chunks' segments by bucket."""
     side = width - GRAM
 
-    def known(records: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All keys, sorted, and whether each is hot."""
-        keys, hot = [], []
-        for (bucket, n_hot), rest in map(unpack, records):
-            keys.append(bucket << np.uint64(32) | rest.astype(np.uint64))
-            hot.append(np.arange(len(rest)) < int(n_hot))
-        keys, hot = np.concatenate(keys), np.concatenate(hot)
-        order = np.argsort(keys)
-        return keys[order], hot[order]
-
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.arange(GRAM + 2 * side)
         for batch in batches:
             for number, data, sizes, ranks, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                chunk, (keys, hot) = Chunk(data, sizes, ranks), known(told)
-                first, count, anchor, h, doc = chunk.segments(width)
-                own = keys_of(h, n * PARTS)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                pick = np.flatnonzero(keys[at] == own)
-                apart = hot[at[pick]]
-                bucket = (own[pick] >> np.uint64(32)).astype(np.int64)
-                first, count, anchor, doc = first[pick], count[pick], anchor[pick], doc[pick]
-                if apart.any():
-                    many = np.where(apart, count, 1)
-                    add = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    first, anchor, doc, bucket, apart = np.repeat(first, many) + add, np.repeat(anchor, many), np.repeat(doc, many), np.repeat(bucket, many), np.repeat(apart, many)
-                    count = np.where(apart, 1, np.repeat(count, many))
-                left, right = anchor - first, first + count - 1 + width - anchor - GRAM
-                rows = around(data, anchor, left, right, side)
-                if apart.any():
-                    bucket[apart] = ((row_hashes(rows[apart], left[apart]) >> np.uint64(32)) % np.uint64(n * PARTS)).astype(np.int64)
-                one, of = distinct(rows, left, right)
-                least, most = bounds(of, chunk.ranks[doc], chunk.ranks[doc], len(one))
-                order = np.argsort(of, kind="stable")
-                out = [(-1, number, pack(*(x[order].astype("<u4") for x in (of, doc, first))))]
-                mask = np.arange(rows.shape[1])
-                for b, some in by_value(bucket[one]):
-                    rows_of, left_of, right_of = rows[one[some]], left[one[some]], right[one[some]]
-                    flat = rows_of[(mask >= side - left_of[:, None]) & (mask < side + GRAM + right_of[:, None])]
-                    out.append((b, number, pack(left_of.astype("u1"), right_of.astype("u1"), some.astype("<u4"), *small(least[some]), *small(most[some]), flat)))
+                if not told:
+                    continue
+                own, out = Segments(Chunk(data, sizes, ranks), told, width, n), []
+                for b, some in by_value(own.bucket):
+                    left, right = own.left[some], own.right[some]
+                    flat = own.rows[some][(mask >= side - left[:, None]) & (mask < side + GRAM + right[:, None])]
+                    out.append((b, number, squeezed(pack(left.astype("u1"), right.astype("u1"), some.astype("<u4"), *small(own.least[some]), *small(own.most[some]), flat))))
                 yield of_rows(RECORD, out)
         release()
 
-    known_here = packed.select("chunk", "data", "sizes", "ranks").join(shared.hint("merge"), "chunk")
-    return cut(known_here.select("chunk", "data", "sizes", "ranks", "shared").mapInArrow(send, RECORD_DDL), "segments")
+    return met.select("chunk", "data", "sizes", "ranks", "shared").mapInArrow(send, RECORD_DDL)
 
 
 def matched(left: np.ndarray, right: np.ndarray, rows: np.ndarray, least: np.ndarray, most: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -397,7 +415,7 @@ def answers(records: DataFrame, width: int, n: int) -> DataFrame:
     span = GRAM + 2 * side
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, numbers, found in parts(batches):
+        for _, numbers, found in parts(batches, lambda data: unpack(loosened(data))):
             sizes = np.array([len(f[0]) for f in found])
             left, right, segment = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
             least, most = (np.concatenate([f[k + 1] + f[k] for f in found]) for k in (3, 5))
@@ -420,22 +438,19 @@ def answers(records: DataFrame, width: int, n: int) -> DataFrame:
             yield of_rows(RECORD, [(0, numbers[int(chunk[a])], marks[a:b].tobytes()) for a, b in spans(chunk)])
         release()
 
-    return dealt(records.where("bucket >= 0"), n).mapInArrow(run, RECORD_DDL).select("chunk", "data")
+    return dealt(records, n).mapInArrow(run, RECORD_DDL).select("chunk", "data")
 
 
-def covered(size: int, places: bytes | None, marks: list[bytes] | None, ranks: np.ndarray, width: int) -> np.ndarray:
+def covered(size: int, own: Segments, ranks: np.ndarray, marks: list[bytes], width: int) -> np.ndarray:
     """Which bytes of a chunk go."""
-    if not places or not marks:
-        return np.zeros(size, bool)
-    segment, doc, first = unpack(places)
     found = np.frombuffer(b"".join(marks), MARKS)
-    low = np.searchsorted(segment, found["segment"])
-    times = np.searchsorted(segment, found["segment"], side="right") - low
+    low = np.searchsorted(own.segment, found["segment"])
+    times = np.searchsorted(own.segment, found["segment"], side="right") - low
     of = np.repeat(np.arange(len(found)), times)
     at = np.repeat(low, times) + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-    earlier = found["least"][of] < ranks[doc[at]]
+    earlier = found["least"][of] < ranks[own.doc[at]]
     of, at = of[earlier], at[earlier]
-    start = first[at].astype(np.int64) + found["first"][of]
+    start = own.first[at] + found["first"][of]
     depth = np.bincount(start, minlength=size + 1) - np.bincount(start + found["n"][of] + width - 1, minlength=size + 1)
     return np.cumsum(depth[:size]) > 0
 
@@ -448,15 +463,16 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     bounded_batches(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     packed = chunks(docs, id_col, text_col, chunk_bytes)
-    met = shared_segments(packed, shared_anchors(packed, width, n, hot), width, n)
-    places = met.where("bucket < 0").select("chunk", F.col("data").alias("places"))
-    told = answers(met, width, n).groupBy("chunk").agg(F.collect_list("data").alias("marks"))
+    shared = cut(shared_anchors(packed, width, n, hot), "shared")
+    forget(spark)
+    met = packed.join(shared.hint("merge"), "chunk", "left")
+    told = answers(shared_segments(met, width, n), width, n).groupBy("chunk").agg(F.collect_list("data").alias("marks"))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, (data, sizes, ranks, at, marks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            for k, (data, sizes, ranks, told, marks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 chunk = Chunk(data, sizes, ranks)
-                gone = covered(len(data), at, marks, chunk.ranks, width)
+                gone = covered(len(chunk.data), Segments(chunk, told, width, n), chunk.ranks, marks, width) if marks else np.zeros(len(chunk.data), bool)
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
                 real = np.flatnonzero(chunk.sizes)
@@ -465,7 +481,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
                 if len(real):
                     n_spans[real] = np.add.reduceat(begins, chunk.starts[real], dtype=np.int64)
                     n_removed[real] = np.add.reduceat(gone, chunk.starts[real], dtype=np.int64)
-                left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                left = np.frombuffer(chunk.data, np.uint8)[~gone].tobytes()
                 ends = np.cumsum(chunk.sizes - n_removed).tolist()
                 kept = [left[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([
@@ -473,9 +489,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
                 ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         release()
 
-    whole = packed.join(places.hint("merge"), "chunk", "left").join(told.hint("merge"), "chunk", "left")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return whole.select("ids", "data", "sizes", "ranks", "places", "marks").mapInArrow(apply, schema)
+    return met.join(told.hint("merge"), "chunk", "left").select("ids", "data", "sizes", "ranks", "shared", "marks").mapInArrow(apply, schema)
 
 
 def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
