@@ -38,7 +38,7 @@ from hapframe.llm.run_index import GRAM, RunIndex, starts_of
 from hapframe.llm.tokens import bounded_batches, mix64
 
 WIDTH = 50
-CHUNK, PARTS, HOT = 4 << 20, 4, 1 << 18
+CHUNK, PARTS, HOT = 4 << 20, 4, 1 << 14
 #: Positions at once while anchors are looked for, so that the arrays stay in the cache.
 STEP = 1 << 16
 PLACE = np.uint64((1 << 31) - 1)
@@ -119,7 +119,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def loosened(data: bytes) -> bytes:
@@ -226,7 +226,8 @@ def parts(batches: Iterable[pa.RecordBatch], read=unpack) -> Iterator[tuple[int,
 
 
 def dealt(records: DataFrame, n: int) -> DataFrame:
-    return records.repartition(n, "bucket").sortWithinPartitions("bucket")
+    """Buckets in turn to ``n`` tasks, so that each gets as many."""
+    return records.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
 
 
 def keys_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -373,7 +374,7 @@ def shared_segments(met: DataFrame, width: int, n: int) -> DataFrame:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.arange(GRAM + 2 * side)
         for batch in batches:
-            for number, data, sizes, ranks, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, data, sizes, ranks, told in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
                 if not told:
                     continue
                 own, out = Segments(Chunk(data, sizes, ranks), told, width, n), []
@@ -384,7 +385,8 @@ def shared_segments(met: DataFrame, width: int, n: int) -> DataFrame:
                 yield of_rows(RECORD, out)
         release()
 
-    return met.select("chunk", "data", "sizes", "ranks", "shared").mapInArrow(send, RECORD_DDL)
+    # The ids aren't used here, but with them both users of ``met`` read the same columns, so the texts are dealt once.
+    return met.select("chunk", "ids", "data", "sizes", "ranks", "shared").mapInArrow(send, RECORD_DDL)
 
 
 def matched(left: np.ndarray, right: np.ndarray, rows: np.ndarray, least: np.ndarray, most: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
