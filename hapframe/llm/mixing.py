@@ -6,30 +6,34 @@ taken from its documents in the order of their Efraimidis-Spirakis keys ``-ln(u)
 a hash of the document id. The document in which the budget ends gives only its first words, so a source's taken words
 differ from its target by less than one word.
 
-The order within a source is a prefix sum over any number of rows, so it is made in two levels: a source of n documents is
-cut into about sqrt(n) ranges of keys, a running sum over the ranges' totals gives each range its start, and rows are only
-ordered inside their range. Neither level ever holds more than about sqrt(n) rows of a source.
+The order within a source is a prefix sum over any number of rows, so it is made in two levels: keys are cut into about sqrt(n) ranges, n being
+the number of all documents, a running sum over a source's ranges gives each range its start, and rows are only ordered inside their range. Rows
+are dealt by source and range, never by source alone; what is dealt by source is one row a range. The sources themselves, one row each,
+are ranked and filled in one task: a source is the name of a corpus, of which there are few.
 
 Defined results: null text and text without words have size 0 and take 0; a null source is a source of its own, last in
-order; rows with equal ids are dealt with as documents of their own (equal keys are settled by size); an empty table
-gives an empty result; other columns are ignored.
+order; rows with equal ids are dealt with as documents of their own (equal keys are settled by id, size and a hash of the text); a null quality
+is 1, others are held between ``LEAST_QUALITY`` and 1; a text of any length is one document; an empty table gives an empty result; other columns,
+whatever their names, are ignored by ``mix`` and kept by ``mix_documents``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hapframe.llm.common import WORD_COUNT_SQL, cut, table, word_count
 
 WEIGHTS, MOST = (5, 2, 1), 3
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, LEAST_QUALITY = "#*$%&|<>", 0.05
 
 
-def quality(text: Column, size: Column) -> Column:
+def symbol_quality(text: Column, size: Column) -> Column:
     """Weight in (0, 1]: words over words plus symbol characters."""
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return F.when(size > 0, F.greatest(size / (size + symbols), F.lit(0.05))).otherwise(1.0)
+    return F.when(size > 0, F.greatest(size / (size + symbols), F.lit(LEAST_QUALITY))).otherwise(1.0)
 
 
 def sampling_key(doc_id: Column, weight: Column) -> Column:
@@ -38,9 +42,8 @@ def sampling_key(doc_id: Column, weight: Column) -> Column:
     return F.floor(-F.log(u) / weight * 1e9).cast("long")
 
 
-def targets(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row a source: ``skey, source_size, n, target``. Holds one row a source in one task, never a document."""
-    by = base.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def targets(by: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``skey, source_size, target`` from ``skey, source_size``. One row a source in one task, never a document."""
     ranked = by.withColumn("rank", F.row_number().over(Window.orderBy("skey")) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
     filled = (
@@ -53,34 +56,54 @@ def targets(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
         .withColumn("water", F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "skey", "level"))).over(Window.partitionBy()))
     )
     target = F.least("cap", F.coalesce(F.col("water.level") * F.col("weight"), F.col("cap")))
-    return filled.select("skey", "source_size", "n", target.alias("target"))
+    return filled.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` with one row a document."""
-    text = F.col(text_col)
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(source_col))).alias("skey"),
-        text.alias("text"), word_count(text).alias("size"),
-    )
-    base = cut(sized.select("doc_id", "skey", "size", sampling_key(F.col("doc_id"), quality(F.col("text"), F.col("size"))).alias("key")), "mix")
-    per_source = targets(base, weights, most)
-    ranges = F.ceil(F.sqrt("n"))
-    unit = F.col("key") / (F.col("key") + 1e9)
-    dealt = (
-        base.join(per_source, "skey")
-        .withColumn("range", F.floor(unit * ranges))
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None) -> DataFrame:
+    """``row`` (the input's columns), ``doc_id, skey, size, key, tie``."""
+    text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    source = F.col(f"`{source_col}`").cast("string")
+    named = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("doc_id"), text.alias("text"), word_count(text).alias("size"),
+        F.when(source.isNull(), "n").otherwise(F.concat(F.lit("a"), source)).alias("skey"),
+        (F.col(f"`{quality_col}`").cast("double") if quality_col else F.lit(None).cast("double")).alias("given"),
     )
-    starts = dealt.groupBy("skey", "range").agg(F.sum("size").alias("in_range")).withColumn(
-        "start", F.coalesce(F.sum("in_range").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("in_range")
-    inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("size")
+    given = F.least(F.greatest(F.coalesce("given", F.lit(1.0)), F.lit(LEAST_QUALITY)), F.lit(1.0))
+    weight = given if quality_col else symbol_quality(F.col("text"), size)
+    return named.select("row", "doc_id", "skey", "size", sampling_key(F.col("doc_id"), weight).alias("key"), F.xxhash64("text").alias("tie"))
+
+
+def taken(docs: DataFrame, columns: list[str], id_col: str, text_col: str, source_col: str, quality_col: str | None, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``columns`` of ``sized``, and ``source_size, target, taken``."""
+    rows = sized(docs, id_col, text_col, source_col, quality_col)
+    base = cut(rows.select("doc_id", "skey", "size", "key", "tie"), "mix")
+    ranges = max(1, math.isqrt(base.count()))
+    at = F.floor(F.col("key") / (F.col("key") + 1e9) * ranges).alias("range")
+    # Written out, so that the sums are dealt by source and range, and only they by source.
+    totals = cut(base.groupBy("skey", at).agg(F.sum("size").alias("in_range")), "ranges")
+    start = F.coalesce(F.sum("in_range").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_source = targets(totals.groupBy("skey").agg(F.sum("in_range").alias("source_size")), weights, most)
+    places = cut(totals.select("skey", "range", start.alias("start")).join(per_source, "skey"), "places")
+    dealt = (base if columns == ["doc_id", "size"] else rows).select(*columns, "skey", "key", "tie", *({"doc_id", "size"} - set(columns)), at).repartition("skey", "range")
+    inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - before))
-    # Written out and dealt anew: else the plan would keep all rows of a source in one task, as they are for the ranges' totals.
-    return dealt.repartition("skey", "range").join(cut(starts, "starts"), ["skey", "range"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return dealt.join(places, ["skey", "range"]).select(*columns, "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` with one row a document. ``quality_col`` holds a weight from 0 to 1, such as a classifier's."""
+    return taken(docs, ["doc_id", "size"], id_col, text_col, source_col, quality_col, weights, most)
+
+
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The documents of the mix with their own columns: whole epochs as repeated rows; a partly taken one is taken whole from half of its words on, else not."""
+    found = taken(docs, ["row", "size"], id_col, text_col, source_col, quality_col, weights, most).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size")) + F.when(2 * (F.col("taken") % F.col("size")) >= F.col("size"), 1).otherwise(0)
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("copy")).select("row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +129,3 @@ r AS (SELECT doc_id, size, source_size, target, epochs, round(target - epochs *
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
-
-
-def mix_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents of the mix with their own columns: whole epochs as repeated rows; a partly taken one is taken whole from half of its words on, else not."""
-    taken = cut(mix(docs, weights=weights, most=most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_of")).agg(
-        F.max("taken").alias("_taken"), F.sum("taken").alias("_all"), F.count("*").alias("_n"),
-    ), "taken")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    rows = sized.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")))
-    # Where ids repeat, rows of one size share what they take; the mean of theirs then holds for each.
-    words = F.when(F.col("_n") == 1, F.col("_taken")).otherwise(F.round(F.col("_all") / F.col("_n"))).cast("long")
-    times = F.floor(words / F.col("_size")) + F.when(2 * (words % F.col("_size")) >= F.col("_size"), 1).otherwise(0)
-    return rows.withColumn("_part", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
