@@ -1,14 +1,17 @@
 """Near-duplicate documents: banded MinHash, odd sketches, exact confirmation.
 
 1. Every document becomes the set of its word shingles (64-bit hashes). Documents with equal sets are one node, named by a
-   128-bit digest of the set, so thousands of copies cost no more than one.
+   128-bit digest of the set, so thousands of copies cost no more than one. Documents of one node are listed together batch by batch, so a node
+   that a third of all documents share is a row a batch wherever rows are dealt by node.
 2. A node's MinHash samples give its bands, and folded into a parity bitmap its odd sketch: sample j toggles
    bit hash(j, sample), so equal samples cancel in the XOR of two sketches and the population count tells how many differ.
 3. Nodes that share a band meet in a bucket. There a pivot's sketch is XORed with all others at once and those estimated to be
-   near join the pivot, until the bucket is one tree or every node has been pivot: a spanning forest, never all pairs.
+   near join the pivot, until the bucket is one tree or every node has been pivot: a spanning forest, never all pairs. The number of bands and their
+   width follow from the similarity, so that a link is missed by all bands with a chance of ``MISS`` at most. Buckets of more than ``most``
+   nodes first lose nodes in distributed rounds, as in 4, with the population count as the distance.
 4. Connected components of these trees are candidate groups. Inside each one the full sets are compared, again by pivots: a pivot's exact
    similarity to all others that aren't linked to it yet. Every pair not yet joined by confirmed links is compared, so
-   the components are those of all links. Groups of more than ``most`` nodes first lose, in distributed rounds, the nodes whose links a pivot
+   the components are those of all links. Groups of more than ``most`` nodes or ``MOST_BYTES`` of sets first lose, in distributed rounds, the nodes whose links a pivot
    settles: with Jaccard distance, a metric, a node at distance d from the pivot can only link to nodes whose distance lies within
    1 - similarity of d, so of the nodes linked to the pivot only those near an unlinked one's distance must go on.
 
@@ -19,6 +22,7 @@ component of null ids alone one row is kept, and every word-less row with a null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,13 +34,31 @@ from hapframe.llm.arrow import fixed, groups, word_codes
 from hapframe.llm.common import cut, release, table
 from hapframe.llm.tokens import bounded_batches, mix64
 
-BANDS, ROWS, BITS = 32, 5, 512
-#: How far below the threshold an estimate may lie, about five standard deviations of it.
-SLACK = 0.17
-MOST = 20_000
+#: MinHash samples, most of them a band, bits of the odd sketch, and the chance that a link shares no band.
+SAMPLES, ROWS, BITS, MISS = 160, 5, 512, 1e-5
+#: How far below the threshold an estimate may lie, in its standard deviations.
+DEVIATIONS = 5
+MOST, MOST_BYTES = 20_000, 64 << 20
 CHUNK = 1 << 17
 
 
+def banding(similarity: float, samples: int = SAMPLES) -> tuple[int, int]:
+    """(bands, samples a band): the widest bands that miss a link with a chance of at most MISS."""
+    for rows in range(ROWS, 0, -1):
+        bands = samples // rows
+        if (1 - similarity**rows) ** bands <= MISS:
+            return bands, rows
+    return samples, 1
+
+
+def slack(similarity: float, samples: int, bits: int = BITS) -> float:
+    """DEVIATIONS of an estimated similarity: those of the samples, and of the sketch by the variance of its population count."""
+    differ = 2 * samples * (1 - similarity)
+    x = 2 * differ / bits
+    spread = max(bits / 4 * (1 - math.exp(-2 * x)) - differ * math.exp(-2 * x), 0.0)
+    return DEVIATIONS * math.sqrt(similarity * (1 - similarity) / samples + spread * (math.exp(x) / (2 * samples)) ** 2)
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     import xxhash
@@ -91,12 +113,13 @@ def farthest(similarity: float, samples: int, bits: int = BITS) -> int:
 
 
 def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, odd, row, key``; node, bands and odd are null for an empty set.
+    """``node, n_shingles, bands, odd, members``: the documents of one node in one batch; node, bands and odd are null for empty sets.
 
-    Where the id is null, ``row`` tells the rows apart and ``key`` finds their text again; else they are null.
+    Members are (doc_id, row, key). Where the id is null, ``row`` tells the rows apart and ``key`` finds their text again; else they are null.
     """
     bounded_batches(docs.sparkSession)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, odd binary, row long, key string"
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"node binary, n_shingles long, bands array<long>, odd binary, members array<struct<doc_id: {kind}, row: bigint, key: string>>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -105,22 +128,28 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int,
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sets = shingle_sets(batch.column(1), width)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                node, keys, odd = ([None] * len(sets) for _ in range(3))
+                names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+                order = sorted(range(len(sets)), key=names.__getitem__)
+                first = [k for k, i in enumerate(order) if not k or names[i] != names[order[k - 1]]]
+                own = [sets[order[k]] for k in first]
+                full = [k for k, s in enumerate(own) if len(s)]
+                node, keys, odd = ([None] * len(own) for _ in range(3))
                 if full:
-                    samples = minhashes([sets[i] for i in full], bands * rows)
+                    samples = minhashes([own[k] for k in full], bands * rows)
                     banded = np.zeros((len(full), bands), np.uint64)
                     for r in range(rows):
                         banded = mix64(banded + samples[:, r::rows], r)
                     banded = mix64(banded + np.arange(bands, dtype=np.uint64), rows).view(np.int64)
-                    for i, k, o in zip(full, banded, odd_sketches(samples), strict=True):
-                        node[i], keys[i], odd[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), k, o.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "n_shingles", "node", "bands", "odd", "row", "key"])
+                    for k, b, o in zip(full, banded, odd_sketches(samples), strict=True):
+                        node[k], keys[k], odd[k] = names[order[first[k]]], b, o.tobytes()
+                members = pa.StructArray.from_arrays([batch.column(c).take(pa.array(order)) for c in (0, 2, 3)], ["doc_id", "row", "key"])
+                lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), members)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary()), lists], ["node", "n_shingles", "bands", "odd", "members"])
         release()
 
-    none = F.col(id_col).isNull()
-    keys = F.when(none, F.monotonically_increasing_id()).alias("row"), F.when(none, text_key(F.col(text_col))).alias("key")
-    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keys).mapInArrow(run, schema), "sketches")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keys = F.when(own.isNull(), F.monotonically_increasing_id()).alias("row"), F.when(own.isNull(), text_key(text)).alias("key")
+    return cut(docs.select(own.alias("doc_id"), text.alias("text"), *keys).mapInArrow(run, schema), "sketches")
 
 
 def text_key(text: Column) -> Column:
@@ -146,18 +175,45 @@ class Forest:
         return self.edges
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, samples: int) -> DataFrame:
+def _rest(told: DataFrame, group: str, near: Column, distance: Column, reach: float | int) -> DataFrame:
+    """What goes on after a pivot: nodes that aren't near it, and of the near ones those that such a node could be near, by the triangle inequality."""
+    nearest = told.where(~near).groupBy(group).agg(F.min(distance).alias("nearest"))
+    return told.join(nearest, group).where("node <> pivot").where(~near | (distance >= F.col("nearest") - reach))
+
+
+def _settle_bands(met: DataFrame, limit: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rounds for buckets of more than ``most`` nodes: (what is left, edges found)."""
+    found = []
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = np.bitwise_count(fixed(batch.column("odd"), "<u8") ^ fixed(batch.column("of"), "<u8")).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "node", "odd", "pivot")), pa.array(away)], ["band", "node", "odd", "pivot", "away"])
+
+    while True:
+        large = cut(met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "odd")).alias("p")).where(F.col("n") > most).select("band", F.col("p.node").alias("pivot"), F.col("p.odd").alias("of")), "hot-bands")
+        if large.isEmpty():
+            return met, found
+        told = cut(met.join(large, "band").mapInArrow(compare, "band long, node binary, odd binary, pivot binary, away long"), "told")
+        found.append(told.where(F.col("away") <= limit).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+        rest = _rest(told, "band", F.col("away") <= limit, F.col("away"), limit)
+        met = cut(met.join(large.select("band"), "band", "left_anti").select("band", "node", "odd").union(rest.select("band", "node", "odd")), "bands")
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, samples: int, most: int = MOST) -> DataFrame:
     """``a, b``: spanning forests of the buckets, by odd sketches."""
-    most = farthest(threshold - SLACK, samples)
+    limit = farthest(threshold - slack(threshold, samples), samples)
     members = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    met = members.join(shared, "band").join(nodes.select("node", "odd"), "node").select("band", "node", "odd")
+    shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    met, found = members.join(shared.select("band"), "band").join(nodes.select("node", "odd"), "node").select("band", "node", "odd"), []
+    if not shared.where(F.col("n") > most).isEmpty():
+        met, found = _settle_bands(cut(met, "met"), limit, most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for group in groups(batches):
             node, odd = group.column(1).to_pylist(), fixed(group.column(2), "<u8")
-            for p, q in Forest(len(node)).grow(lambda p, odd=odd: np.bitwise_count(odd ^ odd[p]).sum(1, dtype=np.int64) <= most, range(len(node))):
+            for p, q in Forest(len(node)).grow(lambda p, odd=odd: np.bitwise_count(odd ^ odd[p]).sum(1, dtype=np.int64) <= limit, range(len(node))):
                 a.append(min(node[p], node[q]))
                 b.append(max(node[p], node[q]))
             if len(a) > 20_000:
@@ -165,7 +221,10 @@ def candidate_edges(nodes: DataFrame, threshold: float, samples: int) -> DataFra
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a binary, b binary").distinct()
+    edges = met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a binary, b binary")
+    for more in found:
+        edges = edges.union(more)
+    return edges.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,10 +234,6 @@ def components(edges: DataFrame) -> DataFrame:
     every round is written out.
     """
 
-    def star(pairs: DataFrame, own: str) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where(own)
-
     def mark(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.sum(F.hash("x", "y").cast("long")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first())
 
@@ -215,37 +270,36 @@ def exact_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return Forest(len(sets)).grow(near, np.argsort(-central, kind="stable"))
 
 
-def _settle(sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Rounds for groups of more than ``most`` nodes: (what is left, links found)."""
-    found, distance = [], 1 - percent / 100
+def _settle(sets: DataFrame, percent: int, most: int, most_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rounds for groups of more than ``most`` nodes, or of more bytes than ``most_bytes``: (what is left, links found)."""
+    found, reach = [], 1 - percent / 100 + 1e-9
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inter, union = [], []
+            for s, p in zip(batch.column("shingles").to_pylist(), batch.column("of").to_pylist(), strict=True):
+                s, p = np.frombuffer(s, "<u8"), np.frombuffer(p, "<u8")
+                inter.append(len(np.intersect1d(s, p, assume_unique=True)))
+                union.append(len(s) + len(p) - inter[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("shingles"), batch.column("pivot"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["node", "root", "shingles", "pivot", "inter", "joint"])
+
     while True:
-        large = cut(sets.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > most), "large")
+        size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"), F.min("node").alias("pivot"))
+        large = cut(size.where((F.col("n") > most) | ((F.col("bytes") > most_bytes) & (F.col("n") > 1))).select("root", "pivot"), "large")
         if large.isEmpty():
             return sets, found
         pivots = large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of")), "pivot").select("root", "pivot", "of")
-
-        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                inter, union = [], []
-                for s, p in zip(batch.column("shingles").to_pylist(), batch.column("of").to_pylist(), strict=True):
-                    s, p = np.frombuffer(s, "<u8"), np.frombuffer(p, "<u8")
-                    inter.append(len(np.intersect1d(s, p, assume_unique=True)))
-                    union.append(len(s) + len(p) - inter[-1])
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("shingles"), batch.column("pivot"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["node", "root", "shingles", "pivot", "inter", "joint"])
-
         told = cut(sets.join(pivots, "root").mapInArrow(compare, "node binary, root binary, shingles binary, pivot binary, inter long, joint long"), "told")
         link = F.col("inter") * 100 >= F.col("joint") * percent
         found.append(told.where(link).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        away = 1 - F.col("inter") / F.col("joint")
-        nearest = told.where(~link).groupBy("root").agg(F.min(away).alias("nearest"))
-        rest = told.join(nearest, "root").where("node <> pivot").where(~link | (away >= F.col("nearest") - distance - 1e-9)).select("node", "root", "shingles")
-        sets = cut(sets.join(large.select("root"), "root", "left_anti").select("node", "root", "shingles").union(rest), "settled")
+        rest = _rest(told, "root", link, 1 - F.col("inter") / F.col("joint"), reach)
+        sets = cut(sets.join(large.select("root"), "root", "left_anti").select("node", "root", "shingles").union(rest.select("node", "root", "shingles")), "settled")
 
 
-def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, percent: int, id_col: str, text_col: str, most: int = MOST) -> DataFrame:
+def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, percent: int, id_col: str, text_col: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``a, b``: spanning forest of all links inside the candidate groups, on full sets."""
     wanted = nodes.select("node", "rep").join(roots, "node")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "rep").select("node", "root", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "rep").select("node", "root", "text")
     nameless = cut(nodes.where("rep IS NULL").select("node", F.col("alone.key").alias("key")).join(roots, "node"), "nameless")
     if not nameless.isEmpty():
         found = docs.where(F.col(id_col).isNull()).select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -262,7 +316,7 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["node", "root", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     sets = cut(texts.mapInArrow(full, "node binary, root binary, shingles binary").dropDuplicates(["node"]), "sets")
-    sets, found = _settle(sets, percent, most)
+    sets, found = _settle(sets, percent, most, most_bytes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 1):
@@ -278,29 +332,32 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
     return edges
 
 
-def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, key``."""
+    bands, rows = banding(percent / 100)
     sketches = sketch(docs, width, id_col, text_col, bands, rows)
+    least_id = F.array_min(F.transform("members", lambda m: m["doc_id"]))
+    alone = F.array_min(F.transform(F.filter("members", lambda m: m["row"].isNotNull()), lambda m: F.struct(m["row"].alias("row"), m["key"].alias("key"))))
     nodes = cut(sketches.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(F.when(F.col("row").isNotNull(), F.struct("row", "key"))).alias("alone"),
+        F.min(least_id).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(alone).alias("alone"),
     ), "nodes")
-    roots = components(candidate_edges(nodes, percent / 100, bands * rows))
-    linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most))
+    roots = components(candidate_edges(nodes, percent / 100, bands * rows, most))
+    linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most, most_bytes))
     named = nodes.select("node", "rep", "alone.row").join(linked, "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"), F.min("row").alias("least_row"))
     of_node = nodes.select("node", "rep", "alone.row").join(named.join(least, "root").select("node", "least", "least_row"), "node", "left").select(
         "node", F.coalesce("least", "rep").alias("of_node"), F.coalesce("least_row", "row").alias("of_row"),
     )
     component = F.coalesce("of_node", "doc_id")
-    alone = component.isNull() & (F.col("node").isNull() | (F.col("row") == F.col("of_row")))
-    return sketches.select("doc_id", "n_shingles", "node", "row", "key").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce((F.col("doc_id") == component) | alone, F.lit(False)).alias("kept"), "key",
+    own = component.isNull() & (F.col("node").isNull() | (F.col("row") == F.col("of_row")))
+    return sketches.select("n_shingles", "node", "members").join(of_node, "node", "left").select("n_shingles", "node", "of_node", "of_row", F.inline("members")).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce((F.col("doc_id") == component) | own, F.lit(False)).alias("kept"), "key",
     )
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``; documents link at 100 * |intersection| >= percent * |union|."""
-    return decided(docs, width=width, percent=percent, id_col=id_col, text_col=text_col, bands=bands, rows=rows, most=most).drop("key")
+    return decided(docs, width=width, percent=percent, id_col=id_col, text_col=text_col, most=most, most_bytes=most_bytes).drop("key")
 
 
 def keep_one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
