@@ -3,6 +3,7 @@
 The test items are the documents of an inverted index; every passage of the training texts is a query. Passages overlap by half and are
 twice as long as the longest item, so every item that a text contains lies wholly in a passage. Scores are
 divided by the score of an item against itself, so one threshold fits all items and a passage that contains an item scores 1.
+Document frequencies, mean and greatest length are those of the whole test set, however it is taken.
 
 Items stand in the order of the weight that their common terms have together, and are cut into ranges. A range's bound for a passage
 is the largest such weight in it plus the largest impacts there of the passage's rarer terms; it comes from differences of running sums, for
@@ -13,11 +14,11 @@ threshold is retrieved.
 A retrieved item counts if of the five-word shingles of its question, and of those of its answer, at least 0.8 occur in the text. The
 answer is an item's last line; an item of one line is split before its last fifth.
 
-Words are lower-cased and stripped of all but letters and digits; words with none are left out. The index holds ``BLOCK_ITEMS`` items at most and
-is broadcast; a larger test set is taken in so many blocks, each against all texts.
+Words are lower-cased and stripped of all but letters and digits; words with none are left out. An index is broadcast and holds items
+of about ``BLOCK_BYTES`` of text; a larger test set is taken in so many blocks, one after another, each against all texts. Blocks don't change the results.
 
-Defined results: null and empty texts and items match nothing; items without words are ignored; repeated ids give rows of their own; an empty table
-gives an empty result; ``clean`` keeps all columns of its input.
+Defined results: null and empty texts and items match nothing; items without words are ignored; repeated ids and items give rows of their own; texts of any
+length are searched whole; an empty table gives an empty result; other columns, whatever their names, are ignored by ``leaks`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hapframe.llm.arrow import word_codes
-from hapframe.llm.common import release, table
+from hapframe.llm.common import cut, release, table
 from hapframe.llm.tokens import bounded_batches
 
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 32, 5
-THRESHOLD, OVERLAP, BLOCK_ITEMS = 0.6, 0.8, 20_000
+THRESHOLD, OVERLAP, BLOCK_BYTES = 0.6, 0.8, 8 << 20
 #: Ranges of items, and the share of items from which on a term is common.
 RANGES, COMMON = 16, 0.02
 NOT_WORD = re.compile(r"[\W_]+")
@@ -62,30 +64,45 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (words[:at], words[at:]) if at > 0 else (words, words)
 
 
+def item_words(parts: tuple[list[str], list[str]]) -> list[str]:
+    return parts[0] + parts[1] if parts[0] is not parts[1] else parts[0]
+
+
 def shingles(ids: list[int]) -> set[tuple[int, ...]]:
     n = min(SHINGLE, len(ids))
     return {tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)} if n else set()
 
 
+class Corpus:
+    """Of a whole test set: number of items with words, their mean and greatest length, and in how many each term is (of some terms at least)."""
+
+    def __init__(self, n: int, mean: float, longest: int, df: dict[str, int]):
+        self.n, self.mean, self.longest, self.df = n, mean, longest, df
+
+    @classmethod
+    def of(cls, parts: list[list[str]]) -> Corpus:
+        return cls(len(parts), sum(map(len, parts)) / max(len(parts), 1), max(map(len, parts), default=1), Counter(w for words in parts for w in set(words)))
+
+
 class Index:
-    """Postings with impacts in [0, 1], blocks of them with their maxima, and each item's shingles."""
+    """Postings with impacts in [0, 1], blocks of them with their maxima, and each item's shingles. The items are all of the test set unless ``corpus`` tells more."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
         kept = [(key, qa) for key, text in items if sum(map(len, qa := question_and_answer(text or "")))]
-        parts = [qa[0] + qa[1] if qa[0] is not qa[1] else qa[0] for _, qa in kept]
+        parts = [item_words(qa) for _, qa in kept]
         self.keys, self.ids = [key for key, _ in kept], {}
         for words in parts:
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
-        df, n = Counter(w for words in parts for w in set(words)), len(parts)
-        mean = sum(map(len, parts)) / max(n, 1)
+        corpus = Corpus.of(parts) if corpus is None else corpus
+        df, all_, mean, n = corpus.df, corpus.n, corpus.mean, len(parts)
         weights = []
         for words in parts:
             tf = Counter(words)
-            weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
+            weight = {w: math.log(1 + (all_ - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
             own = sum(weight.values())
             weights.append({w: x / own for w, x in weight.items()})
-        common = {w for w, k in df.items() if k > max(2, COMMON * n)}
+        common = {w for w in self.ids if df[w] > max(2, COMMON * all_)}
         mass = [sum(x for w, x in weight.items() if w in common) for weight in weights]
         order = sorted(range(n), key=lambda k: (mass[k], k))
         self.keys, kept = [self.keys[k] for k in order], [kept[k] for k in order]
@@ -107,7 +124,7 @@ class Index:
         self.ends = [[p[min(i + BLOCK, len(p)) - 1][0] for i in range(0, len(p), BLOCK)] for p in postings]
         self.maxima = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in postings]
         self.upper = [max(x) for x in self.impacts]
-        self.longest = max(map(len, parts), default=1)
+        self.longest = corpus.longest
         encode = lambda words: [self.ids[w] for w in words]
         self.parts = [(shingles(encode(q)), shingles(encode(a))) for _, (q, a) in kept]
 
@@ -212,45 +229,73 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str, block_items: int) -> list[Index]:
-    """The test set in blocks of at most about ``block_items``."""
-    n = -(-items.count() // block_items)
-    rows = items.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(max(n, 1))).alias("block"))
-    blocks = (rows.where(F.col("block") == b).select("k", "t").orderBy("k", "t").collect() for b in range(n))
-    return [index for block in blocks if (index := Index([tuple(r) for r in block])).keys]
-
-
-def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
+    """The test set in indexes of about ``block_bytes`` of text, one at a time. Only a block's items and the counts of its terms reach the driver."""
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // block_bytes))
+
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [item_words(question_and_answer(t or "")) for t in batch.column(1).to_pylist()]
+            counts = pa.array(list(map(len, found)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts, pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))], ["k", "t", "block", "n_words", "terms"])
+
+    kind = items.schema[id_col].dataType.simpleString()
+    rows = items.select(own.alias("k"), text.alias("t"), F.floor(F.rand(5) * n).cast("int").alias("block"))
+    rows = cut(rows.mapInArrow(describe, f"k {kind}, t string, block int, n_words long, terms array<string>").where("n_words > 0"), "items")
+    whole = rows.agg(F.count("*"), F.avg("n_words"), F.max("n_words")).first()
+    if not whole[0]:
+        return
+    counts = cut(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    for b in range(n):
+        block = rows.where(F.col("block") == b)
+        own_terms = block.select(F.explode("terms").alias("term")).distinct()
+        df = dict(map(tuple, (counts.join(own_terms, "term", "left_semi") if n > 1 else counts).collect()))
+        held = block.select("k", "t").orderBy("k", "t").collect()
+        if held:
+            yield Index([tuple(r) for r in held], Corpus(*whole, df))
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of every text that contains an item."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    key = items.schema[item_id].dataType.simpleString()
+    key, kind = items.schema[item_id].dataType.simpleString(), to_arrow_type(items.schema[item_id].dataType)
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {key}, score double, question_overlap double, answer_overlap double"
-    narrow, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), None
-    for index in indexes(items, item_id, item_text, block_items):
-        shared = spark.sparkContext.broadcast(index)
+    narrow, out, last = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), None, None
+    for index in indexes(items, item_id, item_text, block_bytes):
+        if last is not None:  # another block follows: this one's rows are written, and its index let go
+            part = cut(part, "leaks")
+            last.destroy()
+            out = part if out is None else out.union(part)
+        last = shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 2000):
                     batch = whole.slice(at, 2000)
                     found = shared.value.scan(batch.column(1), threshold, overlap)
-                    named = pa.array([shared.value.keys[f[1]] for f in found])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), named.cast(pa.int64()) if not found else named, *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    named = pa.array([shared.value.keys[f[1]] for f in found], kind)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), named, *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
             release()
 
         part = narrow.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return part if out is None else out.union(part)
 
 
-def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows whose text contains no item, as they are."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    at_text = docs.columns.index(text_col)
-    for index in indexes(items, item_id, item_text, block_items):
-        shared = spark.sparkContext.broadcast(index)
+    at_text, last = docs.columns.index(text_col), None
+    for index in indexes(items, item_id, item_text, block_bytes):
+        if last is not None:
+            docs = cut(docs, "clean")
+            last.destroy()
+        last = shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
