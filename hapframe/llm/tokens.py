@@ -6,18 +6,23 @@ Documents are dealt by ranges of their key, sorted and encoded; every range beco
     starts     u64[n + 1]   first id of each document, in ids
     keys       Arrow IPC    the documents' keys, ascending (null keys first)
     bits       u64[]        the levels of the hash function, one bitmap after another
+    ranks      u64[]        set bits before every ``RANK_WORDS`` words of them
     slots      (fingerprint u32, ordinal u32, run u32)[distinct keys]
     footer     JSON with the places of the sections, its length u32, magic
 
 The hash function is built level by level: keys that meet no other in a bitmap of a level set its bit, the rest go to
 the next level. The number of set bits below a key's bit is its slot, so the function is minimal and perfect over the shard's keys,
-and a key costs one probe a level (1.6 on average at two bits a key). The slot's fingerprint turns away strangers; the ordinal
+and a key costs one probe a level (1.6 on average at two bits a key). A lookup reads a few words of the bitmaps, one rank, one slot and two starts by their
+places, however large the shard is. The slot's fingerprint turns away strangers; the ordinal
 leads to the document, ``run`` tells how many documents share the key. A shard is found by its key range in the
 manifest, which the driver writes last, so a directory without one is an unfinished write. Files are written under another
 name and moved, and encoding is deterministic, so tasks can run again.
 
+Shards are as many as ``spark.sql.shuffle.partitions`` says, or more if one would get more than ``SHARD_BYTES`` of text. Rows of one key may lie in several shards.
+
 Defined results: null text is the empty text (only the end id); null keys come first and aren't in the index; repeated keys
-keep all their documents, ordered by text; an empty table gives no shard and no row; other columns are ignored.
+keep all their documents, in an order that their texts give; a text of any length is encoded whole; an empty table gives no shard and no row; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ import json
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +46,20 @@ from pyspark.sql import functions as F
 
 from hapframe.llm.common import new_path, release, table
 
-MAGIC, END_ID, TOKENIZER = b"HFTOK1\n\0", 1, "word_bpe_49k.json"
+MAGIC, END_ID, TOKENIZER = b"HFTOK2\n\0", 1, "word_bpe_49k.json"
+RANK_WORDS, SHARD_BYTES = 8, 64 << 20
 #: Words kept with their ids in each generation of a Python worker, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
 #: Stands between words encoded in one call, and the number of these.
 BETWEEN, JOINED = "\x01", 1000
+#: What a tokenizer does before its model if words may be encoded apart.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 #: A text with one of these is encoded whole: the strings of special tokens, and marks that may compose across a change.
 WHOLE = r"<\||\pM"
 #: Letters of the Latin, Greek and Cyrillic blocks that neither normalising nor lowering turns into a letter and a mark.
@@ -67,9 +83,9 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Encodes many texts at once through their distinct words.
+    """Encodes many texts at once, through their distinct words where the tokenizer is one of those that ``APART`` describes, else whole.
 
-    The tokenizer's pieces never cross white space, nor the border between a letter and an ASCII sign after it, so a text's
+    Such a tokenizer's pieces never cross white space, nor the border between a letter and an ASCII sign after it, so a text's
     ids are those of its words in turn; each distinct word is encoded once and kept. A new word of a-z alone is one piece, so the
     tokenizer's model takes it as it is; other new words are encoded many in one call, with a control character between them whose
     id no other text gives.
@@ -80,6 +96,8 @@ class Encoder:
 
         self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.wide = self.model.get_vocab_size() > 65536
+        told = json.loads(self.model.to_str())
+        self.apart = all(told[k] == v for k, v in APART.items()) and not told["post_processor"] and not told["model"].get("dropout") and not told["truncation"]
         between = self.model.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
         self.pieces = self.model.model
@@ -132,6 +150,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
+        if not self.apart:
+            return [np.frombuffer(x, "<u4") for x in self._direct(texts.to_pylist())]
         whole = pc.match_substring_regex(texts, WHOLE)
         plain = pc.if_else(whole, "", texts)
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), SPLIT_AFTER, r"\1 \2")
@@ -213,15 +233,15 @@ class ShardWriter:
         self.fs, self.dir = pafs.FileSystem.from_uri(directory)
         self.name, self.wide = name, wide
         self.tmp = f"{self.dir}/_{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-        self.out, self.sizes, self.keys = self.fs.open_output_stream(self.tmp), [], []
+        self.out, self.sizes, self.keys = self.fs.open_output_stream(self.tmp), [np.zeros(1, np.int64)], []
 
     def add(self, keys: pa.Array, docs: list[np.ndarray]) -> None:
         self.out.write(np.concatenate([*docs, np.empty(0, "<u4")]).astype("<u4" if self.wide else "<u2").tobytes())
-        self.sizes += map(len, docs)
+        self.sizes.append(np.fromiter(map(len, docs), np.int64, len(docs)))
         self.keys.append(keys)
 
     def close(self) -> dict:
-        starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)]).astype("<u8")
+        starts = np.cumsum(np.concatenate(self.sizes)).astype("<u8")
         keys = pa.concat_arrays(self.keys)
         n_null = keys.null_count
         known = keys.slice(n_null)
@@ -235,7 +255,7 @@ class ShardWriter:
         slots["fingerprint"][at] = mix64(hashes, 999).astype(np.uint32)
         slots["ordinal"][at], slots["run"][at] = first + n_null, np.diff(np.append(first, len(known)))
         place, sections = int(starts[-1]) * (4 if self.wide else 2), {}
-        for name, data in (("starts", starts.tobytes()), ("keys", _ipc(keys)), ("bits", function.bits.tobytes()), ("slots", slots.tobytes())):
+        for name, data in (("starts", starts.tobytes()), ("keys", _ipc(keys)), ("bits", function.bits.tobytes()), ("ranks", function.rank[::RANK_WORDS].astype("<u8").tobytes()), ("slots", slots.tobytes())):
             self.out.write(data)
             sections[name] = [place, len(data)]
             place += len(data)
@@ -247,7 +267,7 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Opens a shard by its footer; ids are read by range."""
+    """Opens a shard by its footer. ``get`` reads a bounded number of bytes by place; ``find`` takes many keys and reads the index once."""
 
     def __init__(self, uri: str):
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -258,15 +278,30 @@ class ShardReader:
             raise ValueError(f"{uri} is no shard, or not a whole one")
         n = struct.unpack("<I", tail[:4])[0]
         self.meta = json.loads(self.file.read_at(n, size - 12 - n))
-        self.starts = np.frombuffer(self._section("starts"), "<u8").astype(np.int64)
-        self.function = PerfectHash(self.meta["levels"], np.frombuffer(self._section("bits"), "<u8"))
-        self.slots = np.frombuffer(self._section("slots"), SLOT)
         self.type = "<u4" if self.meta["wide"] else "<u2"
 
     def _section(self, name: str) -> bytes:
         at, n = self.meta["sections"][name]
         return self.file.read_at(n, at)
 
+    def _some(self, name: str, kind, first: int, n: int = 1) -> np.ndarray:
+        """Values ``first`` to ``first + n`` of a section, or as many as it has."""
+        at, size = self.meta["sections"][name]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(min(n * width, size - first * width), at + first * width), kind)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self._section("starts"), "<u8").astype(np.int64)
+
+    @cached_property
+    def function(self) -> PerfectHash:
+        return PerfectHash(self.meta["levels"], np.frombuffer(self._section("bits"), "<u8"))
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        return np.frombuffer(self._section("slots"), SLOT)
+
     def keys(self) -> pa.Array:
         return pa.ipc.open_stream(self._section("keys")).read_all().column(0).combine_chunks()
 
@@ -281,17 +316,32 @@ class ShardReader:
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of the documents with ordinals first..last-1, widened."""
-        a, b = self.starts[first], self.starts[last]
+        return self._ids(self.starts[first], self.starts[last])
+
+    def _ids(self, a: int, b: int) -> np.ndarray:
         width = np.dtype(self.type).itemsize
         return np.frombuffer(self.file.read_at(int(b - a) * width, int(a) * width), self.type).astype("<u4")
 
     def get(self, key) -> list[np.ndarray]:
-        """Ids of every document with this key."""
-        (at,), (n,) = self.find(pa.array([key]))
-        return [self.ids(i, i + 1) for i in range(at, at + n)]
-
-
-def write_shards(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> dict:
+        """Ids of every document with this key: a few words, a rank and a slot of the index, and the documents' own starts and ids."""
+        h, base = key_hashes(pa.array([key]), self.meta["seed"]), 0
+        for level, m in enumerate(self.meta["levels"]):
+            word, bit = divmod(int(mix64(h, level)[0] % np.uint64(m)), 64)
+            word += base
+            block = word // RANK_WORDS * RANK_WORDS
+            words = self._some("bits", "<u8", block, word - block + 1)
+            if int(words[-1]) >> bit & 1:
+                slot = int(self._some("ranks", "<u8", block // RANK_WORDS)[0]) + int(np.bitwise_count(words[:-1]).sum()) + (int(words[-1]) & (1 << bit) - 1).bit_count()
+                found = self._some("slots", SLOT, slot)[0]
+                if found["fingerprint"] != mix64(h, 999).astype(np.uint32)[0]:
+                    return []
+                starts = self._some("starts", "<u8", int(found["ordinal"]), int(found["run"]) + 1)
+                return [self._ids(a, b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            base += m // 64
+        return []
+
+
+def write_shards(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> dict:
     """Encode and write; returns the manifest, which is also written. Holds one row a shard on the driver."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -318,8 +368,12 @@ def write_shards(docs: DataFrame, directory: str, *, id_col: str = "doc_id", tex
             del encoder, writer
         release()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    text = F.col(f"`{text_col}`")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // shard_bytes))
+    # Rows of one key and text are told apart too, so that none of them must all go to one shard.
+    named = docs.select(F.col(f"`{id_col}`").alias("key"), text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = named.repartitionByRange(n, "key", "tie", "row").sortWithinPartitions("key", "tie", "row").select("key", "text")
     shards = sorted((json.loads(r[0]) for r in dealt.mapInArrow(encode, "shard string").collect()), key=lambda s: s["name"])
     start = 0
     for shard in shards:
@@ -366,12 +420,27 @@ def read_shards(spark: SparkSession, directory: str, key_type: str = "long") ->
     return spark.range(0, len(places), 1, len(places)).mapInArrow(read, schema)
 
 
+class TokenStore:
+    """Keyed access to written shards: the manifest is read once, a shard is found by its key range."""
+
+    def __init__(self, directory: str):
+        fs, root = pafs.FileSystem.from_uri(directory)
+        with fs.open_input_stream(f"{root}/manifest.json") as file:
+            self.shards = [s for s in json.loads(file.read())["shards"] if s["first"] is not None]
+        self.directory, self.lasts = directory, [s["last"] for s in self.shards]
+
+    def get(self, key) -> list[np.ndarray]:
+        """Ids of every document with this key."""
+        out = []
+        for s in self.shards[bisect_left(self.lasts, key) :]:
+            if s["first"] > key:
+                break
+            out += ShardReader(f"{self.directory}/{s['name']}").get(key)
+        return out
+
+
 def lookup(directory: str, key) -> list[np.ndarray]:
-    """Ids of every document with this key: the shard by its range, the place by its index."""
-    fs, root = pafs.FileSystem.from_uri(directory)
-    with fs.open_input_stream(f"{root}/manifest.json") as file:
-        shards = json.loads(file.read())["shards"]
-    return [ids for s in shards if s["first"] is not None and s["first"] <= key <= s["last"] for ids in ShardReader(f"{directory}/{s['name']}").get(key)]
+    return TokenStore(directory).get(key)
 
 
 def token_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
