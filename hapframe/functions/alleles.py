@@ -34,4 +34,6 @@ def vcf_symbol(allele: Column) -> Column:
 
 
 def vcf_allele(symbol: Column) -> Column:
-    return F.when(symbol == ".", MISSING).otherwise(symbol.cast("int"))
+    """0..13; ``.`` is missing. Larger alleles, and what is none, fail."""
+    value = symbol.try_cast("int")
+    return F.when(symbol.isNull(), F.lit(None).cast("int")).when(symbol == ".", MISSING).when(value <= MAX_ALLELE, value).otherwise(F.raise_error(F.lit(f"allele beyond {MAX_ALLELE}")).cast("int"))

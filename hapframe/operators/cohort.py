@@ -19,3 +19,8 @@ def bitmaps(alleles: DataFrame) -> DataFrame:
     """``hap, word_idx, word``: for each haplotype a bit for each site at which it isn't REF."""
     bit = (F.col("allele") != 0).cast("long") * F.pow(F.lit(2.0), F.col("site_id") % 32).cast("long")
     return alleles.groupBy("hap", F.floor(F.col("site_id") / 32).cast("int").alias("word_idx")).agg(F.bit_or(bit).alias("word"))
+
+
+def bitmap_of(bitmaps: DataFrame, hap: int) -> DataFrame:
+    """The words of one haplotype."""
+    return bitmaps.where(F.col("hap") == hap)

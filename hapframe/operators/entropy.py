@@ -1,112 +1,262 @@
-"""Adaptive range coding of word streams, one independent stream a (block, group, archetype).
+"""Adaptive entropy coding: of bytes, and of the segments of packed words by a context model.
 
-A binary arithmetic coder with a 32-bit interval codes the bits of every symbol under adaptive probabilities that are chosen by
-the bits before it in the symbol and by the symbol before it. Streams are coded in parallel; inside one the coder is
-sequential by nature. The bytes are of this library's own format; decoding gives back the input.
+A binary arithmetic coder with a 32-bit interval codes every decision under an adaptive probability. Bytes and lengths are coded bit by bit, each bit
+in the context of those before it (``BitModel``); symbols of small alphabets by halving the alphabet under counts that grow and are halved
+(``FrequencyModel``), many of which are chosen by what came before (``ContextModel``). The context coder knows a site as runs of equal clean words and as literal
+words: runs cost a symbol and a length, literals their four bytes.
+
+Streams are cut into parts of about ``PART`` bytes of input, each coded from fresh models, so that a worker never holds more of a block. Parts
+are coded in parallel where keys differ, and decoded all in parallel. The bytes are of this library's own format; decoding gives back the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hapframe.operators import ewah
+
 TOP, MASK = 1 << 24, 0xFFFFFFFF
+PART = 1 << 18
 
 
-class BitModel:
-    """Probabilities of a one bit, in 1/65536, by context."""
+class Writer:
+    """Takes decisions with the probability of a one in 1/65536."""
 
     def __init__(self) -> None:
-        self.p: dict[int, int] = {}
+        self.low, self.high, self.out = 0, MASK, bytearray()
 
-    def split(self, context: int, low: int, high: int) -> int:
-        return low + ((high - low) * self.p.get(context, 32768) >> 16)
+    def bit(self, p: int, value: int) -> int:
+        low, high = self.low, self.high
+        middle = low + ((high - low) * p >> 16)
+        low, high = (low, middle) if value else (middle + 1, high)
+        while (low ^ high) < TOP:
+            self.out.append(high >> 24)
+            low, high = low << 8 & MASK, high << 8 & MASK | 255
+        self.low, self.high = low, high
+        return value
 
-    def learn(self, context: int, bit: int) -> None:
-        p = self.p.get(context, 32768)
-        self.p[context] = min(65472, p + ((65536 - p) >> 5)) if bit else max(64, p - (p >> 5))
+    def close(self) -> bytes:
+        return bytes(self.out) + self.low.to_bytes(4, "big")
 
 
-def encode(data: bytes) -> bytes:
-    model, low, high, out, before = BitModel(), 0, MASK, bytearray(), 0
-    for symbol in data:
+class Reader:
+    """Gives the decisions back; what it is told as their value doesn't count."""
+
+    def __init__(self, data: bytes) -> None:
+        self.low, self.high, self.data, self.at = 0, MASK, data, 4
+        self.code = int.from_bytes(data[:4].ljust(4, b"\0"), "big")
+
+    def bit(self, p: int, value: int = 0) -> int:
+        low, high = self.low, self.high
+        middle = low + ((high - low) * p >> 16)
+        value = int(self.code <= middle)
+        low, high = (low, middle) if value else (middle + 1, high)
+        while (low ^ high) < TOP:
+            low, high = low << 8 & MASK, high << 8 & MASK | 255
+            self.code = self.code << 8 & MASK | (self.data[self.at] if self.at < len(self.data) else 0)
+            self.at += 1
+        self.low, self.high = low, high
+        return value
+
+
+class BitModel:
+    """Probabilities of a one bit, in 1/65536, by context. A context learns fast at first, and by ``1 / limit`` once it is old."""
+
+    def __init__(self, limit: int = 60) -> None:
+        self.seen, self.limit = {}, limit
+
+    def bit(self, coder: Writer | Reader, context, value: int) -> int:
+        p, n = self.seen.get(context, (32768, 2))
+        value = coder.bit(p, value)
+        p += ((65536 if value else 0) - p) // n
+        self.seen[context] = (min(65472, max(64, p)), n + 1 if n < self.limit else n)
+        return value
+
+    def bits(self, coder: Writer | Reader, context, value: int, n: int) -> int:
+        """A number of ``n`` bits, the highest first, each in the context of those before it."""
         node = 1
-        for k in range(7, -1, -1):
-            bit, context = symbol >> k & 1, before << 8 | node
-            middle = model.split(context, low, high)
-            low, high = (low, middle) if bit else (middle + 1, high)
-            model.learn(context, bit)
-            node = node << 1 | bit
-            while (low ^ high) < TOP:
-                out.append(high >> 24)
-                low, high = low << 8 & MASK, high << 8 & MASK | 255
-        before = symbol
-    return bytes(out) + low.to_bytes(4, "big")
+        for k in range(n - 1, -1, -1):
+            node = node << 1 | self.bit(coder, (context, node), value >> k & 1)
+        return node - (1 << n)
+
+
+class FrequencyModel:
+    """Counts of the symbols of an alphabet; they grow by ``step``, and are halved beyond ``most`` in all."""
+
+    def __init__(self, size: int, step: int = 24, most: int = 1 << 13) -> None:
+        self.counts, self.total, self.step, self.most = [1] * size, size, step, most
+
+    def probability(self, symbol: int) -> float:
+        return self.counts[symbol] / self.total
+
+    def code(self, coder: Writer | Reader, symbol: int) -> int:
+        low, high, all_ = 0, len(self.counts), self.total
+        while high - low > 1:
+            middle = (low + high) // 2
+            lower = sum(self.counts[low:middle])
+            if coder.bit(min(65472, max(64, (lower << 16) // all_)), int(symbol < middle)):
+                high, all_ = middle, lower
+            else:
+                low, all_ = middle, all_ - lower
+        self.counts[low] += self.step
+        self.total += self.step
+        if self.total > self.most:
+            self.counts = [(c + 1) >> 1 for c in self.counts]
+            self.total = sum(self.counts)
+        return low
+
+
+class ContextModel:
+    """Frequency models of one alphabet, by context; the caller holds the context."""
+
+    def __init__(self, size: int, step: int = 24, most: int = 1 << 13) -> None:
+        self.of, self.make = {}, lambda: FrequencyModel(size, step, most)
+
+    def code(self, coder: Writer | Reader, context, symbol: int) -> int:
+        model = self.of.get(context)
+        if model is None:
+            model = self.of[context] = self.make()
+        return model.code(coder, symbol)
+
+    def probability(self, context, symbol: int) -> float:
+        return (self.of.get(context) or self.make()).probability(symbol)
+
+
+#: By archetype: symbols of a run, and step and limit of the counts.
+MODELS = {"2mc": {"refs": 2, "step": 24, "most": 1 << 13}, "nm": {"refs": 16, "step": 16, "most": 1 << 12}}
+
+
+class SegmentCoder:
+    """Codes the words of sites in turn; the same calls, told nothing, read them back."""
+
+    def __init__(self, archetype: str) -> None:
+        of = MODELS[archetype]
+        counts = {k: of[k] for k in ("step", "most")}
+        self.bits, self.kinds, self.refs, self.sizes = ewah.BITS[archetype], ContextModel(2, **counts), ContextModel(of["refs"], **counts), ContextModel(33, **counts)
+        self.low, self.literals = BitModel(), BitModel()
+        self.ref, self.log = 0, 0
+
+    def _size(self, coder: Writer | Reader, run: int, n: int) -> int:
+        """A length by its number of bits, then the bits below the first."""
+        log = self.sizes.code(coder, (run, self.ref if run else -1, min(self.log, 12)), n.bit_length())
+        self.log = log
+        return (1 << (log - 1)) + self.low.bits(coder, (run, log), n - (1 << (n.bit_length() - 1)) if n else 0, log - 1)
+
+    def site(self, coder: Writer | Reader, n_words: int, words: np.ndarray | None = None) -> np.ndarray:
+        """Words of one site: given to a Writer, made by a Reader."""
+        out = np.empty(n_words, "<u4") if words is None else words
+        segments = iter(()) if words is None else zip(*(x.tolist() for x in ewah.word_segments(words, self.bits)), strict=True)
+        at, before = 0, 2
+        while at < n_words:
+            ref, size = next(segments, (-1, 0))
+            run = before = self.kinds.code(coder, before, int(ref >= 0))
+            if run:
+                self.ref = self.refs.code(coder, self.ref, max(ref, 0))
+            size = self._size(coder, run, size)
+            if run and words is None:
+                out[at : at + size] = self.ref * (ewah.FULL if self.bits == 1 else ewah.NIBBLES)
+            elif not run:
+                for k in range(at, at + size):
+                    word, made, ones = int(out[k]) if words is not None else 0, 0, 0
+                    for j in range(4):  # lowest byte first, in the context of how many bits are set so far
+                        byte = self.literals.bits(coder, (j, ones), word >> 8 * j & 255, 8)
+                        made |= byte << 8 * j
+                        ones = min(made.bit_count(), 5) if self.bits == 1 else byte
+                    out[k] = made
+            at += size
+        return out
+
+
+def encode(data: bytes) -> bytes:
+    """Bytes, each in the context of the one before."""
+    coder, model, before = Writer(), BitModel(), 0
+    for byte in data:
+        before = model.bits(coder, before, byte, 8)
+    return coder.close()
 
 
 def decode(data: bytes, n: int) -> bytes:
-    model, low, high, before = BitModel(), 0, MASK, 0
-    code, at, out = int.from_bytes(data[:4].ljust(4, b"\0"), "big"), 4, bytearray()
+    coder, model, out, before = Reader(data), BitModel(), bytearray(), 0
     for _ in range(n):
-        node = 1
-        for _ in range(8):
-            context = before << 8 | node
-            middle = model.split(context, low, high)
-            bit = int(code <= middle)
-            low, high = (low, middle) if bit else (middle + 1, high)
-            model.learn(context, bit)
-            node = node << 1 | bit
-            while (low ^ high) < TOP:
-                low, high = low << 8 & MASK, high << 8 & MASK | 255
-                code = code << 8 & MASK | (data[at] if at < len(data) else 0)
-                at += 1
-        before = node & 255
+        before = model.bits(coder, before, 0, 8)
         out.append(before)
     return bytes(out)
 
 
-def code_streams(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, n_sites, n_bytes, payload``: the vectors of each key (rows with ``site_id, gt``) as one coded stream."""
+def parts(batches: Iterable[pa.RecordBatch], keys: list[str], size: int) -> Iterator[tuple[tuple, int, list[dict]]]:
+    """(key, number of the part, rows) of sorted rows with a ``gt``, in parts of about ``size`` bytes of one key."""
+    key, number, held, n = None, 0, [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = tuple(row[k] for k in keys)
+            if held and (own != key or n >= size):
+                yield key, number, held
+                number, held, n = number + 1, [], 0
+            number, key = (number, key) if own == key else (0, own)
+            held.append(row)
+            n += len(row["gt"])
+    if held:
+        yield key, number, held
+
+
+def _kinds(frame: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {frame.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("site_id")
-        data = b"".join(table.column("gt").to_pylist())
-        row = {k: [table.column(k)[0].as_py()] for k in keys} | {"n_sites": [table.num_rows], "n_bytes": [len(data)], "payload": [encode(data)]}
-        yield pa.RecordBatch.from_pydict(row, pa.schema([*(vectors_type.field(k) for k in keys), ("n_sites", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())]))
 
+def code_streams(vectors: DataFrame, keys: list[str], code: Callable[[bytes], bytes] = encode, size: int = PART) -> DataFrame:
+    """``keys, part, site_ids, n_bytes, payload``: the vectors of each key (rows with ``site_id, gt``) as coded streams."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    vectors_type = to_arrow_schema(vectors.schema)
-    schema = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys) + ", n_sites long, n_bytes long, payload binary"
-    return vectors.groupBy(*keys).applyInArrow(lambda table: pa.Table.from_batches(run(table.to_batches())), schema)
+    types = to_arrow_schema(vectors.schema)
+    schema = pa.schema([*(types.field(k) for k in keys), ("part", pa.int32()), ("site_ids", pa.list_(pa.int32())), ("n_bytes", pa.int64()), ("payload", pa.binary())])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, number, rows in parts(batches, keys, size):
+            data = b"".join(r["gt"] for r in rows)
+            row = dict(zip(keys, key, strict=True)) | {"part": number, "site_ids": [r["site_id"] for r in rows], "n_bytes": len(data), "payload": code(data)}
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    dealt = vectors.select(*keys, "site_id", "gt").repartition(*keys).sortWithinPartitions(*keys, "site_id")
+    return dealt.mapInArrow(run, f"{_kinds(vectors, keys)}, part int, site_ids array<int>, n_bytes long, payload binary")
 
-def decode_streams(coded: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, i, gt``: vectors in the order of their sites."""
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    types = to_arrow_schema(coded.schema)
-    schema = ", ".join(f"{k} {coded.schema[k].dataType.simpleString()}" for k in keys) + ", i long, gt binary"
+def decode_streams(coded: DataFrame, keys: list[str], read: Callable[[bytes, int], bytes] = decode) -> DataFrame:
+    """``keys, site_id, gt`` of what ``code_streams`` made. No shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data, width = decode(row["payload"], row["n_bytes"]), row["n_bytes"] // max(row["n_sites"], 1)
-                n = row["n_sites"]
-                yield pa.RecordBatch.from_pydict({k: [row[k]] * n for k in keys} | {"i": list(range(n)), "gt": [data[i * width : (i + 1) * width] for i in range(n)]}, pa.schema([*(types.field(k) for k in keys), ("i", pa.int64()), ("gt", pa.binary())]))
+            for k, (sites, n, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("site_ids", "n_bytes", "payload")), strict=True)):
+                data, width = read(payload, n), n // max(len(sites), 1)
+                own = [batch.column(c).take(pa.array([k] * len(sites))) for c in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sites, pa.int32()), pa.array([data[i * width : (i + 1) * width] for i in range(len(sites))], pa.binary())], [*keys, "site_id", "gt"])
 
-    return coded.mapInArrow(run, schema)
+    return coded.select(*keys, "site_ids", "n_bytes", "payload").mapInArrow(run, f"{_kinds(coded, keys)}, site_id int, gt binary")
 
 
-def compressed_size(vectors: DataFrame, codec: str = "zstd", level: int = 19) -> DataFrame:
-    """``site_id, n_bytes, n_coded``: general codecs on single vectors (zstd, or lz4 where installed)."""
+def general_codec(name: str, level: int | None = None) -> tuple[Callable[[bytes], bytes], Callable[[bytes, int], bytes]]:
+    """(compress, decompress) of zstd or lz4; lz4 compresses harder from level 3 on."""
+    make = lambda: pa.Codec(name, level) if level is not None else pa.Codec(name)
+    return lambda data: make().compress(data, asbytes=True), lambda data, n: pa.Codec(name).decompress(data, n, asbytes=True)
+
+
+def codec_streams(vectors: DataFrame, keys: list[str], codec: str = "zstd", level: int | None = 19, size: int = PART) -> DataFrame:
+    """``keys, part, n_sites, n_bytes, n_coded, equal``: streams under a general codec, and whether they come back as they were."""
+    compress, decompress = general_codec(codec, level)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.Codec(codec, level) if codec == "zstd" else pa.Codec(codec)
-        for batch in batches:
-            data = batch.column("gt").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("site_id"), pa.array(list(map(len, data)), pa.int64()), pa.array([len(kind.compress(d)) for d in data], pa.int64())], ["site_id", "n_bytes", "n_coded"])
+        for key, number, rows in parts(batches, keys, size):
+            data = b"".join(r["gt"] for r in rows)
+            coded = compress(data)
+            row = dict(zip(keys, key, strict=True)) | {"part": number, "n_sites": len(rows), "n_bytes": len(data), "n_coded": len(coded), "equal": decompress(coded, len(data)) == data}
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return vectors.select("site_id", "gt").mapInArrow(run, "site_id int, n_bytes long, n_coded long")
+    types = to_arrow_schema(vectors.schema)
+    schema = pa.schema([*(types.field(k) for k in keys), ("part", pa.int32()), ("n_sites", pa.int64()), ("n_bytes", pa.int64()), ("n_coded", pa.int64()), ("equal", pa.bool_())])
+    dealt = vectors.select(*keys, "site_id", "gt").repartition(*keys).sortWithinPartitions(*keys, "site_id")
+    return dealt.mapInArrow(run, f"{_kinds(vectors, keys)}, part int, n_sites long, n_bytes long, n_coded long, equal boolean")

@@ -1,11 +1,13 @@
 """Bit packing, word-aligned run-length markers, and statistics on them.
 
 A word holds 32 symbols of one bit (2mc) or 8 of four bits (nm). A word is clean if all its symbols are equal. A marker is a run of
-equal clean words, then the dirty words up to the next clean one.
+equal clean words, then the dirty words up to the next clean one. The same is here twice: on rows, in the JVM, and on whole vectors inside an Arrow
+batch, for the archive.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,70 @@ def coverage(marked: DataFrame, bits: int) -> DataFrame:
 def encoded_bytes(marked: DataFrame) -> DataFrame:
     """Bytes of a site's markers (8 each) and dirty words (4 each), before any codec."""
     return marked.groupBy("site_id").agg((8 * F.count("*") + 4 * F.sum("dirty")).cast("long").alias("n_bytes"))
+
+
+BITS = {"2mc": 1, "nm": 4}
+
+
+def vector_words(gt: np.ndarray, bits: int) -> np.ndarray:
+    """Words of a vector, filled up with symbol 0."""
+    n = -(-len(gt) // per_word(bits))
+    out = np.zeros(4 * n, np.uint8)
+    if bits == 1:
+        packed = np.packbits(gt != 0, bitorder="little")
+    else:
+        packed = gt[0::2].copy()
+        packed[: len(gt) // 2] |= gt[1::2] << 4
+    out[: len(packed)] = packed
+    return out.view("<u4")
+
+
+def words_vector(words: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The first ``n`` symbols of words."""
+    raw = words.astype("<u4").view(np.uint8)
+    if bits == 1:
+        return np.unpackbits(raw, bitorder="little")[:n]
+    out = np.empty(2 * len(raw), np.uint8)
+    out[0::2], out[1::2] = raw & 15, raw >> 4
+    return out[:n]
+
+
+def clean_symbols(words: np.ndarray, bits: int) -> np.ndarray:
+    """The symbol that fills each word, -1 where it is dirty."""
+    if bits == 1:
+        return np.where(words == 0, 0, np.where(words == FULL, 1, -1))
+    symbol = (words & 15).astype(np.int64)
+    return np.where(words == symbol * NIBBLES, symbol, -1)
+
+
+def word_markers(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ref, clean, dirty) of each marker, and the dirty words of all."""
+    if not len(words):
+        return (np.zeros(0, np.int64),) * 3 + (words,)
+    c = clean_symbols(words, bits)
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] >= 0) & (c[1:] != c[:-1])
+    start = np.flatnonzero(new)
+    clean = np.add.reduceat((c >= 0).astype(np.int64), start)
+    return np.maximum(c[start], 0), clean, np.diff(np.append(start, len(c))) - clean, words[c < 0]
+
+
+def marker_words(ref: np.ndarray, clean: np.ndarray, dirty: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of ``word_markers``."""
+    size = clean + dirty
+    out = np.repeat(ref.astype(np.int64) * (FULL if bits == 1 else NIBBLES), size)
+    at = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+    out[at >= np.repeat(clean, size)] = words
+    return out.astype("<u4")
+
+
+def word_segments(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ref or -1 for literals, number of words) of the context coder's segments."""
+    if not len(words):
+        return (np.zeros(0, np.int64),) * 2
+    c = clean_symbols(words, bits)
+    start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    size = np.diff(np.append(start, len(c)))
+    kind = np.where((c[start] >= 0) & (size >= (2 if bits == 1 else 1)), c[start], -1)
+    lead = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1])))
+    return kind[lead], np.add.reduceat(size, lead)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hapframe.schema import BLOCK_SITES, EOV, MISSING, RARE
+from hapframe.operators.vectors import gathered
+from hapframe.schema import BLOCK_SITES, EOV, MAX_GROUPS, MISSING, RARE
 
 
 def blocks(frame: DataFrame, size: int = BLOCK_SITES) -> DataFrame:
@@ -22,11 +23,18 @@ def site_stats(alleles: DataFrame) -> DataFrame:
     ).withColumn("archetype", F.when((F.col("n_allele") <= 2) & (F.col("n_missing") == 0) & (F.col("n_eov") == 0), "2mc").otherwise("nm"))
 
 
+def group_table(lengths: DataFrame) -> DataFrame:
+    """``n, ploidy, group_id`` from ``site_id, n, ploidy``: the pairs in the order of their first site. There are ``MAX_GROUPS`` at most, else it fails."""
+    first = lengths.groupBy("n", "ploidy").agg(F.min("site_id").alias("first")).limit(MAX_GROUPS + 1).collect()
+    if len(first) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} pairs of length and ploidy")
+    rows = [(int(r.n), int(r.ploidy), k) for k, r in enumerate(sorted(first, key=lambda r: r.first))]
+    return lengths.sparkSession.createDataFrame(rows, "n long, ploidy int, group_id int")
+
+
 def groups(stats: DataFrame) -> DataFrame:
-    """Adds ``group_id``: the (length, ploidy) pairs in the order of their first site. The pairs are few."""
-    first = stats.groupBy("n", "ploidy").agg(F.min("site_id").alias("first"))
-    named = first.select("n", "ploidy", (F.row_number().over(Window.orderBy("first")) - 1).alias("group_id"))
-    return stats.join(named, ["n", "ploidy"])
+    """Adds ``group_id``. The table of groups is broadcast, since nearly all sites share one pair."""
+    return stats.join(F.broadcast(group_table(stats)), ["n", "ploidy"])
 
 
 def routed(stats: DataFrame, block_size: int = BLOCK_SITES) -> DataFrame:
@@ -41,7 +49,6 @@ def valid(stats: DataFrame) -> DataFrame:
 
 def site_vectors(alleles: DataFrame, block_size: int = BLOCK_SITES) -> DataFrame:
     """One row a site with its route and its alleles as bytes in the order of haplotypes."""
-    digits = F.transform(F.array_sort(F.collect_list(F.struct("hap", "allele"))), lambda x: F.hex(x["allele"]))
-    vectors = alleles.groupBy("site_id").agg(digits.alias("digits"))
-    packed = vectors.select("site_id", F.unhex(F.concat(F.lit(""), F.array_join(F.transform("digits", lambda d: F.lpad(d, 2, "0")), ""))).alias("gt"))
-    return routed(site_stats(alleles), block_size).join(packed, "site_id")
+    lengths = alleles.groupBy("site_id").agg(F.count("*").alias("n"), F.max("ploidy").alias("ploidy"))
+    named = gathered(alleles).join(F.broadcast(group_table(lengths)), ["n", "ploidy"])
+    return blocks(named, block_size).withColumn("rare", (F.col("archetype") == "2mc") & (F.col("ac") < RARE))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +9,14 @@ from pyspark.sql import functions as F
 
 from hapframe.functions import alleles as codes
 from hapframe.operators import cohort, entropy, ewah, pbwt, route
-from hapframe.sources import archive, coded, vcf
+from hapframe.schema import BLOCK_SITES
+from hapframe.sources import archive, bcf, coded, synthetic, vcf
 from hapframe.sources.fixtures import duckdb_text, matrix
+from hapframe.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Of a query the fixture and the function of its matrix.
+MAKES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Sites a block in the queries; the SQL's sort keys grow with it.
 BLOCK = 16
@@ -25,8 +27,9 @@ def query(name: str, fixture: str, sql: str | None):
 
     def put(make: Callable[[DataFrame], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: make(matrix(spark, sf_dir, fixture))
+        MAKES[name] = fixture, make
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH m AS ({duckdb_text(fixture)}),\n{VIEWS}\n{sql}"
+            ORACLE_SQL[name] = f"WITH m AS MATERIALIZED ({duckdb_text(fixture)}),\n{VIEWS}\n{sql}"
         return make
 
     return put
@@ -147,19 +150,25 @@ query("archive_sizes", "g3", f"{_markers('p1', 1)}, b AS (SELECT site_id, CAST(8
     lambda m: archive.sizes(archive.encode(m, block_size=BLOCK)))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, or in a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hapframe-")
-    return f"{base.rstrip('/')}/archive-{uuid.uuid4().hex}"
-
-
-def _stored(m: DataFrame, use_pbwt: bool = True, **of) -> DataFrame:
-    path = scratch(m.sparkSession)
-    archive.write(archive.encode(m, block_size=BLOCK, use_pbwt=use_pbwt), path)
+def _stored(m: DataFrame, use_pbwt: bool = True, block_size: int = BLOCK, reset: bool = True, **of) -> DataFrame:
+    path = scratch(m.sparkSession, "archive")
+    archive.write(archive.encode(m, block_size=block_size, use_pbwt=use_pbwt, reset=reset), path)
     return archive.read(m.sparkSession, path, **of)
 
 
 query("archive_roundtrip", "g4", "SELECT site_id, hap, allele FROM m")(lambda m: archive.decode(_stored(m)))
+query("archive_no_reset", "g3", "SELECT site_id, hap, allele FROM m")(lambda m: archive.decode(_stored(m, reset=False), reset=False))
+query("archive_whole_blocks", "g4", "SELECT site_id, hap, allele FROM m")(lambda m: archive.decode(_stored(m, block_size=BLOCK_SITES)))
+_TURNED = "array_to_string(list_reverse(regexp_extract_all(printf('%0{}x', {}), '..')), '')"
+query("raw_stream", "g3", f"""{_markers('p1', 1)}, w AS (SELECT site_id, marker_idx, coalesce(string_agg(CASE WHEN c IS NULL THEN {_TURNED.format(8, 'word')} END, '' ORDER BY word_idx), '') AS words FROM k GROUP BY 1, 2)
+SELECT mk.site_id, string_agg({_TURNED.format(16, 'CAST(ref AS BIGINT) + (CAST(clean AS BIGINT) << 4) + (CAST(dirty AS BIGINT) << 34)')} || w.words, '' ORDER BY mk.marker_idx) AS stream
+FROM mk JOIN w ON mk.site_id = w.site_id AND mk.marker_idx = w.marker_idx GROUP BY mk.site_id""")(
+    lambda m: archive.flat(archive.encode(m, block_size=BLOCK)).select("site_id", F.lower(F.hex("stream")).alias("stream")))
+query("archive_fold", "g3", f"""{_markers('p1', 1)}, b AS (SELECT site_id, CAST(8 * count(*) + 4 * sum(dirty) AS BIGINT) AS n_bytes FROM mk GROUP BY site_id)
+SELECT block_id, CAST(sum(n) AS BIGINT) AS n_in, CAST(sum(n_bytes) AS BIGINT) AS n_out, CAST(sum(n) AS DOUBLE) / sum(n_bytes) AS fold FROM b JOIN stats ON b.site_id = stats.site_id GROUP BY block_id""")(
+    lambda m: archive.folds(archive.encode(m, block_size=BLOCK)))
+query("pbwt_order_text", "g4", """, o AS (SELECT a.site_id, string_agg(CAST(a.hap AS VARCHAR), ',' ORDER BY a.pos) AS "order" FROM ord a GROUP BY a.site_id) SELECT site_id, "order" FROM o""")(
+    lambda m: pbwt.order_texts(route.site_vectors(m, BLOCK)))
 query("random_access_site", "g1", "SELECT site_id, pos, allele FROM ord WHERE site_id = 37")(lambda m: archive.stored_vectors(_stored(m, block=37 // BLOCK, site=37)))
 # VCF.
 _SYMBOL = "CASE WHEN allele = 14 THEN '.' WHEN allele = 15 THEN NULL ELSE CAST(allele AS VARCHAR) END"
@@ -168,32 +177,69 @@ SELECT site_id, CAST(floor(hap / ploidy) AS INT) AS sample, coalesce(string_agg(
 query("to_vcf", "g2", _VCF)(vcf.to_vcf)
 query("to_vcf_debug", "g1", f"SELECT site_id, line || chr(9) AS line FROM ({_VCF})")(vcf.to_vcf_debug)
 query("vcf_parse_roundtrip", "g4", "SELECT site_id, CAST(floor(hap / ploidy) AS INT) AS sample, CAST(hap % ploidy AS INT) AS slot, allele FROM m WHERE allele <> 15")(lambda m: vcf.from_lines(vcf.to_vcf(m)))
+_MATRIX = "SELECT site_id, hap, ploidy, n_allele, allele FROM m"
+
+
+def _vcf_read(m: DataFrame) -> DataFrame:
+    path = scratch(m.sparkSession, "vcf")
+    vcf.write_records(m, path)
+    return vcf.renumbered(vcf.read_alleles(m.sparkSession, path), vcf.read_positions(m.sparkSession, path))
+
+
+def _bcf_read(m: DataFrame) -> DataFrame:
+    path = scratch(m.sparkSession, "bcf")
+    bcf.write_bcf(route.site_vectors(m, BLOCK), path)
+    return bcf.read_bcf(m.sparkSession, f"{path}/*.bcf").select((F.col("pos") - 1).cast("int").alias("site_id"), "hap", "ploidy", "n_allele", "allele")
+
+
+query("vcf_read", "g4", _MATRIX)(_vcf_read)
+query("vcf_samples", "g2", "SELECT CAST(floor(hap / ploidy) AS INT) AS sample, 's' || CAST(floor(hap / ploidy) AS INT) AS name FROM m WHERE site_id = (SELECT min(site_id) FROM m) GROUP BY 1, 2")(lambda m: _header(m))
+query("bcf_read", "g4", _MATRIX)(_bcf_read)
+
+
+def _header(m: DataFrame) -> DataFrame:
+    path = scratch(m.sparkSession, "vcf")
+    vcf.write_records(m, path)
+    return vcf.read_samples(m.sparkSession, path)
+
+
 # Cohorts.
-query("merge_cohorts", "g1", "SELECT site_id, hap, allele FROM m")(
+query("merge_cohorts", "g1", ", s AS (SELECT site_id FROM m GROUP BY site_id HAVING min(hap) < 100 AND max(hap) >= 100) SELECT m.site_id, hap, allele FROM m JOIN s ON m.site_id = s.site_id")(
     lambda m: cohort.merge(m.where("hap < 100"), m.where("hap >= 100").withColumn("hap", F.col("hap") - 100)).select("site_id", "hap", "allele"))
-ORACLE_SQL["merge_cohorts"] = ORACLE_SQL["merge_cohorts"].replace("SELECT site_id, hap, allele FROM m", "SELECT site_id, hap, allele FROM m WHERE site_id IN (SELECT site_id FROM m WHERE hap < 100) AND site_id IN (SELECT site_id FROM m WHERE hap >= 100)")
-query("hap_bitmap", "g3", "SELECT hap, CAST(floor(site_id / 32) AS INT) AS word_idx, bit_or(CASE WHEN allele <> 0 THEN CAST(1 AS BIGINT) << CAST(site_id % 32 AS INT) ELSE 0 END) AS word FROM m GROUP BY 1, 2")(cohort.bitmaps)
+_BITMAP = "SELECT hap, CAST(floor(site_id / 32) AS INT) AS word_idx, bit_or(CASE WHEN allele <> 0 THEN CAST(1 AS BIGINT) << CAST(site_id % 32 AS INT) ELSE 0 END) AS word FROM m{} GROUP BY 1, 2"
+query("hap_bitmap", "g3", _BITMAP.format(""))(cohort.bitmaps)
+query("hap_bitmap_of_one", "g3", _BITMAP.format(" WHERE hap = 7"))(lambda m: cohort.bitmap_of(cohort.bitmaps(m), 7))
+# Random sites.
+QUERIES["random_sites"] = lambda spark, sf_dir: synthetic.random_sites(spark, 200, 2000, most=60).select("site_id", "hap", "allele")
+ORACLE_SQL["random_sites"] = synthetic.duckdb_text(200, 2000, most=60)
+QUERIES["random_archive"] = lambda spark, sf_dir: archive.decode(archive.encode_sites(synthetic.random_vectors(spark, 200, 2000, most=60, block_size=64))).where("allele <> 0")
+ORACLE_SQL["random_archive"] = synthetic.duckdb_text(200, 2000, most=60)
 
 
 # Entropy coding: the decoded streams are the input.
-def _coded(m: DataFrame) -> DataFrame:
-    keys = ["block_id", "group_id", "archetype"]
-    vectors = route.site_vectors(m, BLOCK).select(*keys, "site_id", "gt")
-    back = entropy.decode_streams(entropy.code_streams(vectors, keys), keys)
-    from pyspark.sql import Window
+KEYS = ["block_id", "group_id", "archetype"]
+
 
-    named = vectors.select(*keys, "site_id", (F.row_number().over(Window.partitionBy(*keys).orderBy("site_id")) - 1).cast("long").alias("i"))
-    return pbwt.explode_vectors(back.join(named, [*keys, "i"])).select("site_id", "hap", "allele")
+def _coded(m: DataFrame, code=entropy.encode, read=entropy.decode) -> DataFrame:
+    vectors = route.site_vectors(m, BLOCK).select(*KEYS, "site_id", "gt")
+    return pbwt.explode_vectors(entropy.decode_streams(entropy.code_streams(vectors, KEYS, code, 1 << 12), KEYS, read)).select("site_id", "hap", "allele")
 
 
-def _coded_archive(m: DataFrame, use_pbwt: bool) -> DataFrame:
-    path = scratch(m.sparkSession)
-    coded.write(coded.encode(m, block_size=BLOCK, use_pbwt=use_pbwt), path)
+def _coded_archive(m: DataFrame, use_pbwt: bool, part_bytes: int = 1 << 12) -> DataFrame:
+    path = scratch(m.sparkSession, "coded")
+    coded.write(coded.encode(m, block_size=BLOCK, use_pbwt=use_pbwt, part_bytes=part_bytes), path)
     return m.sparkSession.read.parquet(path)
 
 
 query("entropy_roundtrip", "g2", "SELECT site_id, hap, allele FROM m")(_coded)
 for _name, _use in (("model_archive_roundtrip", True), ("model_archive_nopbwt", False)):
     query(_name, "g4", "SELECT site_id, hap, allele FROM m")(lambda m, use=_use: coded.decode(_coded_archive(m, use), use_pbwt=use).select("site_id", "hap", "allele"))
+query("model_archive_rare", "g3", "SELECT site_id, hap, allele FROM m")(lambda m: coded.decode(_coded_archive(m, True, entropy.PART)).select("site_id", "hap", "allele"))
 query("model_archive_raw", "g4", _PBWT)(lambda m: coded.stored_vectors(_coded_archive(m, True)))
-query("codec_sizes", "g1", "SELECT site_id, n AS n_bytes FROM stats")(lambda m: entropy.compressed_size(route.site_vectors(m, BLOCK)).where("n_coded > 0").select("site_id", "n_bytes"))
+_STREAMS = "SELECT block_id, group_id, archetype, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n_bytes, true AS equal, true AS smaller FROM stats GROUP BY 1, 2, 3"
+for _name, _codec, _level in (("zstd", "zstd", 19), ("lz4", "lz4", 9)):
+    query(f"codec_streams_{_name}", "g1", _STREAMS)(lambda m, codec=_codec, level=_level: entropy.codec_streams(route.site_vectors(m, BLOCK), KEYS, codec, level, 1 << 30).select(
+        *KEYS, "n_sites", "n_bytes", "equal", (F.col("n_coded") < F.col("n_bytes")).alias("smaller")))
+    query(f"codec_roundtrip_{_name}", "g2", "SELECT site_id, hap, allele FROM m")(lambda m, of=entropy.general_codec(_codec, _level): _coded(m, *of))
+query("model_folds", "g3", "SELECT block_id, group_id, archetype, CAST(sum(n) AS BIGINT) AS n_bytes, true AS smaller FROM stats GROUP BY 1, 2, 3")(
+    lambda m: coded.folds(_coded_archive(m, True, 1 << 30)).select(*KEYS, "n_bytes", (F.col("n_coded") < F.col("n_bytes")).alias("smaller")))

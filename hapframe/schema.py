@@ -6,3 +6,5 @@ MARKERS = "site_id int, dirty_type int, marker_idx int, ref int, clean int, dirt
 MISSING, EOV, MAX_ALLELE = 14, 15, 13
 BLOCK_SITES = 8192
 RARE = 10
+#: Pairs of length and ploidy in one stream.
+MAX_GROUPS = 256

@@ -142,3 +142,53 @@ def read_bcf(spark: SparkSession, path: str) -> DataFrame:
                     yield batch(name.as_py(), rows)
 
     return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInArrow(run, SCHEMA)
+
+
+def bcf_file(contig: str, n_samples: int, records: Iterable[tuple[int, int, int, np.ndarray]]) -> bytes:
+    """A plain BCF 2 file of (pos, n_allele, ploidy, alleles) records of one contig; alleles get ``(allele + 1) << 1 | 1``."""
+    names = "\t".join(f"s{k}" for k in range(n_samples))
+    header = f'##fileformat=VCFv4.2\n##contig=<ID={contig}>\n##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{names}\n'.encode() + b"\0"
+    out = [MAGIC, b"\2", struct.pack("<I", len(header)), header]
+    for pos, n_allele, ploidy, alleles in records:
+        codes = (alleles.astype(np.int64) + 1) << 1 | 1
+        codes = np.where(alleles == MISSING, 0, np.where(alleles == EOV, 0x81, codes)).astype(np.uint8)
+        shared = struct.pack("<iiifII", 0, pos - 1, 1, 0.0, n_allele << 16, 1 << 24 | len(alleles) // ploidy) + b"\x07" + b"\x17A" + b"\x17C" * (n_allele - 1) + b"\x00"
+        own = bytes([0x11, 1, ploidy << 4 | 1]) + codes.tobytes()
+        out.append(struct.pack("<II", len(shared), len(own)) + shared + own)
+    return b"".join(out)
+
+
+def write_bcf(sites: DataFrame, directory: str, contig: str = "1") -> None:
+    """Vectors (``route.site_vectors``) as one file a block and group, sites in order, positions being their ids and one. Files are moved into place when whole."""
+    from pyarrow import fs as pafs
+    from pyspark import TaskContext
+
+    keys = ["block_id", "group_id"]
+    fs, root = pafs.FileSystem.from_uri(directory)
+    fs.create_dir(root, recursive=True)
+
+    def put(key: tuple, rows: list[dict]) -> None:
+        out, path = pafs.FileSystem.from_uri(directory)
+        ploidy, n = rows[0]["ploidy"], rows[0]["n"]
+        data = bcf_file(contig, n // ploidy, ((r["site_id"] + 1, r["n_allele"], ploidy, np.frombuffer(r["gt"], np.uint8)) for r in rows))
+        name = f"block-{key[0]:06d}-{key[1]}.bcf"
+        with out.open_output_stream(f"{path}/_{name}.{TaskContext.get().taskAttemptId()}") as file:
+            file.write(data)
+        out.move(f"{path}/_{name}.{TaskContext.get().taskAttemptId()}", f"{path}/{name}")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != now and held:
+                    put(now, held)
+                    held, n = [], n + 1
+                now = key
+                held.append(row)
+        if held:
+            put(now, held)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n + bool(held)], pa.int64())})
+
+    dealt = sites.select(*keys, "site_id", "ploidy", "n_allele", "n", "gt").repartition(*keys).sortWithinPartitions(*keys, "site_id")
+    dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()

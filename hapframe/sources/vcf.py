@@ -7,14 +7,32 @@ from pyspark.sql import functions as F
 
 from hapframe.functions.alleles import vcf_allele, vcf_symbol
 from hapframe.schema import EOV
+from hapframe.sources.scratch import scratch
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """``contig, pos, sample, slot, allele`` of every record with a GT field; the header gives nothing but its lines away."""
+    """``contig, pos, n_allele, sample, slot, allele`` of every record with a GT field; ``read_header`` has the rest."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     return parse(lines.select(F.col("value").alias("line")))
 
 
+def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(header lines, samples) of the first file; it must begin with its format and have a line of columns. Nothing else is read."""
+    found: list[str] = []
+    for row in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():  # one task after another, as far as needed
+        found.append(row.value)
+        if row.value.startswith("#CHROM"):
+            break
+    if not found or not found[0].startswith("##fileformat=VCF") or not found[-1].startswith("#CHROM"):
+        raise ValueError(f"{path} has no whole VCF header")
+    return found, found[-1].split("\t")[9:]
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """``sample, name``."""
+    return spark.createDataFrame(list(enumerate(read_header(spark, path)[1])), "sample int, name string")
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Full records. Sites without GT are left out; haploid and longer genotypes keep their own length."""
     fields = F.split("line", "\t")
@@ -32,10 +50,11 @@ def number_sites(sites: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``site_id``, dense from 0 along ``order``: places inside sorted ranges, and a running sum over one row a range."""
     from pyspark.sql import Window
 
-    # Numbers of a task start at task << 33, so the high bits name the range; a checkpoint fixes them for both readers.
+    # Numbers of a task start at task << 33, so the high bits name the range; a written table fixes them for both readers.
     placed = sites.sort(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33))
-    spark = sites.sparkSession
-    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() else placed.persist()
+    path = scratch(sites.sparkSession, "numbers")
+    placed.write.parquet(path)  # written, so that no lost executor numbers them anew
+    placed = sites.sparkSession.read.schema(placed.schema).parquet(path)
     starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_range", "_start")
@@ -90,3 +109,35 @@ def write_vcf(alleles: DataFrame, path: str) -> None:
     to_vcf(alleles).orderBy("site_id").select("line").write.text(path)
 
 
+def records(alleles: DataFrame, contig: str = "1") -> DataFrame:
+    """``site_id, line``: whole records, a site's position being its id and one."""
+    heads = alleles.groupBy("site_id").agg(F.max("n_allele").alias("n"))
+    alts = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda k: F.concat(F.lit("<A"), k.cast("string"), F.lit(">"))), ",")
+    alt = F.when(F.col("n") > 1, alts).otherwise(".")
+    head = F.concat_ws("\t", F.lit(contig), (F.col("site_id") + 1).cast("string"), F.lit("."), F.lit("A"), alt, F.lit("."), F.lit("."), F.lit("."), F.lit("GT"))
+    genotypes = to_vcf(alleles).select("site_id", F.col("line").alias("gt"))
+    return heads.join(genotypes, "site_id").select("site_id", F.concat_ws("\t", head, "gt").alias("line"))
+
+
+def write_records(alleles: DataFrame, path: str) -> None:
+    """VCF text with a header, in files that follow one another; the header is the first line of all, in a file before them."""
+    spark = alleles.sparkSession
+    most = alleles.select(F.floor(F.col("hap") / F.col("ploidy")).cast("int").alias("s")).agg(F.max("s")).first()[0]
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"s{k}" for k in range((-1 if most is None else most) + 1))]
+    header = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(columns)]
+    spark.createDataFrame([("\n".join(header),)], "value string").coalesce(1).write.text(f"{path}/part=0")
+    records(alleles).sort("site_id").select("line").write.text(f"{path}/part=1")
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """``site_id, pos``: positions by the numbers that ``read_alleles`` gives; records without GT have none."""
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    numbered = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    fields = F.split("line", "\t")
+    sites = numbered.select("file", "block", "at", fields[1].cast("long").alias("pos"), F.array_position(F.split(fields[8], ":"), "GT").alias("gt")).where("gt > 0")
+    return number_sites(sites.select("file", "block", "at", "pos"), ["file", "block", "at"]).select("site_id", "pos")
+
+
+def renumbered(alleles: DataFrame, positions: DataFrame) -> DataFrame:
+    """Alleles with their position less one as site."""
+    return alleles.join(positions, "site_id").select((F.col("pos") - 1).cast("int").alias("site_id"), "hap", "ploidy", "n_allele", "allele")

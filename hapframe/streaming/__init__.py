@@ -1 +1 @@
-
+"""Structured Streaming: sites stored and counted as they arrive."""
