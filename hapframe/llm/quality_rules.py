@@ -27,7 +27,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import NOT_WS, WS, cut, table, words
+from hapframe.llm.common import NOT_WS, WS, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -150,7 +150,8 @@ def order_rules(docs: DataFrame, candidates: dict[str, Column], sample_rows: int
     ``REPEATED`` among the candidates is timed with its measure.
     """
     plain = plain_measures(sample_of(docs, sample_rows), id_col, text_col)
-    sample = cut(repeats_measured(plain).where("NOT base_failed").drop("row") if base_first else plain.drop("row"), "rule-sample").coalesce(1)
+    held = (repeats_measured(plain).where("NOT base_failed") if base_first else plain).drop("row").persist()
+    sample = held.coalesce(1)
     _seconds(sample, None)
     empty, _ = _seconds(sample, None)
     worth = {}
@@ -158,6 +159,7 @@ def order_rules(docs: DataFrame, candidates: dict[str, Column], sample_rows: int
         took, share = _seconds(repeats_measured(sample) if name == REPEATED else sample, reject)
         cost = 4.0 ** round(math.log(max(took - empty, LEAST_SECONDS), 4))
         worth[name] = (share + 0.01) / cost
+    held.unpersist()
     return sorted(worth, key=lambda name: (-worth[name], name))
 
 
