@@ -287,8 +287,9 @@ def groups(rows, width, percent):
     return sorted((doc, len(sets[i]), least[root(i)], doc == least[root(i)]) for i, (doc, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("percent,most", [(85, neardup.MOST), (70, neardup.MOST), (60, 2)])
-def test_near_duplicates_are_those_of_brute_force(spark, percent, most):
+@pytest.mark.parametrize("percent,most,hub", [(85, neardup.MOST, 1000), (70, neardup.MOST, 3), (60, 2, 1000)])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, percent, most, hub):
+    monkeypatch.setattr(neardup, "HUB", hub)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert sorted(map(tuple, neardup.near_duplicates(docs, width=3, percent=percent, most=most).collect())) == groups(documents(spark), 3, percent)
 
