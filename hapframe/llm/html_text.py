@@ -17,7 +17,7 @@ Counts are sums over all pages of a host, combined before the shuffle, so a host
 are joined by host; Spark broadcasts them where their written size is below its threshold.
 
 Defined results: null and empty html give the empty text; a null URL or one without ``://`` is of the host with the empty name; a host with fewer
-than ``MIN_PAGES`` distinct pages has no template; unclosed and stray tags are repaired; repeated rows and ids give one row each; an empty table gives an
+than ``MIN_PAGES`` distinct pages has no template; unclosed and stray tags are repaired; pages of any length and depth are read whole; repeated rows and ids give one row each; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -114,6 +115,31 @@ class Node:
             stack += reversed(node.nodes())
 
 
+class Open(list):
+    """The open elements, and how many there are of each tag, so that tags without one cost nothing at any depth."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count: Counter = Counter()
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.count[node.tag] += 1
+
+    def close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Ends the innermost open element of this tag, inside the innermost one of ``within``."""
+        if not self.count[tag]:
+            return
+        for k in range(len(self) - 1, 0, -1):
+            if self[k].tag == tag:
+                for node in self[k:]:
+                    self.count[node.tag] -= 1
+                del self[k:]
+                return
+            if self[k].tag in within:
+                return
+
+
 def text_end(source: str, at: int, tag: str) -> int | None:
     """Where the end tag of a TEXT element begins whose content begins at ``at``; None if it has none."""
     hidden = inner = False  # of scripts: after <!--, and there after <script
@@ -134,7 +160,7 @@ def text_end(source: str, at: int, tag: str) -> int | None:
 
 def parse(source: str) -> Node:
     root = Node("#")
-    stack, raw, at = [root], None, 0
+    stack, raw, at = Open(root), None, 0
     while at is not None:
         start, at = at, None
         for m in TOKEN.finditer(source, start):
@@ -152,15 +178,12 @@ def parse(source: str) -> Node:
                     stack[-1].children.append(html.unescape(whole))
                 continue
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                stack.close(tag)
                 continue
             if tag in BLOCK:
-                close("p", stack)
+                stack.close("p", SCOPE)
             for other in ENDS.get(tag, ()):
-                close(other, stack)
+                stack.close(other, SCOPE)
             attributes = m[3] or m[6] or ""
             node = Node(tag, " ".join((a or b or c).lower() for _, a, b, c in MARK.findall(attributes)) if attributes else "")
             stack[-1].children.append(node)
@@ -172,22 +195,12 @@ def parse(source: str) -> Node:
                     break
                 if tag in RAW:
                     raw = tag
-                elif len(stack) < 400:
+                else:
                     stack.append(node)
     root.finish()
     return root
 
 
-def close(tag: str, stack: list[Node]) -> None:
-    """Ends the innermost open element of this tag inside the current container."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE:
-            return
-
-
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of a largest order- and parent-keeping mapping of two trees with equal root labels."""
     seen: dict[tuple[int, int], int] = {}
@@ -208,13 +221,13 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     def last_row(xs: list[Node], ys: list[Node]) -> np.ndarray:
         """The last row of programme(); weights are those of shapes."""
         codes: dict = {}
-        at = np.fromiter((codes.setdefault(y.shape, len(codes)) for y in ys), np.int64, len(ys))
+        at = np.array([codes.setdefault(y.shape, len(codes)) for y in ys], np.int64)
         first = {y.shape: y for y in reversed(ys)}
         rows: dict = {}
         row = np.zeros(len(ys) + 1, np.int64)
         for x in xs:
             if x.shape not in rows:
-                rows[x.shape] = np.fromiter((weight(x, first[c]) for c in codes), np.int64, len(codes))
+                rows[x.shape] = np.array([weight(x, first[c]) for c in codes], np.int64)
             row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x.shape][at]))
         return row
 
@@ -391,9 +404,15 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return bool(node.marks) and node.tag not in ("html", "body") and signs(node.marks)[0]
 
 
+def unlinked(path: tuple) -> Iterator[Node]:
+    while path:
+        yield path[0]
+        path = path[1]
+
+
 def spared(root: Node) -> set[int]:
     """id() of the elements that look like boilerplate but hold the article or main element, or most of the text and of its paragraphs."""
-    paths: list[tuple[Node, ...]] = []  # of boilerplate, around each article or main element
+    paths: list[tuple] = []  # of boilerplate, around each article or main element: (innermost, the others), () at the end
     free: list[Node] = []
     looks: list[Node] = []
     stack: list = [(root, False, ())]
@@ -401,7 +420,7 @@ def spared(root: Node) -> set[int]:
         x, within, path = stack.pop()
         if boilerplate(x, within):
             looks.append(x)
-            path = (*path, x)
+            path = (x, path)
         elif x.tag in ("article", "main") and not signs(x.marks, TEASERS)[0]:
             paths.append(path)
             free.append(x)
@@ -410,8 +429,9 @@ def spared(root: Node) -> set[int]:
     if not looks:
         return set()
     if paths:  # teasers lie in an aside or the like while another is free; a layout's class says nothing
-        plain = [p for p in paths if not any(x.tag in DROP or x.tag == "header" or signs(x.marks)[1] for x in p)]
-        kept = {id(x) for p in plain or [p for p in paths if len(p) == min(map(len, paths))] for x in p}
+        listed = [list(unlinked(p)) for p in paths]
+        plain = [p for p in listed if not any(x.tag in DROP or x.tag == "header" or signs(x.marks)[1] for x in p)]
+        kept = {id(x) for p in plain or [p for p in listed if len(p) == min(map(len, listed))] for x in p}
         teasers = [x for x in looks if x.tag == "article"]
         if all(x.tag == "main" for x in free) and 2 * sum(x.length for x in teasers) > sum(x.length for x in free):  # a page that lists them
             kept |= {id(x) for x in teasers}
@@ -433,21 +453,36 @@ def spared(root: Node) -> set[int]:
 
 def around_paragraphs(root: Node, gone) -> Node:
     """The least node that holds all paragraphs and headings, the root if that has less than half of the text."""
-    lowest: list | None = None
-    own, stack = {}, [(root, [root])]
+    lowest: Node | None = None
+    below: set[int] = set()  # nodes known to lie in ``lowest``
+    above: dict[int, Node | None] = {id(root): None}
+    depth, own, stack = {id(root): 0}, {}, [root]
     while stack:
-        x, path = stack.pop()
+        x = stack.pop()
         if gone(x, False):
             continue
         own[id(x)] = len(x.own)
-        if x.tag in PARAGRAPHS or (x.tag in BLOCK and len(x.own) >= LONG):
-            above = path if x.tag not in PARAGRAPHS else path[:-1]
-            if x.length:
-                lowest = above if lowest is None else [p for p, q in zip(lowest, above) if p is q]
-        stack += [(c, [*path, c]) for c in x.nodes()]
+        if x.length and (x.tag in PARAGRAPHS or (x.tag in BLOCK and len(x.own) >= LONG)):
+            holder = x if x.tag not in PARAGRAPHS else above[id(x)]
+            lowest = lowest or holder
+            a, path = holder, []
+            while a is not lowest and id(a) not in below and depth[id(a)] > depth[id(lowest)]:
+                path.append(id(a))
+                a = above[id(a)]
+            while a is not lowest and id(a) not in below:  # beside it: up to the least node that holds both
+                if depth[id(lowest)] >= depth[id(a)]:
+                    below.add(id(lowest))
+                    lowest = above[id(lowest)]
+                else:
+                    path.append(id(a))
+                    a = above[id(a)]
+            below.update(path)
+        for c in x.nodes():
+            above[id(c)], depth[id(c)] = x, depth[id(x)] + 1
+            stack.append(c)
     if lowest is None:
         return root
-    return lowest[-1] if 2 * sum(own.get(id(x), 0) for x in lowest[-1].walk()) >= sum(own.values()) else root
+    return lowest if 2 * sum(own.get(id(x), 0) for x in lowest.walk()) >= sum(own.values()) else root
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -483,6 +518,11 @@ def main_text(root: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
+def unbounded() -> None:
+    """Trees may be deep, and alignment follows them down; Python's own frames are on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+
+
 def extract(source: str | None, pivot: Node | None, constant: dict[int, str]) -> str:
     if not source:
         return ""
@@ -520,6 +560,7 @@ def templates(pages: DataFrame, of: DataFrame, copies: DataFrame) -> DataFrame:
     """``host, pivots, constant``: indices of the wrapper's nodes whose text is constant. Pages are (host, html), copies (host, digest, n)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unbounded()
         trees: dict[str, Wrapper] = {}
         aligned, equal = Counter(), Counter()
 
@@ -572,6 +613,7 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     wrapper = cut(templates(narrow.select("host", "html"), of, copies), "templates")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unbounded()
         trees: dict[str, tuple] = {}
         for batch in batches:
             texts = []
