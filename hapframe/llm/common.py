@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Java/RE2 class of the white space that separates words: space, tab, \n, \v, \f, \r.
 WS = r"[ \t\n\x0B\f\r]"
 NOT_WS = r"[^ \t\n\x0B\f\r]"
+#: Keys of so many rows may be broadcast instead of dealt.
+HUB = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``small``, a written frame with one row a key and in ``n`` how many rows have it.
+
+    Keys of more than a ten-thousandth of all ``total`` rows, and of more than ``HUB``, are 10,000 at most: these are broadcast, so that their rows stay where they are.
+    """
+    hub = F.col("n") > max(HUB, total // 10_000)
+    hubs = cut(small.where(hub), "hubs")
+    rest = small.where(~hub).drop("n")
+    if hubs.isEmpty():
+        return rows.join(rest, keys)
+    known = F.broadcast(hubs.drop("n"))
+    return rows.join(known, keys).unionByName(rows.join(F.broadcast(hubs.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def forget(spark: SparkSession) -> None:
     """Lets go of shuffle files that no frame needs any more; the driver's JVM finds them when it collects garbage, which may be late."""
     gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.arrow import fixed, groups, word_codes
-from hapframe.llm.common import cut, release, table
+from hapframe.llm.common import cut, joined, release, table
 from hapframe.llm.tokens import bounded_batches, mix64
 
 #: MinHash samples, most of them a band, bits of the odd sketch, and the chance that a link shares no band.
@@ -39,8 +39,6 @@ SAMPLES, ROWS, BITS, MISS = 160, 5, 512, 1e-5
 #: How far below the threshold an estimate may lie, in its standard deviations.
 DEVIATIONS = 5
 MOST, MOST_BYTES = 20_000, 64 << 20
-#: Nodes of so many edges may be broadcast instead of dealt.
-HUB = 1000
 CHUNK = 1 << 17
 
 
@@ -229,20 +227,6 @@ def candidate_edges(nodes: DataFrame, threshold: float, samples: int, most: int
     return edges.distinct()
 
 
-def joined(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``small``, which has one row a key and in ``n`` how many rows have it.
-
-    Keys of more than a ten-thousandth of all ``total`` rows, and of more than ``HUB``, are 10,000 at most: these are broadcast, so that their rows stay where they are.
-    """
-    hub = F.col("n") > max(HUB, total // 10_000)
-    hubs = cut(small.where(hub), "hubs")
-    rest = small.where(~hub).drop("n")
-    if hubs.isEmpty():
-        return rows.join(rest, key)
-    known = F.broadcast(hubs.drop("n"))
-    return rows.join(known, key).unionByName(rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge list (a, b), root being the component's least node.
 
@@ -262,10 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
         before, total = seen, 2 * seen[0]
         both = now.selectExpr("x AS u", "y AS v").union(now.selectExpr("y AS u", "x AS v"))
         least = least_of(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined(both, least, "u", total).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        large = joined(both, least, ["u"], total).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         down = cut(large, "large").selectExpr("x AS u", "y AS v")
         lowest = least_of(down)
-        small = joined(down, lowest, "u", total).where("v <> m").selectExpr("v AS x", "m AS y").union(lowest.selectExpr("u AS x", "m AS y")).distinct()
+        small = joined(down, lowest, ["u"], total).where("v <> m").selectExpr("v AS x", "m AS y").union(lowest.selectExpr("u AS x", "m AS y")).distinct()
         now = cut(small, "cc")
     return now.selectExpr("x AS node", "y AS root").union(now.selectExpr("y AS node", "y AS root")).distinct()
 
@@ -364,7 +348,7 @@ def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id"
     linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most, most_bytes))
     named = cut(nodes.select("node", "rep", "alone.row").join(linked, "node"), "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("n")), "least")
-    found = joined(named.select("node", "root"), least, "root", named.count()).select("node", "least", "least_row")
+    found = joined(named.select("node", "root"), least, ["root"], named.count()).select("node", "least", "least_row")
     of_node = nodes.select("node", "rep", "alone.row").join(found, "node", "left").select(
         "node", F.coalesce("least", "rep").alias("of_node"), F.coalesce("least_row", "row").alias("of_row"),
     )

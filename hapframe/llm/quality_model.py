@@ -6,10 +6,11 @@
 2. Site evidence. All documents count: labelled ones by their label, the others by the model's probability at ``SOFT`` of the weight.
    Grouped by host, and by host and path, they give rates; a host's rate is shrunk to the global one and a path's to its
    host's, by prior strengths estimated from the spread of the rates (method of moments). A site of few documents stays near its prior.
-3. A document's log odds are its evidence plus what its path's posterior adds to the global rate.
+3. A document's log odds are its evidence plus what its path's posterior adds to the global rate. What the document itself gave to its host and path is left
+   out of both first, so that neither its evidence nor its label counts twice.
 
 Defined results: null and empty texts have the evidence of a text without words; null hosts and paths are sites of their own; repeated rows give one row
-each; labels that are null or unknown ids are ignored; without labels of both kinds the evidence is 0; an empty table gives an empty
+each; texts of any length count whole; labels that are null or unknown ids are ignored; without labels of both kinds the evidence is 0; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.llm.arrow import word_codes
-from hapframe.llm.common import cut, table
+from hapframe.llm.common import cut, joined, table
 from hapframe.llm.tokens import bounded_batches
 
 TRAIN_ROWS, SOFT, KEEP_AT = 20_000, 0.25, 0.5
@@ -138,24 +139,23 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_c
                 batch = whole.slice(at, 2000)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dense(batch.column(3), ratios, shapes) @ weights)], ["doc_id", "host", "path", "evidence"])
 
-    site = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(c).cast("string")))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), site(host_col).alias("host"), site(path_col).alias("path"), F.col(text_col).alias("text"))
+    site = lambda c: F.when(F.col(f"`{c}`").isNull(), "n").otherwise(F.concat(F.lit("a"), F.col(f"`{c}`").cast("string")))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), site(host_col).alias("host"), site(path_col).alias("path"), F.col(f"`{text_col}`").alias("text"))
     scores = cut(narrow.mapInArrow(score, f"doc_id {docs.schema[id_col].dataType.simpleString()}, host string, path string, evidence double"), "scores")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    value = scores.join(known, "doc_id", "left").withColumn("w", F.when(F.col("y").isNull(), SOFT).otherwise(1.0)).withColumn("good", F.coalesce("y", p) * F.col("w"))
-    paths = cut(value.groupBy("host", "path").agg(F.sum("good").alias("path_good"), F.sum("w").alias("path_w")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_w").alias("host_w"))
+    value = cut(scores.join(known, "doc_id", "left").withColumn("w", F.when(F.col("y").isNull(), SOFT).otherwise(1.0)).withColumn("good", F.coalesce("y", p) * F.col("w")).drop("y"), "value")
+    paths = cut(value.groupBy("host", "path").agg(F.sum("good").alias("path_good"), F.sum("w").alias("path_w"), F.count("*").alias("n")), "paths")
+    hosts = cut(paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_w").alias("host_w"), F.count("*").alias("n")), "hosts")
     rates = lambda sites, of: sites.select((F.col(f"{of}_good") / F.col(f"{of}_w")).alias("rate"), F.col(f"{of}_w").alias("weight"))
     rate = hosts.agg(F.sum("host_good") / F.sum("host_w")).first()[0]
     m_host, m_path = (rates(sites, of).agg(_strength()).first()[0] for sites, of in ((hosts, "host"), (paths, "path")))
     rate, m_host, m_path = (0.5 if x is None else float(x) for x in (rate, m_host, m_path))
-    host_rate = (F.lit(m_host * rate) + F.col("host_good")) / (F.lit(m_host) + F.col("host_w"))
-    sites = paths.join(hosts, "host").withColumn("host_rate", host_rate).select(
-        "host", "path", "host_rate", ((m_path * F.col("host_rate") + F.col("path_good")) / (m_path + F.col("path_w"))).alias("path_rate"),
-    )
+    counts = paths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sites = cut(joined(paths.withColumnRenamed("n", "rows"), hosts, ["host"], counts[0]).withColumnRenamed("rows", "n"), "sites")
+    without = lambda of, prior, strength: (strength * prior + F.col(f"{of}_good") - F.col("good")) / (strength + F.col(f"{of}_w") - F.col("w"))
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(rate))
-    return scores.join(sites, ["host", "path"]).select(
+    return joined(value, sites, ["host", "path"], counts[1]).withColumn("host_rate", without("host", F.lit(rate), m_host)).withColumn("path_rate", without("path", F.col("host_rate"), m_path)).select(
         "doc_id", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("quality"),
     ).withColumn("kept", F.col("quality") >= KEEP_AT)
 
