@@ -6,11 +6,11 @@ Of the rules that fit the longest wins.
 
 The expansion is bounded by the rules and not by the URLs: only as many host labels as the longest rule host has, and
 only those path lengths that some rule has. URLs are judged once per distinct (host, path), so a URL that fills
-a third of the table costs one expansion.
+a third of the table costs one expansion; verdicts return to the rows by (host, path), those of very frequent ones by a broadcast of at most 10,000.
 
 Defined results: a null URL or one without ``://`` has an empty host and path; no rule fits it and it gets ``default``.
-Repeated ids and URLs give one row each. An empty rule table gives ``default`` to all. Columns of the input other
-than the id and the URL are ignored.
+Repeated ids and URLs give one row each; URLs of any length are judged whole. An empty rule table gives ``default`` to all, an empty table an empty
+result. Columns of the input other than the id and the URL, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import table
+from hapframe.llm.common import cut, joined, table
 
 #: verdict, host, path.
 RULES = [
@@ -63,7 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     rules = rules.dropna(subset=["rule_verdict", "rule_host", "rule_path"]).distinct()
     shape = rules.agg(F.max(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path"))).first()
     depth, lengths = shape[0] or 0, sorted(shape[1])
-    judged = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    url = F.col(f"`{url_col}`")
+    judged = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     if not lengths:
         return judged.select(F.col("_id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", r"\.")
@@ -72,8 +73,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         lambda k: F.array_join(F.slice(labels, -k, k), "."),
     )
     prefixes = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths))
+    pairs = cut(judged.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
     expressions = (
-        judged.select("host", "path").distinct()
+        pairs.select("host", "path")
         .withColumn("suffix", F.explode(suffixes))
         .withColumn("prefix", F.explode(F.array_compact(prefixes)))
         .withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
@@ -88,7 +90,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
             F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"),
         )).alias("best"))
     )
-    return judged.join(best, ["host", "path"], "left").select(
+    verdicts = cut(pairs.join(best, ["host", "path"], "left"), "verdicts")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return joined(judged, verdicts, ["host", "path"], total).select(
         F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
