@@ -7,7 +7,7 @@
    bit hash(j, sample), so equal samples cancel in the XOR of two sketches and the population count tells how many differ.
 3. Nodes that share a band meet in a bucket. There a pivot's sketch is XORed with all others at once and those estimated to be
    near join the pivot, until the bucket is one tree or every node has been pivot: a spanning forest, never all pairs. The number of bands and their
-   width follow from the similarity, so that a link is missed by all bands with a chance of ``MISS`` at most. Buckets of more than ``most``
+   width follow from the similarity, so that a link is missed by all bands with a chance of ``MISS`` at most. Buckets of more than ``most_met``
    nodes first lose nodes in distributed rounds, as in 4, with the population count as the distance.
 4. Connected components of these trees are candidate groups. Inside each one the full sets are compared, again by pivots: a pivot's exact
    similarity to all others that aren't linked to it yet. Every pair not yet joined by confirmed links is compared, so
@@ -38,7 +38,9 @@ from hapframe.llm.tokens import bounded_batches, mix64
 SAMPLES, ROWS, BITS, MISS = 160, 5, 512, 1e-5
 #: How far below the threshold an estimate may lie, in its standard deviations.
 DEVIATIONS = 5
-MOST, MOST_BYTES = 20_000, 64 << 20
+#: Nodes of a bucket, nodes and bytes of a candidate group that are taken in one task; larger ones are settled in rounds. Keys and bytes that are broadcast.
+MOST_MET, MOST, MOST_BYTES = 20_000, 1000, 64 << 20
+FEW_KEYS, FEW_BYTES = 10_000, 32 << 20
 CHUNK = 1 << 17
 
 
@@ -175,10 +177,15 @@ class Forest:
         return self.edges
 
 
-def _rest(told: DataFrame, group: str, near: Column, distance: Column, reach: float | int) -> DataFrame:
+def _light(frame: DataFrame, few: bool) -> DataFrame:
+    """Marked for a broadcast where it is known to be small, so that a large group's rows stay where they are."""
+    return F.broadcast(frame) if few else frame
+
+
+def _rest(told: DataFrame, group: str, near: Column, distance: Column, reach: float | int, few: bool) -> DataFrame:
     """What goes on after a pivot: nodes that aren't near it, and of the near ones those that such a node could be near, by the triangle inequality."""
     nearest = told.where(~near).groupBy(group).agg(F.min(distance).alias("nearest"))
-    return told.join(nearest, group).where("node <> pivot").where(~near | (distance >= F.col("nearest") - reach))
+    return told.join(_light(nearest, few), group).where("node <> pivot").where(~near | (distance >= F.col("nearest") - reach))
 
 
 def _settle_bands(met: DataFrame, limit: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -192,15 +199,17 @@ def _settle_bands(met: DataFrame, limit: int, most: int) -> tuple[DataFrame, lis
 
     while True:
         large = cut(met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "odd")).alias("p")).where(F.col("n") > most).select("band", F.col("p.node").alias("pivot"), F.col("p.odd").alias("of")), "hot-bands")
-        if large.isEmpty():
+        n = large.count()
+        if not n:
             return met, found
-        told = cut(met.join(large, "band").mapInArrow(compare, "band long, node binary, odd binary, pivot binary, away long"), "told")
+        few = n <= FEW_KEYS
+        told = cut(met.join(_light(large, few), "band").mapInArrow(compare, "band long, node binary, odd binary, pivot binary, away long"), "told")
         found.append(told.where(F.col("away") <= limit).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        rest = _rest(told, "band", F.col("away") <= limit, F.col("away"), limit)
-        met = cut(met.join(large.select("band"), "band", "left_anti").select("band", "node", "odd").union(rest.select("band", "node", "odd")), "bands")
+        rest = _rest(told, "band", F.col("away") <= limit, F.col("away"), limit, few)
+        met = cut(met.join(_light(large.select("band"), few), "band", "left_anti").select("band", "node", "odd").union(rest.select("band", "node", "odd")), "bands")
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, samples: int, most: int = MOST) -> DataFrame:
+def candidate_edges(nodes: DataFrame, threshold: float, samples: int, most: int = MOST_MET) -> DataFrame:
     """``a, b``: spanning forests of the buckets, by odd sketches."""
     limit = farthest(threshold - slack(threshold, samples), samples)
     members = nodes.select(F.explode("bands").alias("band"), "node")
@@ -291,12 +300,14 @@ def _settle(sets: DataFrame, percent: int, most: int, most_bytes: int) -> tuple[
         large = cut(size.where((F.col("n") > most) | ((F.col("bytes") > most_bytes) & (F.col("n") > 1))).select("root", "pivot"), "large")
         if large.isEmpty():
             return sets, found
-        pivots = large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of")), "pivot").select("root", "pivot", "of")
-        told = cut(sets.join(pivots, "root").mapInArrow(compare, "node binary, root binary, shingles binary, pivot binary, inter long, joint long"), "told")
+        pivots = cut(large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of")), "pivot").select("root", "pivot", "of"), "pivots")
+        n, size = pivots.agg(F.count("*"), F.sum(F.length("of"))).first()
+        few = n <= FEW_KEYS and size <= FEW_BYTES
+        told = cut(sets.join(_light(pivots, few), "root").mapInArrow(compare, "node binary, root binary, shingles binary, pivot binary, inter long, joint long"), "told")
         link = F.col("inter") * 100 >= F.col("joint") * percent
         found.append(told.where(link).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        rest = _rest(told, "root", link, 1 - F.col("inter") / F.col("joint"), reach)
-        sets = cut(sets.join(large.select("root"), "root", "left_anti").select("node", "root", "shingles").union(rest.select("node", "root", "shingles")), "settled")
+        rest = _rest(told, "root", link, 1 - F.col("inter") / F.col("joint"), reach, few)
+        sets = cut(sets.join(_light(large.select("root"), few), "root", "left_anti").select("node", "root", "shingles").union(rest.select("node", "root", "shingles")), "settled")
 
 
 def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, percent: int, id_col: str, text_col: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -335,7 +346,7 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
     return edges
 
 
-def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES, most_met: int = MOST_MET) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, key``."""
     bands, rows = banding(percent / 100)
     sketches = sketch(docs, width, id_col, text_col, bands, rows)
@@ -344,7 +355,7 @@ def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id"
     nodes = cut(sketches.where("node IS NOT NULL").groupBy("node").agg(
         F.min(least_id).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(alone).alias("alone"),
     ), "nodes")
-    roots = components(candidate_edges(nodes, percent / 100, bands * rows, most))
+    roots = components(candidate_edges(nodes, percent / 100, bands * rows, most_met))
     linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most, most_bytes))
     named = cut(nodes.select("node", "rep", "alone.row").join(linked, "node"), "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("n")), "least")
@@ -359,9 +370,9 @@ def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id"
     )
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_bytes: int = MOST_BYTES, most_met: int = MOST_MET) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``; documents link at 100 * |intersection| >= percent * |union|."""
-    return decided(docs, width=width, percent=percent, id_col=id_col, text_col=text_col, most=most, most_bytes=most_bytes).drop("key")
+    return decided(docs, width=width, percent=percent, id_col=id_col, text_col=text_col, most=most, most_bytes=most_bytes, most_met=most_met).drop("key")
 
 
 def keep_one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
