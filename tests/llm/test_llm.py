@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, rows_of
-from hapframe.llm import decontaminate, html_text, mixing, neardup, quality_model, quality_rules, repeats, secret_scan, tokens, urls
+from hapframe.llm import common, decontaminate, html_text, mixing, neardup, quality_model, quality_rules, repeats, secret_scan, tokens, urls
 from hapframe.llm.arrow import word_codes
 from hapframe.llm.common import new_path
 from hapframe.llm.queries import ORACLE_SQL, QUERIES
@@ -181,6 +182,49 @@ def test_html_of_several_layouts(spark):
     assert stubs == [w * 50 for w in "abcdefgh"] + ["x"]
 
 
+class Blocks(HTMLParser):
+    """Headings and paragraphs of the article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        self.blocks += [""] if tag in ("h1", "p") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "p", "article"):
+            self.blocks.append("")
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_html_of_whole_table_is_that_of_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        other = Blocks()
+        other.feed(r.html)
+        want[r.page_id] = "\n\n".join(" ".join(b.split()) for b in other.blocks if b.split())
+    got = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op3_html_text"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
+def test_html_of_deep_trees(spark):
+    deep = lambda n, x: "<div><b>" * n + x + "</b></div>" * n
+    for n in (2000, 30_000):
+        assert html_text.extract(deep(n, "<nav>menu</nav><article><h1>T</h1><p>one</p></article>"), None, {}) == "T\n\none"
+        assert html_text.extract(deep(n, "<nav>menu</nav><p>one</p>") + "<p>two", None, {}) == "one\n\ntwo"
+        assert html_text.extract("<article>" + deep(n, "<p>one</p><nav>menu</nav>") + "</x>" * n + "<p>two</article>", None, {}) == "one\n\ntwo"
+    pages = [f"<div><p>Same notice here</p></div>{deep(3000, f'<p>{w * 60}</p>')}" for w in "abcdef"]
+    assert texts_of(spark, pages) == [w * 60 for w in "abcdef"]
+
+
 def test_alignment_of_long_pages(monkeypatch):
     rng = random.Random(5)
     for size in (30, 700):
@@ -289,9 +333,9 @@ def groups(rows, width, percent):
 
 @pytest.mark.parametrize("percent,most,hub", [(85, neardup.MOST, 1000), (70, neardup.MOST, 3), (60, 2, 1000)])
 def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, percent, most, hub):
-    monkeypatch.setattr(neardup, "HUB", hub)
+    monkeypatch.setattr(common, "HUB", hub)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert sorted(map(tuple, neardup.near_duplicates(docs, width=3, percent=percent, most=most).collect())) == groups(documents(spark), 3, percent)
+    assert sorted(map(tuple, neardup.near_duplicates(docs, width=3, percent=percent, most=most, most_met=most).collect())) == groups(documents(spark), 3, percent)
 
 
 def test_near_duplicates_of_null_ids(spark):
@@ -341,21 +385,290 @@ def test_classifier_on_labels(spark):
     assert labels.select(F.avg(((F.col("quality") == 1) == F.col("kept")).cast("int"))).first()[0] > 0.95
 
 
-def test_edges_give_one_row_each(spark):
+def test_classifier_on_labels_it_has_not_seen(spark):
+    for sf, least in (("0.01", 0.95), ("0.1", 0.95)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+        half = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+        got = quality_model.classify(docs, labels.where(~half)).select("doc_id", "kept")
+        right = labels.where(half).join(got, "doc_id").select(F.avg(((F.col("quality") == 1) == F.col("kept")).cast("int"))).first()[0]
+        print(sf, "held out:", right)
+        assert right >= least
+
+
+def test_posteriors_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 10)  # a few hosts and paths are joined the other way
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_model.classify(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    w = {r.doc_id: 1.0 if r.doc_id in known else quality_model.SOFT for r in got}
+    good = {r.doc_id: w[r.doc_id] * (known[r.doc_id] if r.doc_id in known else 1 / (1 + np.exp(-r.evidence))) for r in got}
+
+    def sums(key):
+        out = defaultdict(lambda: np.zeros(2))
+        for r in got:
+            out[key(r)] += [good[r.doc_id], w[r.doc_id]]
+        return out
+
+    def strength(sites):
+        x = np.array(list(sites.values()))
+        rates, weight = x[:, 0] / x[:, 1], x[:, 1]
+        mean = x[:, 0].sum() / weight.sum()
+        spread = max(rates.var() - np.mean(rates * (1 - rates) / np.maximum(weight, 1)), 1e-6)
+        return min(max(mean * (1 - mean) / spread - 1, quality_model.STRENGTH[0]), quality_model.STRENGTH[1])
+
+    hosts, paths = sums(lambda r: r.source), sums(lambda r: (r.source, r.lang))
+    rate, m_host, m_path = sum(good.values()) / sum(w.values()), strength(hosts), strength(paths)
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    for r in got:
+        own = np.array([good[r.doc_id], w[r.doc_id]])
+        g, n = hosts[r.source] - own
+        host = (m_host * rate + g) / (m_host + n)
+        g, n = paths[r.source, r.lang] - own
+        path = (m_path * host + g) / (m_path + n)
+        assert (r.host_rate, r.path_rate, r.quality) == pytest.approx((host, path, 1 / (1 + np.exp(-(r.evidence + logit(path) - logit(rate))))), rel=1e-6)
+
+
+def naive_base(text):
+    """Base spans by walking the text."""
+    assign, access, digits, i = [], [], [], 0
+    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+    def end_of(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    while i < len(text):
+        name = next((n for n in names if text[i : i + len(n)].translate({k: k + 32 for k in range(65, 91)}) == n), None)
+        if name:
+            at = i + len(name)
+            at += text[at : at + 1] in ('"', "'") and at < len(text)
+            at = end_of(at, " ")
+            if text[at : at + 1] in (":", "=") and at < len(text):
+                at = end_of(at + 1, " ")
+                at += text[at : at + 1] in ('"', "'") and at < len(text)
+                end = end_of(at, value)
+                if end > at:
+                    assign += [(i, 0, end)] if end - at >= 6 else []
+                    i = end
+                    continue
+        i += 1
+    i = 0
+    while (i := text.find("AKIA", i)) >= 0:
+        end = end_of(i + 4, value[:26] + "0123456789")
+        if end > i + 4:
+            access += [(i, 1, end)] if end - i >= 20 else []
+            i = end
+        else:
+            i += 4
+    i = 0
+    while i < len(text):
+        end = end_of(i, "0123456789abcdef")
+        digits += [(i, 2, end)] if end - i >= 24 else []
+        i = max(end, i + 1)
+    return sorted(assign + access + digits)
+
+
+def naive_random(text, base, encoding):
+    """Random spans by trying all sequences of parts of each run."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    cost = lambda t: 2 * len(encoding.encode_ordinary(t)) - len(t)
+    out, i = [], 0
+    while i < len(text):
+        end = i
+        while end < len(text) and text[end] in letters:
+            end += 1
+        if end - i < 20:
+            i = max(end, i + 1)
+            continue
+        touched = [(s, e) for s, _, e in base if s < end and i < e]
+        if not touched and not secret_scan.known(text[i:end]) and cost(text[i:end]) > 0:
+            out.append((i, 3, end))
+            i = end
+            continue
+        whole = [m.span() for m in re.finditer(r"[A-Za-z0-9+]+", text[i:end])]
+        barred = [m.span() for m in secret_scan.UUID.finditer(text[i:end])] + [(s - i, e - i) for s, e in touched]
+        digest = lambda t: len(t) in secret_scan.DIGESTS and secret_scan.DIGEST.fullmatch(t) and not t.isalpha()
+        todo = [[]]
+        for a, b in whole:
+            part = text[i + a : i + b]
+            if digest(part) or any(s < b and a < e for s, e in barred):
+                todo.append([])
+            else:
+                todo[-1].append((a, b, 0 if part.isdigit() else cost(part)))
+        while todo:
+            parts = todo.pop()
+            sums = [(sum(x for *_, x in parts[p : q + 1]), p, q) for p in range(len(parts)) for q in range(p, len(parts)) if parts[q][1] - parts[p][0] >= 20]
+            best = max((x for x, _, _ in sums), default=0)
+            if best > 0:
+                yield_best = min(((q, p) for x, p, q in sums if x == best), key=lambda t: t[0])
+                q, p = yield_best
+                p = next(p2 for x, p2, q2 in sorted(sums, key=lambda t: t[1]) if x == best and q2 == q)
+                a, b = parts[p][0], parts[q][1]
+                if not secret_scan.known(text[i + a : i + b]):
+                    out.append((i + a, 3, i + b))
+                todo += [parts[:p], parts[q + 1 :]]
+        i = end
+    return sorted(out)
+
+
+def test_secrets_of_whole_table_are_those_of_brute_force(spark):
+    encoding = secret_scan.load_encoding(tokens.vocabulary_path(secret_scan.VOCABULARY))
+    rng = random.Random(9)
+    pieces = ["token", "TOKEN", "api_key", "ApiKey", "password", '"', "'", " ", "=", ":", "AKIA", "AKIAB1", "0" * 23, "deadbeef" * 3, "x" * 5, "-", "/", "é", "qX9vKp", "\n", "some", "words"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))) for i in range(400)] + [(400, "ab " * 50_000 + "secret: 'aB3xY9zQ' " + "z" * 30_000), (401, "AKIAAKIA" * 9)]
+    made, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for frame in (made, table):
+        texts = {r.doc_id: r.text or "" for r in frame.select("doc_id", "text").collect()}
+        for r in secret_scan.scan(frame).collect():
+            base = naive_base(texts[r.doc_id])
+            want = secret_scan.written(sorted(base + naive_random(texts[r.doc_id], base, encoding)))
+            kinds = [k for _, k, _ in base]
+            told = hashlib.sha256(secret_scan.written(base).encode()).hexdigest()
+            assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == (*(kinds.count(k) for k in range(3)), told, want), texts[r.doc_id][:2000]
+
+
+def test_words_are_those_of_the_contract(spark):
+    texts = ["a b \x85", "\x85", "a\u2028b\u2028", "\u2028 x", None, "", " \t\n\x0b\x0c\r", "\x1c a\x1d", "a" + " " * 1_000_000 + "b", " " * 1_000_000, "x\n\n y\x0b"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(1)
+    for r in frame.select("doc_id", common.words(F.col("text")).alias("w"), common.word_count(F.col("text")).alias("n")).collect():
+        want = re.findall(WORD, texts[r.doc_id] or "")
+        assert (r.w, r.n) == (want, len(want))
+    measured = {r.doc_id: (r.n_words, r.word_chars) for r in quality_rules.measure(frame).collect()}
+    assert measured == {i: (len(w), sum(map(len, w))) for i, t in enumerate(texts) for w in [re.findall(WORD, t or "")]}
+
+
+def test_order_of_rules_decides_nothing_but_time(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = list(quality_rules.rules())
+    kept = [rows_of(quality_rules.cascade(docs, order).select("doc_id", "kept")) for order in (names, names[::-1])]
+    assert kept[0] == kept[1]
+    assert rows_of(quality_rules.keep_documents(docs)) == rows_of(docs.join(quality_rules.cascade(docs, names).where("kept").select("doc_id"), "doc_id"))
+    assert sorted(quality_rules.order_rules(docs, quality_rules.rules())) == sorted(names)
+
+
+def values(frame, *names):
+    return sorted((tuple(r) for r in frame.select(*names).collect()), key=repr)
+
+
+def test_edges_have_defined_values(spark):
     docs, labels = edges(spark), spark.createDataFrame([(7, 1), (9, 0), (None, None)], "doc_id long, quality int")
-    made = (
-        neardup.near_duplicates(docs), quality_model.classify(docs, labels), mixing.mix(docs), quality_rules.cascade(docs), repeats.remove_repeats(docs),
-        urls.filter_urls(docs, urls.rules_frame(spark, urls.RULES), id_col="doc_id", url_col="text"), tokens.token_table(docs),
-    )
-    for frame in made:
-        assert frame.count() == len(EDGES)
-    assert quality_rules.keep_documents(docs).columns == docs.columns and mixing.mix_documents(docs).columns == docs.columns
+    by_id = sorted([(5, 0), (None, 3), (5, 0), (7, 2), (7, 2), (9, 3000), (None, 0)], key=repr)
+    assert values(quality_rules.cascade(docs), "doc_id", "n_words") == by_id
+    assert values(quality_rules.cascade(docs).where("NOT base_failed"), "doc_id", "rejected_by", "n_repeat_words") == [(9, "digits", 0)]
+    mixed = mixing.mix(docs)
+    assert values(mixed, "doc_id", "size") == by_id
+    for r in mixed.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
+        assert abs(r.taken - r.target) < 1 and r.over <= 0
+    repeated = spark.createDataFrame([(1, "x y", "a")] * 9 + [(2, "p q r s t u v w", "b")] + [(3, f"w{i} " * 20, "c") for i in range(3)], "doc_id long, text string, source string")
+    mixed = mixing.mix(repeated).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(mixed) == 3 and all(abs(r.taken - r.target) < 1 for r in mixed)
+    near = neardup.near_duplicates(docs)
+    assert values(near, "doc_id", "n_shingles") == sorted([(5, 0), (None, 1), (5, 0), (7, 1), (7, 1), (9, 2996), (None, 0)], key=repr)
+    assert values(near.where("doc_id IS NOT NULL"), "doc_id", "component_id", "kept") == sorted([(d, d, True) for d, *_ in EDGES if d], key=repr)
+    gone = repeats.remove_repeats(docs)
+    assert values(gone, "doc_id", "n_bytes", "n_removed", "n_spans") == sorted([(d, len((t or "").encode()), 0, 0) for d, t, _ in EDGES], key=repr)
+    scanned = secret_scan.scan(docs)
+    assert values(scanned, "doc_id", "spans") == sorted([(d, "") for d, _, _ in EDGES], key=repr)
+    judged = urls.filter_urls(docs, urls.rules_frame(spark, urls.RULES), id_col="doc_id", url_col="text")
+    assert values(judged, "doc_id", "host", "path", "rule", "verdict") == sorted([(d, "", "", None, "allow") for d, _, _ in EDGES], key=repr)
+    told = quality_model.classify(docs, labels)
+    assert values(told.where("quality BETWEEN 0 AND 1"), "doc_id") == sorted([(d,) for d, _, _ in EDGES], key=repr)
+    by_start = sorted((r.start, r.n_tokens) for r in tokens.token_table(docs).collect())
+    assert [s for s, _ in by_start] == np.cumsum([0, *(n for _, n in by_start)])[:-1].tolist() and len(by_start) == len(EDGES)
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "w5 w6 w7 w8 w9 w10 w11 w12"), (3, "w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    assert values(decontaminate.leaks(docs, items), "doc_id", "item_id") == [(9, 3), (9, 3)]
+    assert values(decontaminate.clean(docs, items), "doc_id") == sorted([(d,) for d, *_ in EDGES if d != 9], key=repr)
+    for kept in (quality_rules.keep_documents(docs), mixing.mix_documents(docs), decontaminate.clean(docs, items), neardup.keep_one_of_each(docs)):
+        assert kept.columns == docs.columns
+    pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a", "x"), (None, "http://h/", "<p>" + "b " * 100_000, "x")], "page_id long, url string, html string, text string")
+    assert values(html_text.main_texts(pages), "page_id", "n_chars") == sorted([(1, 0), (1, 1), (None, 199_999)], key=repr)
+
+
+def test_ties_are_settled_alike_in_every_run(spark):
+    docs = spark.createDataFrame([(i // 3, f"{'w ' * (i % 5 + 1)}", "s") for i in range(90)], "doc_id long, text string, source string")
+    runs = [values(mixing.mix(docs.repartition(k)), "doc_id", "size", "taken") for k in (1, 5)]
+    assert runs[0] == runs[1]
+    rules = spark.createDataFrame([("allow", "a.com", "/"), ("block", "a.com", "/"), ("block", "com", "/abc"), ("allow", "a.com", "/")], "rule_verdict string, rule_host string, rule_path string")
+    pages = spark.createDataFrame([(1, "http://a.com/abcd"), (2, "http://b.com/abcd"), (3, "http://b.com/")], "page_id long, url string")
+    assert values(urls.filter_urls(pages, rules), "page_id", "rule", "verdict") == [(1, "com/abc", "block"), (2, "com/abc", "block"), (3, None, "allow")]
+    assert values(urls.filter_urls(pages, rules.where("rule_host = 'a.com'")), "page_id", "verdict") == [(1, "block"), (2, "allow"), (3, "allow")]
+
+
+def test_blocks_of_items_change_nothing(spark):
+    items, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
+    names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+    whole = values(decontaminate.leaks(docs, items), *names)
+    parts = values(decontaminate.leaks(docs, items, block_bytes=1500), *names)
+    assert [r[:2] for r in whole] == [r[:2] for r in parts] and [r[2:] for r in whole] == [pytest.approx(r[2:]) for r in parts]
+    # By brute force: every item against every text's passages, then the overlaps.
+    corpus = decontaminate.Corpus.of([decontaminate.item_words(decontaminate.question_and_answer(r.text)) for r in items.collect()])
+    df, want = corpus.df, []
+    for item in items.collect():
+        q, a = decontaminate.question_and_answer(item.text)
+        words = decontaminate.item_words((q, a))
+        weight = {}
+        for w in set(words):
+            f = words.count(w)
+            weight[w] = np.log(1 + (corpus.n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / corpus.mean))
+        for doc_id, text in documents(spark):
+            own = decontaminate.terms(text or "")
+            shingled = {tuple(own[i : i + n]) for n in range(1, 6) for i in range(len(own) - n + 1)}
+            covered = [len(x & shingled) / len(x) for x in (decontaminate.shingles(q), decontaminate.shingles(a))]
+            half = corpus.longest
+            passages = [set(own[i : i + 2 * half]) for i in range(0, max(len(own) - half, 1), half)]
+            score = max(sum(weight[w] for w in weight if w in p) for p in passages) / sum(weight.values())
+            if score >= decontaminate.THRESHOLD and min(covered) >= decontaminate.OVERLAP:
+                want.append((doc_id, item.item_id))
+    assert sorted(r[:2] for r in whole) == sorted(want)
+
+
+def test_other_tokenizers_are_encoded_whole(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    encoder, model = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello World\nIt's  2 spaces", "", "AB ab", "x" * 3000]
+    assert not encoder.apart and tokens.Encoder(tokens.vocabulary_path()).apart
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lookups_read_a_bounded_number_of_bytes(spark):
+    n, path = 30_000, new_path(spark, "t")
+    docs = spark.range(n).selectExpr("id * 3 AS doc_id", "concat('w', id % 100) AS text").union(spark.sql("SELECT 33L, 'again'"))
+    tokens.write_shards(docs, path, shard_bytes=1 << 30)
+    store = tokens.TokenStore(path)
+    assert [len(store.get(k)) for k in (0, 33, 3 * n - 3, 1, -5, 3 * n)] == [1, 2, 1, 0, 0, 0]
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, size, at):
+            read.append(size)
+            return self.file.read_at(size, at)
+
+    shard = tokens.ShardReader(f"{path}/{store.shards[0]['name']}")
+    shard.file = Counted(shard.file)
+    for k in range(0, 300, 3):
+        read.clear()
+        assert len(shard.get(k)) == (2 if k == 33 else 1) and sum(read) < 1500
+    small = tokens.write_shards(docs, new_path(spark, "t"), shard_bytes=2000)
+    assert len(small["shards"]) > 20
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA + ", lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    for frame in (neardup.near_duplicates(none), quality_model.classify(none, labels), mixing.mix(none), quality_rules.cascade(none), repeats.remove_repeats(none), tokens.token_table(none), secret_scan.scan(none)):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for frame in (
+        neardup.near_duplicates(none), quality_model.classify(none, labels), mixing.mix(none), quality_rules.cascade(none), repeats.remove_repeats(none), tokens.token_table(none), secret_scan.scan(none),
+        decontaminate.leaks(none, items), decontaminate.clean(none, items), mixing.mix_documents(none), quality_rules.keep_documents(none), neardup.keep_one_of_each(none), html_text.main_texts(pages),
+        urls.filter_urls(pages, urls.rules_frame(spark, urls.RULES)), decontaminate.leaks(none, items.where("false")),
+    ):
         assert frame.count() == 0
 
 
