@@ -61,6 +61,11 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The same rows. Later filters and projections would be merged with those below and compute each expression many times; a generator stops that."""
+    return frame.select(F.inline(F.array(F.struct(*frame.columns))))
+
+
 def release() -> None:
     """Gives freed memory of a Python worker back to the system; workers outlive their tasks, and their pools would keep it."""
     import ctypes

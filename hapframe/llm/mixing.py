@@ -24,15 +24,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import WORD_COUNT_SQL, cut, table, word_count
+from hapframe.llm.common import WORD_COUNT_SQL, cut, settled, table, word_count
 
 WEIGHTS, MOST = (5, 2, 1), 3
 SYMBOLS, LEAST_QUALITY = "#*$%&|<>", 0.05
 
 
-def symbol_quality(text: Column, size: Column) -> Column:
+def symbol_quality(symbols: Column, size: Column) -> Column:
     """Weight in (0, 1]: words over words plus symbol characters."""
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     return F.when(size > 0, F.greatest(size / (size + symbols), F.lit(LEAST_QUALITY))).otherwise(1.0)
 
 
@@ -59,25 +58,24 @@ def targets(by: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     return filled.select("skey", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality_col: str | None) -> DataFrame:
-    """``row`` (the input's columns), ``doc_id, skey, size, key, tie``."""
+def sized(docs: DataFrame, whole: bool, id_col: str, text_col: str, source_col: str, quality_col: str | None) -> DataFrame:
+    """``doc_id, skey, size, key, tie``, and ``row``, the input's columns, if ``whole``."""
     text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     source = F.col(f"`{source_col}`").cast("string")
-    named = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("doc_id"), text.alias("text"), word_count(text).alias("size"),
+    named = settled(docs.select(
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []), own.alias("doc_id"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"),
         F.when(source.isNull(), "n").otherwise(F.concat(F.lit("a"), source)).alias("skey"),
-        (F.col(f"`{quality_col}`").cast("double") if quality_col else F.lit(None).cast("double")).alias("given"),
-    )
-    size = F.col("size")
+        (F.col(f"`{quality_col}`").cast("double") if quality_col else F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("given"),
+    ))
     given = F.least(F.greatest(F.coalesce("given", F.lit(1.0)), F.lit(LEAST_QUALITY)), F.lit(1.0))
-    weight = given if quality_col else symbol_quality(F.col("text"), size)
-    return named.select("row", "doc_id", "skey", "size", sampling_key(F.col("doc_id"), weight).alias("key"), F.xxhash64("text").alias("tie"))
+    weight = given if quality_col else symbol_quality(F.col("given"), F.col("size"))
+    return named.select(*(["row"] if whole else []), "doc_id", "skey", "size", sampling_key(F.col("doc_id"), weight).alias("key"), "tie")
 
 
 def taken(docs: DataFrame, columns: list[str], id_col: str, text_col: str, source_col: str, quality_col: str | None, weights: tuple[int, ...], most: int) -> DataFrame:
     """``columns`` of ``sized``, and ``source_size, target, taken``."""
-    rows = sized(docs, id_col, text_col, source_col, quality_col)
-    base = cut(rows.select("doc_id", "skey", "size", "key", "tie"), "mix")
+    of = id_col, text_col, source_col, quality_col
+    base = cut(sized(docs, False, *of), "mix")
     ranges = max(1, math.isqrt(base.count()))
     at = F.floor(F.col("key") / (F.col("key") + 1e9) * ranges).alias("range")
     # Written out, so that the sums are dealt by source and range, and only they by source.
@@ -85,7 +83,7 @@ def taken(docs: DataFrame, columns: list[str], id_col: str, text_col: str, sourc
     start = F.coalesce(F.sum("in_range").over(Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_source = targets(totals.groupBy("skey").agg(F.sum("in_range").alias("source_size")), weights, most)
     places = cut(totals.select("skey", "range", start.alias("start")).join(per_source, "skey"), "places")
-    dealt = (base if columns == ["doc_id", "size"] else rows).select(*columns, "skey", "key", "tie", *({"doc_id", "size"} - set(columns)), at).repartition("skey", "range")
+    dealt = (sized(docs, True, *of) if "row" in columns else base).select(*columns, "skey", "key", "tie", *({"doc_id", "size"} - set(columns)), at).repartition("skey", "range")
     inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

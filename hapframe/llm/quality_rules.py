@@ -27,7 +27,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.llm.common import NOT_WS, WS, table, words
+from hapframe.llm.common import NOT_WS, WS, settled, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -47,11 +47,6 @@ def _covered(starts: Column, width: int = 3) -> Column:
     )
 
 
-def _settled(frame: DataFrame) -> DataFrame:
-    """The same rows. A later filter would be pushed through the projections below and compute each measure many times; it stops at a generator."""
-    return frame.select(F.inline(F.array(F.struct(*frame.columns))))
-
-
 def _with_neighbours(sorted_: str, value: str) -> Column:
     """Members of an array of structs sorted by ``value`` that have an equal neighbour."""
     at = lambda j: F.get(F.col(sorted_), j)[value]
@@ -62,7 +57,7 @@ def plain_measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The input's columns under ``row``, ``doc_id``, ``text``, ``words`` and all measures but the repeated windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NOT_WS))
-    return _settled(
+    return settled(
         docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
         .withColumn("words", words(F.col("text"))).withColumn("lines", lines)
         .select(
@@ -98,7 +93,7 @@ def repeats_measured(measured: DataFrame) -> DataFrame:
         .select(*(c for c in measured.columns if c != "words"), _covered(F.col("starts")).cast("long").alias("n_repeat_words"))
         .withColumn("base_failed", few_words() | too_repetitive())
     )
-    return _settled(out)
+    return settled(out)
 
 
 def few_words() -> Column:
