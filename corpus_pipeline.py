@@ -2,6 +2,9 @@
 
 Every stage works on all that its predecessor kept, and its decisions take effect. Between stages the documents are written as
 Parquet to the shared folder and read again.
+
+Every stage but the last returns the columns of its input, whatever further ones there are and however they are named; takes texts of any length whole; and gives
+an empty table for an empty one. What it does with nulls, empty texts, ties and repeated rows stands with it.
 """
 
 from __future__ import annotations
@@ -17,27 +20,34 @@ from hapframe.llm.tokens import token_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. Null and empty texts are rejected, having too few words; equal rows share their fate; null ids and sources don't matter."""
     return keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group: five-word shingles, similarity 0.8."""
+    """The document with the least id of each group: five-word shingles, similarity 0.8.
+
+    Null, empty and blank texts are in no group and stay, so do documents without a near copy; of equal rows, and of a group whose ids are all null, one stays.
+    """
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark. Null and empty texts contain none and stay; equal rows share their fate; items without words are passed over."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it, whole each time."""
+    """Each document as often as its source's target takes it, whole each time.
+
+    Null and empty texts have no words to take and go; a null source is a source of its own; equal keys are settled by id, size and text, so that reruns agree; of
+    equal rows as many are taken as the budget holds.
+    """
     return mix_documents(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a document of the mix, read back from the shards."""
+    """One row a document of the mix, read back from the shards: every repeat is a document. Null and empty texts have the end id alone; null ids come first."""
     return token_table(docs)
 
 
