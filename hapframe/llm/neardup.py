@@ -17,7 +17,8 @@
 
 Defined results: null and word-less texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle
 of its own length; repeated rows and ids give one row each; a null id is never a component's name while another is there; of a
-component of null ids alone one row is kept, and every word-less row with a null id; an empty table gives an empty result; other columns are ignored.
+component of null ids alone one row is kept, and every word-less row with a null id; texts of any length give their whole set; an empty table gives an
+empty result; other columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations

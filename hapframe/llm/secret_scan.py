@@ -7,8 +7,9 @@ plain words and short numbers. A run that is not random as a whole may be text t
 of ``LEAST`` characters or more are tested too, their parts encoded alone; those with the most tokens beyond the ratio come first. Nothing
 that touches a base span counts.
 
-Defined results: null and empty texts have no spans; repeated rows and ids give one row each; an empty table gives an empty result; other
-columns are ignored. Offsets are code points, ends exclusive.
+Defined results: null and empty texts have no spans; texts of any length are scanned whole, in time linear in them but for a single run of very many parts;
+repeated rows and ids give one row each; an empty table gives an empty result; other columns, whatever their names, are ignored. Offsets are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
