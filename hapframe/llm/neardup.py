@@ -11,8 +11,9 @@
    nodes first lose nodes in distributed rounds, as in 4, with the population count as the distance.
 4. Connected components of these trees are candidate groups. Inside each one the full sets are compared, again by pivots: a pivot's exact
    similarity to all others that aren't linked to it yet. Every pair not yet joined by confirmed links is compared, so
-   the components are those of all links. Groups of more than ``most`` nodes or ``MOST_BYTES`` of sets first lose, in distributed rounds, the nodes whose links a pivot
-   settles: with Jaccard distance, a metric, a node at distance d from the pivot can only link to nodes whose distance lies within
+   the components are those of all links. Groups of more than ``TOGETHER`` nodes are cut into blocks, and each two blocks are compared in a task of their
+   own. Groups of more than ``most`` nodes or ``MOST_BYTES`` of sets first lose, in distributed rounds, the nodes whose links a pivot
+   settles, as long as a round settles a good part: with Jaccard distance, a metric, a node at distance d from the pivot can only link to nodes whose distance lies within
    1 - similarity of d, so of the nodes linked to the pivot only those near an unlinked one's distance must go on.
 
 Defined results: null and word-less texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle
@@ -39,8 +40,10 @@ from hapframe.llm.tokens import bounded_batches, mix64
 SAMPLES, ROWS, BITS, MISS = 160, 5, 512, 1e-5
 #: How far below the threshold an estimate may lie, in its standard deviations.
 DEVIATIONS = 5
-#: Nodes of a bucket, nodes and bytes of a candidate group that are taken in one task; larger ones are settled in rounds. Keys and bytes that are broadcast.
-MOST_MET, MOST, MOST_BYTES = 20_000, 1000, 64 << 20
+#: Nodes of a bucket, nodes and bytes of a candidate group beyond which pivots settle what they can in rounds. Keys and bytes that are broadcast.
+MOST_MET, MOST, MOST_BYTES = 20_000, 20_000, 64 << 20
+#: Nodes of a group that are compared in one task, and of a block of a larger group, whose blocks are compared two by two.
+TOGETHER, BLOCK = 1000, 250
 FEW_KEYS, FEW_BYTES = 10_000, 32 << 20
 CHUNK = 1 << 17
 
@@ -198,12 +201,13 @@ def _settle_bands(met: DataFrame, limit: int, most: int) -> tuple[DataFrame, lis
             away = np.bitwise_count(fixed(batch.column("odd"), "<u8") ^ fixed(batch.column("of"), "<u8")).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "node", "odd", "pivot")), pa.array(away)], ["band", "node", "odd", "pivot", "away"])
 
+    before = None
     while True:
-        large = cut(met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "odd")).alias("p")).where(F.col("n") > most).select("band", F.col("p.node").alias("pivot"), F.col("p.odd").alias("of")), "hot-bands")
-        n = large.count()
-        if not n:
+        large = cut(met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "odd")).alias("p")).where(F.col("n") > most).select("band", "n", F.col("p.node").alias("pivot"), F.col("p.odd").alias("of")), "hot-bands")
+        n, left = large.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not n or (before and 4 * left > 3 * before):  # few bytes a node: the rest is one task's work
             return met, found
-        few = n <= FEW_KEYS
+        few, before, large = n <= FEW_KEYS, left, large.drop("n")
         told = cut(met.join(_light(large, few), "band").mapInArrow(compare, "band long, node binary, odd binary, pivot binary, away long"), "told")
         found.append(told.where(F.col("away") <= limit).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
         rest = _rest(told, "band", F.col("away") <= limit, F.col("away"), limit, few)
@@ -296,11 +300,14 @@ def _settle(sets: DataFrame, percent: int, most: int, most_bytes: int) -> tuple[
                 union.append(len(s) + len(p) - inter[-1])
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("shingles"), batch.column("pivot"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["node", "root", "shingles", "pivot", "inter", "joint"])
 
+    before = None
     while True:
         size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"), F.min("node").alias("pivot"))
-        large = cut(size.where((F.col("n") > most) | ((F.col("bytes") > most_bytes) & (F.col("n") > 1))).select("root", "pivot"), "large")
-        if large.isEmpty():
+        large = cut(size.where((F.col("n") > most) | ((F.col("bytes") > most_bytes) & (F.col("n") > 1))).select("root", "pivot", "n"), "large")
+        left = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not left or (before and 4 * left > 3 * before):  # the rest is for blocks
             return sets, found
+        before, large = left, large.drop("n")
         pivots = cut(large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of")), "pivot").select("root", "pivot", "of"), "pivots")
         n, size = pivots.agg(F.count("*"), F.sum(F.length("of"))).first()
         few = n <= FEW_KEYS and size <= FEW_BYTES
@@ -341,7 +348,18 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
             edges = exact_forest([np.frombuffer(s, "<u8") for s in group.column(2).to_pylist()], percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array([node[p] for p, _ in edges], pa.binary()), "b": pa.array([node[q] for _, q in edges], pa.binary())})
 
-    edges = sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a binary, b binary")
+    counted = cut(sets.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER), "crowds")
+    n = counted.count()
+    crowds = _light(counted, n <= FEW_KEYS)
+    plain = sets if not n else sets.join(crowds.select("root"), "root", "left_anti").select("node", "root", "shingles")
+    edges = plain.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a binary, b binary")
+    if n:
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        placed = sets.join(crowds, "root").select("node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+        paired = placed.select("node", F.concat("root", pair.cast("string").cast("binary")).alias("root"), "shingles")
+        edges = edges.union(paired.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a binary, b binary"))
     for more in found:
         edges = edges.union(more)
     return edges

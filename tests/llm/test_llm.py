@@ -334,6 +334,9 @@ def groups(rows, width, percent):
 @pytest.mark.parametrize("percent,most,hub", [(85, neardup.MOST, 1000), (70, neardup.MOST, 3), (60, 2, 1000)])
 def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, percent, most, hub):
     monkeypatch.setattr(common, "HUB", hub)
+    if hub < 1000:
+        monkeypatch.setattr(neardup, "TOGETHER", 2)
+        monkeypatch.setattr(neardup, "BLOCK", 2)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert sorted(map(tuple, neardup.near_duplicates(docs, width=3, percent=percent, most=most, most_met=most).collect())) == groups(documents(spark), 3, percent)
 
