@@ -41,6 +41,8 @@ WIDTH = 50
 CHUNK, PARTS, HOT = 4 << 20, 4, 1 << 14
 #: Positions at once while anchors are looked for, so that the arrays stay in the cache.
 STEP = 1 << 16
+#: Text to a task, at least so many tasks are made.
+TASK_BYTES = 64 << 20
 PLACE = np.uint64((1 << 31) - 1)
 NEVER = np.iinfo(np.int64).max
 MARKS = np.dtype([("segment", "<u4"), ("first", "u1"), ("n", "u1"), ("least", "<i8")])
@@ -157,7 +159,7 @@ class Chunk:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``chunk, ids, data, sizes, ranks``: documents packed, ids as they are and as ranks in their order."""
+    """``chunk, n_bytes, ids, data, sizes, ranks``: documents packed, ids as they are and as ranks in their order."""
     kind, ids = docs.schema[id_col].dataType, F.col(f"`{id_col}`")
     narrow = docs.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text"))
     if isinstance(kind, IntegralType):
@@ -177,7 +179,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             number, n = number + 1, 0
             held.clear()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "ids", "data", "sizes", "ranks"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, raw))], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "n_bytes", "ids", "data", "sizes", "ranks"])
 
         for batch in batches:
             texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
@@ -194,7 +196,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             yield out()
         release()
 
-    return cut(ranked.mapInArrow(run, f"chunk long, ids array<{kind.simpleString()}>, data binary, sizes binary, ranks binary"), "chunks")
+    return cut(ranked.mapInArrow(run, f"chunk long, n_bytes long, ids array<{kind.simpleString()}>, data binary, sizes binary, ranks binary"), "chunks")
 
 
 def spans(*keys: np.ndarray) -> Iterable[tuple[int, int]]:
@@ -463,11 +465,12 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
         raise ValueError(f"width must be from {GRAM + 8} to 100")
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     packed = chunks(docs, id_col, text_col, chunk_bytes)
+    size = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, -(-int(size) // TASK_BYTES))
     shared = cut(shared_anchors(packed, width, n, hot), "shared")
     forget(spark)
-    met = packed.join(shared.hint("merge"), "chunk", "left")
+    met = packed.drop("n_bytes").join(shared.hint("merge"), "chunk", "left")
     told = answers(shared_segments(met, width, n), width, n).groupBy("chunk").agg(F.collect_list("data").alias("marks"))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
