@@ -40,13 +40,9 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Alleles of a VCF or BCF with dense site numbers in the order of the input."""
-    if path.endswith(".bcf"):
-        alleles = bcf.read_bcf(spark, path)
-        sites = vcf.number_sites(alleles.select("path", "record").distinct(), ["path", "record"])
-        return alleles.join(sites, ["path", "record"]).select("site_id", "hap", "ploidy", "n_allele", "allele")
-    return vcf.read_alleles(spark, path)
+def load(spark: SparkSession, path: str, block_size: int) -> DataFrame:
+    """Vectors of a VCF's or BCF's sites, numbered from 0 in the order of the input."""
+    return (bcf if path.endswith(".bcf") else vcf).read_sites(spark, path, block_size)
 
 
 def stored_order(frame: DataFrame) -> bool:
@@ -60,9 +56,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if not args.output:
             raise SystemExit("-c needs -o")
         if args.codec == MODEL:
-            coded.write(coded.encode(load(spark, args.input), block_size=args.block_sites, use_pbwt=args.permute), args.output)
+            coded.write(coded.encode_sites(load(spark, args.input, args.block_sites), use_pbwt=args.permute), args.output)
             return
-        archive.write(archive.encode(load(spark, args.input), block_size=args.block_sites, use_pbwt=args.permute), args.output, codec=args.codec, level=args.level)
+        archive.write(archive.encode_sites(load(spark, args.input, args.block_sites), use_pbwt=args.permute), args.output, codec=args.codec, level=args.level)
         return
     stored = archive.read(spark, args.input)
     permuted, by_model = stored_order(stored), "payload" in stored.columns

@@ -47,8 +47,12 @@ def valid(stats: DataFrame) -> DataFrame:
     return stats.where(F.col("n") % F.col("ploidy") == 0)
 
 
+def placed(sites: DataFrame, lengths: DataFrame, block_size: int = BLOCK_SITES) -> DataFrame:
+    """Adds group, block and rareness to vectors; ``lengths`` has ``site_id, n, ploidy`` of the same sites."""
+    named = sites.join(F.broadcast(group_table(lengths)), ["n", "ploidy"])
+    return blocks(named, block_size).withColumn("rare", (F.col("archetype") == "2mc") & (F.col("ac") < RARE))
+
+
 def site_vectors(alleles: DataFrame, block_size: int = BLOCK_SITES) -> DataFrame:
     """One row a site with its route and its alleles as bytes in the order of haplotypes."""
-    lengths = alleles.groupBy("site_id").agg(F.count("*").alias("n"), F.max("ploidy").alias("ploidy"))
-    named = gathered(alleles).join(F.broadcast(group_table(lengths)), ["n", "ploidy"])
-    return blocks(named, block_size).withColumn("rare", (F.col("archetype") == "2mc") & (F.col("ac") < RARE))
+    return placed(gathered(alleles), alleles.groupBy("site_id").agg(F.count("*").alias("n"), F.max("ploidy").alias("ploidy")), block_size)

@@ -20,19 +20,31 @@ def archetype(n_allele: int, n_missing: int, n_eov: int) -> str:
     return "2mc" if n_allele <= 2 and not n_missing and not n_eov else "nm"
 
 
+def described(gt: np.ndarray, n_allele: int) -> tuple:
+    """``n, ac, n_missing, n_eov, observed, archetype, gt`` of one vector."""
+    count = np.bincount(gt, minlength=16)
+    missing, eov = int(count[MISSING]), int(count[EOV])
+    return len(gt), int(count[1]), missing, eov, int(np.flatnonzero(count)[-1]) + 1 if len(gt) else 0, archetype(n_allele, missing, eov), gt.astype(np.uint8).tobytes()
+
+
+#: Of a vector's columns after ploidy and n_allele.
+DESCRIBED = {"n": pa.int64(), "ac": pa.int64(), "n_missing": pa.int64(), "n_eov": pa.int64(), "observed": pa.int32(), "archetype": pa.string(), "gt": pa.binary()}
+
+
+def as_batch(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(names.values())], list(names))
+
+
 def gathered(alleles: DataFrame) -> DataFrame:
     """One row a site (``SITES``): alleles in the order of haplotypes, and the counts of them. One shuffle; a site is one row."""
 
+    names = {"site_id": pa.int32(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, rows = batch.column(3), []
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for site, ploidy, n_allele, a, b in zip(*(c.to_pylist() for c in batch.columns[:3]), ends[:-1], ends[1:], strict=True):
-                gt = (np.sort(values[a:b]) & 255).astype(np.uint8)
-                count = np.bincount(gt, minlength=16)
-                missing, eov = int(count[MISSING]), int(count[EOV])
-                rows.append((site, ploidy, n_allele, len(gt), int(count[1]), missing, eov, int(gt.max()) + 1, archetype(n_allele, missing, eov), gt.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(),) * 3 + (pa.int64(),) * 4 + (pa.int32(), pa.string(), pa.binary()))], [c.split()[0] for c in SITES.split(", ")])
+            values, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+            heads = zip(*(c.to_pylist() for c in batch.columns[:3]), ends[:-1], ends[1:], strict=True)
+            yield as_batch([(site, ploidy, n_allele, *described(np.sort(values[a:b]) & 255, n_allele)) for site, ploidy, n_allele, a, b in heads], names)
 
     cell = F.shiftleft(F.col("hap").cast("long"), 8) + F.col("allele")
     return alleles.groupBy("site_id").agg(F.max("ploidy").cast("int").alias("ploidy"), F.max("n_allele").cast("int").alias("n_allele"), F.collect_list(cell).alias("cells")).mapInArrow(run, SITES)

@@ -192,7 +192,15 @@ def _bcf_read(m: DataFrame) -> DataFrame:
     return bcf.read_bcf(m.sparkSession, f"{path}/*.bcf").select((F.col("pos") - 1).cast("int").alias("site_id"), "hap", "ploidy", "n_allele", "allele")
 
 
+def _vcf_vectors(m: DataFrame) -> DataFrame:
+    path = scratch(m.sparkSession, "vcf")
+    vcf.write_records(m, path)
+    sites = vcf.read_sites(m.sparkSession, path, BLOCK).select("site_id", "ploidy", "n_allele", "gt")
+    return vcf.renumbered(pbwt.explode_vectors(sites), vcf.read_positions(m.sparkSession, path))
+
+
 query("vcf_read", "g4", _MATRIX)(_vcf_read)
+query("vcf_read_vectors", "g4", _MATRIX)(_vcf_vectors)
 query("vcf_samples", "g2", "SELECT CAST(floor(hap / ploidy) AS INT) AS sample, 's' || CAST(floor(hap / ploidy) AS INT) AS name FROM m WHERE site_id = (SELECT min(site_id) FROM m) GROUP BY 1, 2")(lambda m: _header(m))
 query("bcf_read", "g4", _MATRIX)(_bcf_read)
 

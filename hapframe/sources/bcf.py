@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapframe.schema import EOV, MAX_ALLELE, MISSING
+from hapframe.operators import route
+from hapframe.operators.vectors import DESCRIBED, as_batch, described
+from hapframe.schema import BLOCK_SITES, EOV, MAX_ALLELE, MISSING
+from hapframe.sources import vcf
 
 SCHEMA = "path string, record long, contig string, pos long, ploidy int, n_allele int, hap int, allele int"
 BATCH, PIECE = 1 << 16, 1 << 20
@@ -144,6 +147,28 @@ def read_bcf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInArrow(run, SCHEMA)
 
 
+def read_sites(spark: SparkSession, path: str, block_size: int = BLOCK_SITES) -> DataFrame:
+    """As ``route.site_vectors``, of every record with genotypes, in the order of files and records."""
+    names = {"path": pa.string(), "record": pa.int64(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files in batches:
+            for name, data in zip(files.column(0).to_pylist(), files.column(1), strict=True):
+                rows, n = [], 0
+                for record, _, _, ploidy, n_allele, alleles in genotypes(data.as_py()):
+                    rows.append((name, record, ploidy, n_allele, *described(alleles.astype(np.int64), n_allele)))
+                    n += len(alleles)
+                    if n >= BATCH:
+                        yield as_batch(rows, names)
+                        rows, n = [], 0
+                yield as_batch(rows, names)
+
+    schema = "path string, record long, ploidy int, n_allele int, n long, ac long, n_missing long, n_eov long, observed int, archetype string, gt binary"
+    vectors = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    sites = vcf.number_sites(vectors, ["path", "record"]).drop("path", "record")
+    return route.placed(sites, sites.select("site_id", "n", "ploidy"), block_size)
+
+
 def bcf_file(contig: str, n_samples: int, records: Iterable[tuple[int, int, int, np.ndarray]]) -> bytes:
     """A plain BCF 2 file of (pos, n_allele, ploidy, alleles) records of one contig; alleles get ``(allele + 1) << 1 | 1``."""
     names = "\t".join(f"s{k}" for k in range(n_samples))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.operators import route
-from hapframe.operators.vectors import SITES
+from hapframe.operators.vectors import DESCRIBED, SITES, as_batch, described
 from hapframe.schema import BLOCK_SITES, RARE
 
 
@@ -34,11 +34,10 @@ def random_vectors(spark: SparkSession, n_sites: int, n_haps: int, *, most: int
         for batch in batches:
             rows = []
             for site, haps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                gt = np.zeros(n_haps, np.uint8)
+                gt = np.zeros(n_haps, np.int64)
                 gt[haps] = 1
-                rows.append((site, 2, 2, n_haps, len(haps), 0, 0, 2 if haps else 1, "2mc", gt.tobytes()))
-            kinds = (pa.int32(),) * 3 + (pa.int64(),) * 4 + (pa.int32(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in SITES.split(", ")])
+                rows.append((site, 2, 2, *described(gt, 2)))
+            yield as_batch(rows, {"site_id": pa.int32(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED)
 
     drawn = random_sites(spark, n_sites, n_haps, most=most, seed=seed).groupBy("site_id").agg(F.collect_list("hap").alias("haps"))
     whole = spark.range(n_sites).select(F.col("id").cast("int").alias("site_id")).join(drawn, "site_id", "left").select("site_id", F.coalesce("haps", F.array().cast("array<int>")).alias("haps"))

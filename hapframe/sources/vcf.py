@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hapframe.functions.alleles import vcf_allele, vcf_symbol
-from hapframe.schema import EOV
+from hapframe.operators import route
+from hapframe.operators.vectors import DESCRIBED, as_batch, described
+from hapframe.schema import BLOCK_SITES, EOV, MAX_ALLELE, MISSING
 from hapframe.sources.scratch import scratch
 
 
@@ -82,6 +88,50 @@ def matrix_of(lines: DataFrame) -> DataFrame:
     return numbered.select("site_id", "ploidy", "n_allele", F.posexplode("gt").alias("hap", "allele")).select("site_id", "hap", "ploidy", "n_allele", "allele")
 
 
+def genotype_vector(form: str, samples: str) -> tuple[int, np.ndarray] | None:
+    """(ploidy, alleles) of a record's FORMAT and its samples; None without GT. Shorter genotypes are padded with the end of vector."""
+    fields = form.split(":")
+    if "GT" not in fields:
+        return None
+    raw = np.frombuffer(samples.encode() + b"\t", np.uint8)
+    if form == "GT" and len(raw) % 4 == 0:  # nothing but genotypes of two one-letter alleles
+        cells = raw.reshape(-1, 4)
+        pair = cells[:, ::2].astype(np.int64) - 48
+        pair[pair == ord(".") - 48] = MISSING
+        if (cells[:, 3] == 9).all() and np.isin(cells[:, 1], (ord("|"), ord("/"))).all() and ((pair >= 0) & ((pair <= 9) | (pair == MISSING))).all():
+            return 2, pair.ravel()
+    at, own = fields.index("GT"), []
+    for sample in samples.split("\t"):
+        symbols = sample.split(":")[at].replace("/", "|").split("|")
+        own.append([MISSING if x == "." else int(x) for x in symbols])
+        if max((x for x, y in zip(own[-1], symbols, strict=True) if y != "."), default=0) > MAX_ALLELE:
+            raise ValueError(f"allele beyond {MAX_ALLELE}")
+    ploidy = max(map(len, own))
+    return ploidy, np.array([x for g in own for x in g + [EOV] * (ploidy - len(g))], np.int64)
+
+
+def read_sites(spark: SparkSession, path: str, block_size: int = BLOCK_SITES) -> DataFrame:
+    """As ``route.site_vectors``, of every record with a GT field, in the order of the files' lines. No row of a single allele is made."""
+    names = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for line, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fields = line.split("\t", 9)
+                found = genotype_vector(fields[8], fields[9]) if len(fields) > 9 else None
+                if found:
+                    n_allele = fields[4].count(",") + 2
+                    rows.append((*place, found[0], n_allele, *described(found[1], n_allele)))
+            yield as_batch(rows, names)
+
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    told = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    vectors = told.mapInArrow(run, "file string, block long, at long, ploidy int, n_allele int, n long, ac long, n_missing long, n_eov long, observed int, archetype string, gt binary")
+    sites = number_sites(vectors, ["file", "block", "at"]).drop("file", "block", "at")
+    return route.placed(sites, sites.select("site_id", "n", "ploidy"), block_size)
+
+
 def _individuals(alleles: DataFrame, phasing: str) -> DataFrame:
     own = alleles.withColumn("sample", F.floor(F.col("hap") / F.col("ploidy")).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("hap", vcf_symbol(F.col("allele")).alias("s"))))

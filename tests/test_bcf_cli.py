@@ -4,8 +4,10 @@ import struct
 
 import pytest
 
+from conftest import rows_of
 from hapframe import cli
-from hapframe.sources import bcf
+from hapframe.operators import route
+from hapframe.sources import bcf, vcf
 
 HEAD = "##fileformat=VCFv4.2\n##contig=<ID=chr1>\n##INFO=<ID=DP,Number=1,Type=Integer,Description=\"d\">\n##FORMAT=<ID=GT,Number=1,Type=String,Description=\"g\">\n"
 #: Position, alternative alleles, and each sample's alleles; None is missing.
@@ -56,3 +58,21 @@ def test_command_line_round_trip(spark, tmp_path, name, flags):
     cli.main(["-d", "-i", stored, "-o", text])
     lines = [line for path in sorted(glob.glob(f"{text}/part-*")) for line in open(path).read().splitlines()]
     assert lines == ["\t".join("|".join("." if a is None else str(a) for a in g) for g in samples) for _, _, samples in SITES]
+
+
+def test_vectors_of_both_formats(spark, tmp_path):
+    (tmp_path / "x.vcf").write_text(as_vcf())
+    (tmp_path / "x.bcf").write_bytes(as_bcf())
+    names = ["site_id", "block_id", "group_id", "ploidy", "n_allele", "n", "ac", "n_missing", "n_eov", "observed", "archetype", "rare", "gt"]
+    own = [rows_of(kind.read_sites(spark, str(tmp_path / name), 2).select(names)) for kind, name in ((vcf, "x.vcf"), (bcf, "x.bcf"))]
+    assert own[0] == own[1] == rows_of(route.site_vectors(vcf.read_alleles(spark, str(tmp_path / "x.vcf")), 2).select(names))
+    assert [r.site_id for r in vcf.read_sites(spark, str(tmp_path / "x.vcf")).orderBy("site_id").collect()] == [0, 1, 2, 3]
+
+
+def test_genotypes_of_odd_records():
+    assert vcf.genotype_vector("DP", "3") is None
+    for form, samples, want in (("GT", "0|1\t1/.", (2, [0, 1, 1, 14])), ("GT", "10|1\t1", (2, [10, 1, 1, 15])), ("DP:GT", "3:0|2\t4:.", (2, [0, 2, 14, 15])), ("GT", "1", (1, [1])), ("GT:X", "0|1|2:y\t.:z", (3, [0, 1, 2, 14, 15, 15]))):
+        ploidy, gt = vcf.genotype_vector(form, samples)
+        assert (ploidy, gt.tolist()) == want
+    with pytest.raises(ValueError):
+        vcf.genotype_vector("GT", "0|14")
