@@ -161,7 +161,7 @@ class Chunk:
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``chunk, n_bytes, ids, data, sizes, ranks``: documents packed, ids as they are and as ranks in their order."""
     kind, ids = docs.schema[id_col].dataType, F.col(f"`{id_col}`")
-    narrow = docs.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    narrow = docs.select(ids.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     if isinstance(kind, IntegralType):
         ranked = narrow.withColumn("rank", F.col("id").cast("long"))
     else:  # numbers of a sorted frame rise with it; written out, so that no task gives others
@@ -182,7 +182,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, raw))], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "n_bytes", "ids", "data", "sizes", "ranks"])
 
         for batch in batches:
-            texts = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
             ranks = batch.column(2).fill_null(NEVER).to_numpy()
             a = 0
             for b, text in enumerate(texts, 1):
