@@ -356,10 +356,12 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width:
     if n:
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        placed = sets.join(crowds, "root").select("node", "root", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
-        paired = placed.select("node", F.concat("root", pair.cast("string").cast("binary")).alias("root"), "shingles")
-        edges = edges.union(paired.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a binary, b binary"))
+        placed = sets.join(crowds, "root").select("node", "root", "shingles", "n", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        low, high, tasks = F.least("own", "other"), F.greatest("own", "other"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        name = F.concat("root", F.concat_ws("-", low.cast("string"), high.cast("string")).cast("binary"))
+        task = F.pmod(F.pmod(F.xxhash64("root"), F.lit(tasks)) + low.cast("long") * blocks + high, F.lit(tasks)).cast("int")  # pairs of one group in different tasks
+        paired = placed.select("node", name.alias("root"), "shingles", task.alias("task")).repartitionById(tasks, F.col("task")).sortWithinPartitions("root", "node")
+        edges = edges.union(paired.select("node", "root", "shingles").mapInArrow(run, "a binary, b binary"))
     for more in found:
         edges = edges.union(more)
     return edges
