@@ -17,7 +17,7 @@ from hapframe.sources import archive, coded
 from hapframe.sources.fixtures import matrix
 from hapframe.sources.scratch import scratch
 
-NAMES = ["scan_bytes", "site_ac_an", "group_route", "pbwt_order_2mc", "pbwt_order_nm", "ewah_2mc", "ewah_nm", "ewah_popcount", "archive_roundtrip", "decode_raw", "model_archive_roundtrip", "to_vcf", "hap_bitmap"]
+NAMES = ["scan_bytes", "site_ac_an", "group_route", "pbwt_order_2mc", "pbwt_order_nm", "ewah_2mc", "ewah_nm", "ewah_popcount", "archive_roundtrip", "decode_raw", "model_archive_roundtrip", "to_vcf", "archive_to_vcf", "hap_bitmap"]
 
 
 def run(frame) -> float:

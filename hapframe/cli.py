@@ -62,16 +62,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     stored = archive.read(spark, args.input)
     permuted, by_model = stored_order(stored), "payload" in stored.columns
+    form = coded if by_model else archive
     if args.decompress:
-        alleles = coded.decode(stored, use_pbwt=permuted) if by_model else archive.decode(stored, use_pbwt=permuted).join(stored.select("site_id", "ploidy"), "site_id")
+        lines = vcf.vectors_to_vcf(form.decode_vectors(stored, use_pbwt=permuted))
         if args.output:
-            vcf.write_vcf(alleles, args.output)
+            vcf.write_vcf(lines, args.output)
         else:
-            for row in vcf.to_vcf(alleles).orderBy("site_id").toLocalIterator():
+            for row in lines.orderBy("site_id").toLocalIterator():
                 print(row.line)
         return
-    form = coded if by_model else archive
-    ways = {"scan": stored.agg(F.count("*"), F.sum("n_bytes" if by_model else "n")), "raw": form.stored_vectors(stored), "decode": form.decode(stored, use_pbwt=permuted)}
+    ways = {"scan": stored.agg(F.count("*"), F.sum("n_bytes" if by_model else "n")), "raw": form.stored_vectors(stored), "decode": form.decode(stored, use_pbwt=permuted), "vcf": vcf.vectors_to_vcf(form.decode_vectors(stored, use_pbwt=permuted))}
     took = {}
     for name, frame in ways.items():
         began = time.perf_counter()

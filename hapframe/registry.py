@@ -175,6 +175,9 @@ _SYMBOL = "CASE WHEN allele = 14 THEN '.' WHEN allele = 15 THEN NULL ELSE CAST(a
 _VCF = f"""SELECT site_id, string_agg(gt, chr(9) ORDER BY sample) AS line FROM (
 SELECT site_id, CAST(floor(hap / ploidy) AS INT) AS sample, coalesce(string_agg({_SYMBOL}, '|' ORDER BY hap), '') AS gt FROM m GROUP BY 1, 2) GROUP BY site_id"""
 query("to_vcf", "g2", _VCF)(vcf.to_vcf)
+for _name, _fixture in (("archive_to_vcf", "g4"), ("archive_to_vcf_nm", "g2")):
+    query(_name, _fixture, _VCF)(lambda m: vcf.vectors_to_vcf(archive.decode_vectors(archive.encode(m, block_size=BLOCK))))
+query("model_archive_to_vcf", "g2", _VCF)(lambda m: vcf.vectors_to_vcf(coded.decode_vectors(coded.encode(m, block_size=BLOCK))))
 query("to_vcf_debug", "g1", f"SELECT site_id, line || chr(9) AS line FROM ({_VCF})")(vcf.to_vcf_debug)
 query("vcf_parse_roundtrip", "g4", "SELECT site_id, CAST(floor(hap / ploidy) AS INT) AS sample, CAST(hap % ploidy AS INT) AS slot, allele FROM m WHERE allele <> 15")(lambda m: vcf.from_lines(vcf.to_vcf(m)))
 _MATRIX = "SELECT site_id, hap, ploidy, n_allele, allele FROM m"

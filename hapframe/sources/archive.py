@@ -95,6 +95,14 @@ def stored_vectors(encoded: DataFrame) -> DataFrame:
     return encoded.select("site_id", "archetype", "n", "markers").mapInArrow(run, "site_id int, pos int, allele int")
 
 
+def _unpermuted(batches: Iterable[pa.RecordBatch], by: list[str] | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each batch with its vectors in the original order; without ``by`` they are stored so."""
+    orders = pbwt.Orders()
+    for batch in batches:
+        stored = _vectors(batch)
+        yield batch, list(stored) if by is None else [orders.step(key, kind, gt, True) for (key, kind), gt in zip(pbwt.keyed(batch, by), stored, strict=True)]
+
+
 def decode(encoded: DataFrame, *, use_pbwt: bool = True, reset: bool = True) -> DataFrame:
     """``site_id, hap, allele`` in the original order."""
     if not use_pbwt:
@@ -102,14 +110,24 @@ def decode(encoded: DataFrame, *, use_pbwt: bool = True, reset: bool = True) ->
     by = pbwt.keys(reset)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = pbwt.Orders()
-        for batch in batches:
-            back = [orders.step(key, kind, gt, True) for (key, kind), gt in zip(pbwt.keyed(batch, by), _vectors(batch), strict=True)]
-            yield from spread(back, [batch.column("site_id")], ["site_id"], "hap")
+        for batch, vectors in _unpermuted(batches, by):
+            yield from spread(vectors, [batch.column("site_id")], ["site_id"], "hap")
 
     return pbwt.dealt(encoded, by).select("site_id", *by, "n", "markers").mapInArrow(run, "site_id int, hap int, allele int")
 
 
+def decode_vectors(encoded: DataFrame, *, use_pbwt: bool = True, reset: bool = True) -> DataFrame:
+    """``site_id, ploidy, gt`` in the original order, a site a row."""
+    by = pbwt.keys(reset)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, vectors in _unpermuted(batches, by if use_pbwt else None):
+            yield pa.RecordBatch.from_arrays([batch.column("site_id"), batch.column("ploidy"), pa.array([v.astype(np.uint8).tobytes() for v in vectors], pa.binary())], ["site_id", "ploidy", "gt"])
+
+    ready = pbwt.dealt(encoded, by) if use_pbwt else encoded
+    return ready.select("site_id", "ploidy", *by, "n", "markers").mapInArrow(run, "site_id int, ploidy int, gt binary")
+
+
 def flat(encoded: DataFrame) -> DataFrame:
     """``site_id, stream``: the site's markers and dirty words as bytes, little-endian: 8 of a marker (ref 4 bits, clean 30, dirty 30), then 4 of each of its words."""
     marker = lambda m: F.format_string("%016x", m["ref"].cast("long") + F.shiftleft(m["clean"].cast("long"), 4) + F.shiftleft(m["dirty"].cast("long"), 34))

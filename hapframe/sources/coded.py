@@ -69,10 +69,15 @@ def stored_vectors(coded: DataFrame) -> DataFrame:
     return pbwt.explode_vectors(_vectors(coded).select("site_id", "gt"), "pos")
 
 
+def decode_vectors(coded: DataFrame, *, use_pbwt: bool = True) -> DataFrame:
+    """``site_id, ploidy, gt`` in the original order, a site a row."""
+    vectors = _vectors(coded)
+    return (pbwt.restore(vectors) if use_pbwt else vectors).select("site_id", "ploidy", "gt")
+
+
 def decode(coded: DataFrame, *, use_pbwt: bool = True) -> DataFrame:
     """``site_id, hap, ploidy, allele`` in the original order."""
-    vectors = _vectors(coded)
-    return pbwt.explode_vectors((pbwt.restore(vectors) if use_pbwt else vectors).select("site_id", "ploidy", "gt")).select("site_id", "hap", "ploidy", "allele")
+    return pbwt.explode_vectors(decode_vectors(coded, use_pbwt=use_pbwt)).select("site_id", "hap", "ploidy", "allele")
 
 
 def folds(coded: DataFrame) -> DataFrame:

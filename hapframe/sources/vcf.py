@@ -144,6 +144,29 @@ def to_vcf(alleles: DataFrame, phasing: str = "|", trailing: str = "") -> DataFr
     return _individuals(alleles, phasing).groupBy("site_id").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["gt"]), "\t"), F.lit(trailing)).alias("line"))
 
 
+def vector_text(gt: np.ndarray, ploidy: int, phasing: str = "|") -> str:
+    """The genotypes of one vector, tab-separated."""
+    if len(gt) and len(phasing) == 1 and ((gt <= 9) | (gt == MISSING)).all():  # a letter each
+        cells = np.empty((len(gt) // ploidy, 2 * ploidy), np.uint8)
+        cells[:, ::2] = np.where(gt == MISSING, ord("."), gt + 48).reshape(-1, ploidy)
+        cells[:, 1::2] = ord(phasing)
+        cells[:, -1] = 9
+        return cells.tobytes()[:-1].decode("latin-1")
+    symbol = lambda x: "." if x == MISSING else str(x)
+    return "\t".join(phasing.join(symbol(x) for x in gt[a : a + ploidy].tolist() if x != EOV) for a in range(0, len(gt), ploidy))
+
+
+def vectors_to_vcf(sites: DataFrame, phasing: str = "|", trailing: str = "") -> DataFrame:
+    """As ``to_vcf``, of ``site_id, ploidy, gt``; no shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [vector_text(np.frombuffer(gt, np.uint8), ploidy, phasing) + trailing for ploidy, gt in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["site_id", "line"])
+
+    return sites.select("site_id", "ploidy", "gt").mapInArrow(run, "site_id int, line string")
+
+
 def to_vcf_debug(alleles: DataFrame) -> DataFrame:
     """As ``to_vcf`` with a tab after the last individual."""
     return to_vcf(alleles, trailing="\t")
@@ -155,8 +178,9 @@ def from_lines(lines: DataFrame) -> DataFrame:
     return one.where("gt <> ''").select("site_id", "sample", F.posexplode(F.split("gt", r"[|/]")).alias("slot", "s")).select("site_id", "sample", "slot", vcf_allele(F.col("s")).alias("allele"))
 
 
-def write_vcf(alleles: DataFrame, path: str) -> None:
-    to_vcf(alleles).orderBy("site_id").select("line").write.text(path)
+def write_vcf(lines: DataFrame, path: str) -> None:
+    """Writes ``site_id, line`` in the order of sites."""
+    lines.orderBy("site_id").select("line").write.text(path)
 
 
 def records(alleles: DataFrame, contig: str = "1") -> DataFrame:

@@ -2,6 +2,7 @@ import glob
 import gzip
 import struct
 
+import numpy as np
 import pytest
 
 from conftest import rows_of
@@ -76,3 +77,8 @@ def test_genotypes_of_odd_records():
         assert (ploidy, gt.tolist()) == want
     with pytest.raises(ValueError):
         vcf.genotype_vector("GT", "0|14")
+
+
+def test_text_of_vectors():
+    for gt, ploidy, want in (([0, 1, 14, 2], 2, "0|1\t.|2"), ([1, 15, 13, 0], 2, "1\t13|0"), ([0, 1], 1, "0\t1"), ([], 2, ""), ([1, 0, 14], 3, "1|0|.")):
+        assert vcf.vector_text(np.array(gt, np.uint8), ploidy) == want
