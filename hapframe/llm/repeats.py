@@ -44,7 +44,6 @@ STEP = 1 << 16
 #: Text to a task, at least so many tasks are made.
 TASK_BYTES = 64 << 20
 PLACE = np.uint64((1 << 31) - 1)
-NEVER = np.iinfo(np.int64).max
 MARKS = np.dtype([("segment", "<u4"), ("first", "u1"), ("n", "u1"), ("least", "<i8")])
 
 
@@ -105,16 +104,14 @@ def segments(data: bytes, starts: np.ndarray, sizes: np.ndarray, width: int) ->
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays with their lengths and types."""
-    kinds = [a.dtype.str.encode().ljust(8) if a.dtype.names is None else b"marks   " for a in arrays]
-    return len(arrays).to_bytes(8, "little") + b"".join(k + len(a).to_bytes(8, "little") for k, a in zip(kinds, arrays, strict=True)) + b"".join(a.tobytes() for a in arrays)
+    return len(arrays).to_bytes(8, "little") + b"".join(a.dtype.str.encode().ljust(8) + len(a).to_bytes(8, "little") for a in arrays) + b"".join(a.tobytes() for a in arrays)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     n, out = int.from_bytes(data[:8], "little"), []
     at = 8 + 16 * n
     for k in range(n):
-        kind, size = data[8 + 16 * k : 16 + 16 * k].strip(), int.from_bytes(data[16 + 16 * k : 24 + 16 * k], "little")
-        kind = MARKS if kind == b"marks" else np.dtype(kind.decode())
+        kind, size = np.dtype(data[8 + 16 * k : 16 + 16 * k].strip().decode()), int.from_bytes(data[16 + 16 * k : 24 + 16 * k], "little")
         out.append(np.frombuffer(data, kind, size, at))
         at += size * kind.itemsize
     return out
@@ -131,9 +128,9 @@ def loosened(data: bytes) -> bytes:
 def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Integers as a base and differences of as few bytes as they need."""
     base = x.min() if len(x) else 0
-    rest = x - base
-    top = int(rest.max()) if len(x) else 0
-    return np.array([base], np.int64), rest.astype("<u4" if top < 1 << 32 else "<i8")
+    rest = x - base  # where they span more than an integer holds this wraps, and wraps back
+    few = not len(x) or (rest.min() >= 0 and rest.max() < 1 << 32)
+    return np.array([base], np.int64), rest.astype("<u4" if few else "<i8")
 
 
 def of_rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -145,15 +142,16 @@ RECORD_DDL = "bucket long, chunk long, data binary"
 
 
 class Chunk:
-    """Documents of one chunk: bytes, starts, sizes and ranks (NEVER where the id is null)."""
+    """Documents of one chunk: bytes, starts, sizes and ranks; ``known`` tells which have an id. Of the others the complement of the size is stored."""
 
     def __init__(self, data: bytes, sizes: bytes, ranks: bytes):
-        self.data, self.sizes, self.ranks = loosened(data), np.frombuffer(sizes, "<i8"), np.frombuffer(ranks, "<i8")
+        self.data, told, self.ranks = loosened(data), np.frombuffer(sizes, "<i8"), np.frombuffer(ranks, "<i8")
+        self.known, self.sizes = told >= 0, np.where(told < 0, ~told, told)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def segments(self, width: int) -> tuple[np.ndarray, ...]:
         """As ``segments``, of documents with an id, and each one's document."""
-        first, n, at, h = segments(self.data, self.starts, np.where(self.ranks == NEVER, 0, self.sizes), width)
+        first, n, at, h = segments(self.data, self.starts, np.where(self.known, self.sizes, 0), width)
         real = np.flatnonzero(self.sizes)  # empty ones share their start with the next
         return first, n, at, h, real[np.searchsorted(self.starts[real], first, side="right") - 1]
 
@@ -175,20 +173,21 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             nonlocal number, n
             ids = pa.concat_arrays([h[0] for h in held])
             raw = [x for h in held for x in h[1]]
-            ranks = np.concatenate([h[2] for h in held])
+            ranks, known = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            sizes = np.fromiter(map(len, raw), "<i8", len(raw))
             number, n = number + 1, 0
             held.clear()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, raw))], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.fromiter(map(len, raw), "<i8", len(raw)).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "n_bytes", "ids", "data", "sizes", "ranks"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sizes.sum()], pa.int64()), lists, pa.array([squeezed(b"".join(raw))], pa.binary()), pa.array([np.where(known, sizes, ~sizes).tobytes()], pa.binary()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["chunk", "n_bytes", "ids", "data", "sizes", "ranks"])
 
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            ranks = batch.column(2).fill_null(NEVER).to_numpy()
+            ranks, known = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             a = 0
             for b, text in enumerate(texts, 1):
                 n += len(text) + 64
                 if n >= size or b == len(texts):
-                    held.append((batch.column(0).slice(a, b - a), texts[a:b], ranks[a:b]))
+                    held.append((batch.column(0).slice(a, b - a), texts[a:b], ranks[a:b], known[a:b]))
                     a = b
                     if n >= size:
                         yield out()
@@ -324,7 +323,8 @@ def distinct(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 def bounds(of: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Least of ``least`` and largest of ``most`` by number."""
-    low, high = np.full(n, NEVER), np.full(n, np.iinfo(np.int64).min)
+    ends = np.iinfo(np.int64)
+    low, high = np.full(n, ends.max), np.full(n, ends.min)
     np.minimum.at(low, of, least)
     np.maximum.at(high, of, most)
     return low, high
@@ -482,7 +482,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
                 begins[1:] &= ~gone[:-1]
                 real = np.flatnonzero(chunk.sizes)
                 begins[chunk.starts[real]] = gone[chunk.starts[real]]
-                n_spans, n_removed = np.zeros(len(sizes) // 8, np.int64), np.zeros(len(sizes) // 8, np.int64)
+                n_spans, n_removed = np.zeros((2, len(chunk.sizes)), np.int64)
                 if len(real):
                     n_spans[real] = np.add.reduceat(begins, chunk.starts[real], dtype=np.int64)
                     n_removed[real] = np.add.reduceat(gone, chunk.starts[real], dtype=np.int64)

@@ -75,3 +75,10 @@ def test_one_line_in_very_many_documents(spark):
     text = [r.text.encode() for r in frame.where("doc_id < 400").collect()]
     few = sorted(map(tuple, repeats.remove_repeats(frame.where("doc_id < 400"), hot=50).drop("kept").collect()))
     assert few == sorted(removed([(i, t.decode()) for i, t in enumerate(text)]))
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    line, most = "The same licence line stands in each and every one of these documents, word for word.", 2**63 - 1
+    rows = [(most, line), (-(2**63), line), (0, line), (None, line), (most, line), (5, "é" + line)]
+    got = sorted((tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect() if r.doc_id is not None))
+    assert got == sorted(removed([r for r in rows if r[0] is not None]))
