@@ -81,10 +81,6 @@ def read(spark: SparkSession, path: str, *, block: int | None = None, site: int
     return frame if site is None else frame.where(F.col("site_id") == site)
 
 
-def markers_of(encoded: DataFrame) -> DataFrame:
-    return encoded.select("site_id", "archetype", F.inline("markers"))
-
-
 def stored_vectors(encoded: DataFrame) -> DataFrame:
     """``site_id, pos, allele`` as stored: permuted if the archive is. No shuffle."""
 

@@ -16,12 +16,6 @@ from hapframe.schema import BLOCK_SITES, EOV, MAX_ALLELE, MISSING
 from hapframe.sources.scratch import scratch
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """``contig, pos, n_allele, sample, slot, allele`` of every record with a GT field; ``read_header`` has the rest."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    return parse(lines.select(F.col("value").alias("line")))
-
-
 def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """(header lines, samples) of the first file; it must begin with its format and have a line of columns. Nothing else is read."""
     found: list[str] = []
