@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\x0B\f\r]"
 NOT_WS = r"[^ \t\n\x0B\f\r]"
 #: Keys of so many rows may be broadcast instead of dealt.
-HUB = 1000
+HUB = 200
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -374,19 +374,22 @@ def decided(docs: DataFrame, *, width: int, percent: int, id_col: str = "doc_id"
     least_id = F.array_min(F.transform("members", lambda m: m["doc_id"]))
     alone = F.array_min(F.transform(F.filter("members", lambda m: m["row"].isNotNull()), lambda m: F.struct(m["row"].alias("row"), m["key"].alias("key"))))
     nodes = cut(sketches.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(least_id).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(alone).alias("alone"),
+        F.min(least_id).alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min(alone).alias("alone"), F.count("*").alias("n"),
     ), "nodes")
     roots = components(candidate_edges(nodes, percent / 100, bands * rows, most_met))
     linked = components(confirmed_edges(docs, nodes, cut(roots, "roots"), width, percent, id_col, text_col, most, most_bytes))
     named = cut(nodes.select("node", "rep", "alone.row").join(linked, "node"), "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("least"), F.min("row").alias("least_row"), F.count("*").alias("n")), "least")
     found = joined(named.select("node", "root"), least, ["root"], named.count()).select("node", "least", "least_row")
-    of_node = nodes.select("node", "rep", "alone.row").join(found, "node", "left").select(
-        "node", F.coalesce("least", "rep").alias("of_node"), F.coalesce("least_row", "row").alias("of_row"),
-    )
+    of_node = cut(nodes.select("node", "rep", "alone.row", "n").join(found, "node", "left").select(
+        "node", "n", F.coalesce("least", "rep").alias("of_node"), F.coalesce("least_row", "row").alias("of_row"),
+    ), "of-node")
     component = F.coalesce("of_node", "doc_id")
     own = component.isNull() & (F.col("node").isNull() | (F.col("row") == F.col("of_row")))
-    return sketches.select("n_shingles", "node", "members").join(of_node, "node", "left").select("n_shingles", "node", "of_node", "of_row", F.inline("members")).select(
+    parts = sketches.select("n_shingles", "node", "members")
+    with_words = joined(parts.where("node IS NOT NULL"), of_node, ["node"], of_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    without = parts.where("node IS NULL").select("*", F.lit(None).cast(docs.schema[id_col].dataType).alias("of_node"), F.lit(None).cast("long").alias("of_row"))
+    return with_words.unionByName(without).select("n_shingles", "node", "of_node", "of_row", F.inline("members")).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce((F.col("doc_id") == component) | own, F.lit(False)).alias("kept"), "key",
     )
 
