@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +36,75 @@ def as_batch(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(names.values())], list(names))
 
 
-def gathered(alleles: DataFrame) -> DataFrame:
-    """One row a site (``SITES``): alleles in the order of haplotypes, and the counts of them. One shuffle; a site is one row."""
+#: Rows that are packed at once before they are dealt, and bytes of vectors in one batch of them.
+ROWS, VECTOR_BYTES = 1 << 19, 1 << 22
 
-    names = {"site_id": pa.int32(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(rows: pa.Table) -> pa.RecordBatch:
+    """Rows of ``site_id, ploidy, n_allele, hap, allele`` as one row a site: the haplotypes and alleles that aren't null, as bytes."""
+    sites = rows.column(0).combine_chunks().dictionary_encode("encode")
+    code = sites.indices.to_numpy()
+    order = np.argsort(code.astype(np.uint16) if len(sites.dictionary) < 1 << 16 else code, kind="stable")
+    start = np.append(np.searchsorted(code[order], np.arange(len(sites.dictionary))), len(code))
+    most = [np.maximum.reduceat(pc.fill_null(rows.column(k), -1).to_numpy()[order], start[:-1]) for k in (1, 2)]
+    there = pc.and_(rows.column(3).is_valid(), rows.column(4).is_valid()).to_numpy()[order]
+    hap, allele = (pc.fill_null(rows.column(k), 0).to_numpy()[order][there].astype(t).tobytes() for k, t in ((3, "<i4"), (4, np.uint8)))
+    ends = np.append(0, np.cumsum(there))[start].tolist()
+    cut = lambda data, width: pa.array([data[width * x : width * y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([sites.dictionary, *map(pa.array, most), cut(hap, 4), cut(allele, 1)], ["site_id", "ploidy", "n_allele", "haps", "alleles"])
+
+
+def of_sites(alleles: DataFrame, make: Callable[[int, int, int, np.ndarray, np.ndarray], tuple], names: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """``make(site_id, ploidy, n_allele, haps, alleles)`` of each site, its alleles in the order of haplotypes; the last value is its vector.
+
+    Rows are packed before the one shuffle, and a site's pieces are merged in a stream, so a worker holds the pieces of a batch and of one site.
+    """
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield packed(pa.Table.from_batches(held))
+
+    def merged(site: int, pieces: list[tuple]) -> tuple:
+        ploidy, n_allele = (max(p[k] for p in pieces) for k in (0, 1))
+        cell = np.concatenate([np.frombuffer(p[2], "<i4") for p in pieces]).astype(np.int64) << 8
+        cell |= np.concatenate([np.frombuffer(p[3], np.uint8) for p in pieces])
+        cell.sort()
+        return make(site, None if ploidy < 0 else ploidy, None if n_allele < 0 else n_allele, cell >> 8, (cell & 255).astype(np.uint8))
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, pieces, made, size = None, [], [], 0
         for batch in batches:
-            values, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
-            heads = zip(*(c.to_pylist() for c in batch.columns[:3]), ends[:-1], ends[1:], strict=True)
-            yield as_batch([(site, ploidy, n_allele, *described(np.sort(values[a:b]) & 255, n_allele)) for site, ploidy, n_allele, a, b in heads], names)
+            heads = [c.to_pylist() for c in batch.columns[:3]]
+            for own, ploidy, n_allele, haps, gt in zip(*heads, batch.column(3), batch.column(4), strict=True):
+                if pieces and own != site:
+                    made.append(merged(site, pieces))
+                    pieces, size = [], size + len(made[-1][-1]) + 64
+                    if size >= VECTOR_BYTES:
+                        yield as_batch(made, names)
+                        made, size = [], 0
+                site = own
+                pieces.append((ploidy, n_allele, haps.as_buffer(), gt.as_buffer()))
+        if pieces:
+            made.append(merged(site, pieces))
+        if made:
+            yield as_batch(made, names)
+
+    rows = alleles.select(*(F.col(c).cast("int").alias(c) for c in ("site_id", "ploidy", "n_allele", "hap", "allele")))
+    pieces = rows.mapInArrow(pack, "site_id int, ploidy int, n_allele int, haps binary, alleles binary")
+    return pieces.repartition("site_id").sortWithinPartitions("site_id").mapInArrow(merge, schema)
+
 
-    cell = F.shiftleft(F.col("hap").cast("long"), 8) + F.col("allele")
-    return alleles.groupBy("site_id").agg(F.max("ploidy").cast("int").alias("ploidy"), F.max("n_allele").cast("int").alias("n_allele"), F.collect_list(cell).alias("cells")).mapInArrow(run, SITES)
+def gathered(alleles: DataFrame) -> DataFrame:
+    """One row a site (``SITES``): alleles in the order of haplotypes, and the counts of them. One shuffle; a site is one row."""
+    names = {"site_id": pa.int32(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
+    return of_sites(alleles, lambda site, ploidy, n_allele, haps, gt: (site, ploidy, n_allele, *described(gt, n_allele)), names, SITES)
 
 
 def spread(vectors: list[np.ndarray], others: list[pa.Array], names: list[str], position: str) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hapframe.functions.alleles import vcf_allele, vcf_symbol
 from hapframe.operators import route
-from hapframe.operators.vectors import DESCRIBED, as_batch, described
+from hapframe.operators.vectors import DESCRIBED, VECTOR_BYTES, as_batch, cells, described, of_sites
 from hapframe.schema import BLOCK_SITES, EOV, MAX_ALLELE, MISSING
 from hapframe.sources.scratch import scratch
 
@@ -69,17 +69,11 @@ def read_alleles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_of(lines: DataFrame) -> DataFrame:
-    """Alleles of full records with ``file, block, at`` as their order. A site's ploidy is its longest genotype's; shorter ones are padded with the end of vector."""
-    fields = F.split("line", "\t")
-    record = lines.select(
-        "file", "block", "at", (F.size(F.split(fields[4], ",")) + 1).alias("n_allele"),
-        F.array_position(F.split(fields[8], ":"), "GT").cast("int").alias("gt_at"), F.slice(fields, 10, F.greatest(F.size(fields) - 9, F.lit(0))).alias("samples"),
-    ).where("gt_at > 0")
-    genotypes = F.transform("samples", lambda s: F.transform(F.split(F.element_at(F.split(s, ":"), F.col("gt_at")), r"[|/]"), lambda x: vcf_allele(x)))
-    wide = record.withColumn("g", genotypes).withColumn("ploidy", F.array_max(F.transform("g", lambda x: F.size(x))))
-    padded = F.flatten(F.transform("g", lambda x: F.concat(x, F.array_repeat(F.lit(EOV), F.col("ploidy") - F.size(x)))))
-    numbered = number_sites(wide.select("file", "block", "at", "ploidy", "n_allele", padded.alias("gt")), ["file", "block", "at"])
-    return numbered.select("site_id", "ploidy", "n_allele", F.posexplode("gt").alias("hap", "allele")).select("site_id", "hap", "ploidy", "n_allele", "allele")
+    """Alleles of full records with ``file, block, at`` as their order. A site's ploidy is its longest genotype's; shorter ones are padded with the end of vector.
+
+    Lines become vectors first, so that a line is split once; a site without samples has a number but no row."""
+    sites = number_sites(_vectors(lines, True), ["file", "block", "at"]).select("site_id", "ploidy", "n_allele", "gt")
+    return cells(sites.repartition("site_id"), "hap").select("site_id", "hap", "ploidy", "n_allele", "allele")
 
 
 def genotype_vector(form: str, samples: str) -> tuple[int, np.ndarray] | None:
@@ -88,15 +82,19 @@ def genotype_vector(form: str, samples: str) -> tuple[int, np.ndarray] | None:
     if "GT" not in fields:
         return None
     raw = np.frombuffer(samples.encode() + b"\t", np.uint8)
-    if form == "GT" and len(raw) % 4 == 0:  # nothing but genotypes of two one-letter alleles
-        cells = raw.reshape(-1, 4)
-        pair = cells[:, ::2].astype(np.int64) - 48
-        pair[pair == ord(".") - 48] = MISSING
-        if (cells[:, 3] == 9).all() and np.isin(cells[:, 1], (ord("|"), ord("/"))).all() and ((pair >= 0) & ((pair <= 9) | (pair == MISSING))).all():
-            return 2, pair.ravel()
+    if form == "GT" and len(raw) % 2 == 0:  # nothing but genotypes of one-letter alleles
+        symbol, mark = raw[::2], raw[1::2]
+        missing, last = symbol == ord("."), mark == 9
+        if (last | (mark == ord("|")) | (mark == ord("/"))).all() and (missing | ((symbol >= 48) & (symbol <= 57))).all():
+            size = np.diff(np.flatnonzero(last), prepend=-1)
+            gt = np.full((len(size), int(size.max())), EOV, np.uint8)
+            gt[np.arange(gt.shape[1]) < size[:, None]] = np.where(missing, MISSING, symbol - 48)
+            return gt.shape[1], gt.ravel()
     at, own = fields.index("GT"), []
     for sample in samples.split("\t"):
         symbols = sample.split(":")[at].replace("/", "|").split("|")
+        if not all(x == "." or x.strip().lstrip("+").isdecimal() for x in symbols):
+            raise ValueError(f"no allele, or one beyond {MAX_ALLELE}: {sample[:40]}")
         own.append([MISSING if x == "." else int(x) for x in symbols])
         if max((x for x, y in zip(own[-1], symbols, strict=True) if y != "."), default=0) > MAX_ALLELE:
             raise ValueError(f"allele beyond {MAX_ALLELE}")
@@ -104,25 +102,37 @@ def genotype_vector(form: str, samples: str) -> tuple[int, np.ndarray] | None:
     return ploidy, np.array([x for g in own for x in g + [EOV] * (ploidy - len(g))], np.int64)
 
 
-def read_sites(spark: SparkSession, path: str, block_size: int = BLOCK_SITES) -> DataFrame:
-    """As ``route.site_vectors``, of every record with a GT field, in the order of the files' lines. No row of a single allele is made."""
+def _vectors(lines: DataFrame, empty: bool) -> DataFrame:
+    """``file, block, at, ploidy, n_allele`` and ``DESCRIBED`` of full records with a GT field; ``empty`` keeps those without samples."""
     names = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "ploidy": pa.int32(), "n_allele": pa.int32()} | DESCRIBED
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for line, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields = line.split("\t", 9)
-                found = genotype_vector(fields[8], fields[9]) if len(fields) > 9 else None
+            rows, size = [], 0
+            heads = [c.to_pylist() for c in batch.columns[1:]]
+            for line, *place in zip(batch.column(0), *heads, strict=True):
+                fields = line.as_py().split("\t", 9)
+                if len(fields) == 9 and empty:
+                    found = (0, np.zeros(0, np.uint8)) if "GT" in fields[8].split(":") else None
+                else:
+                    found = genotype_vector(fields[8], fields[9]) if len(fields) > 9 else None
                 if found:
                     n_allele = fields[4].count(",") + 2
                     rows.append((*place, found[0], n_allele, *described(found[1], n_allele)))
+                    size += len(found[1])
+                if size >= VECTOR_BYTES:
+                    yield as_batch(rows, names)
+                    rows, size = [], 0
             yield as_batch(rows, names)
 
+    return lines.select("line", "file", "block", "at").mapInArrow(run, "file string, block long, at long, ploidy int, n_allele int, n long, ac long, n_missing long, n_eov long, observed int, archetype string, gt binary")
+
+
+def read_sites(spark: SparkSession, path: str, block_size: int = BLOCK_SITES) -> DataFrame:
+    """As ``route.site_vectors``, of every record with a GT field, in the order of the files' lines. No row of a single allele is made."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    told = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    vectors = told.mapInArrow(run, "file string, block long, at long, ploidy int, n_allele int, n long, ac long, n_missing long, n_eov long, observed int, archetype string, gt binary")
-    sites = number_sites(vectors, ["file", "block", "at"]).drop("file", "block", "at")
+    told = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    sites = number_sites(_vectors(told, False), ["file", "block", "at"]).drop("file", "block", "at")
     return route.placed(sites, sites.select("site_id", "n", "ploidy"), block_size)
 
 
@@ -177,14 +187,25 @@ def write_vcf(lines: DataFrame, path: str) -> None:
     lines.orderBy("site_id").select("line").write.text(path)
 
 
+def record(contig: str, site: int, ploidy: int, n_allele: int, haps: np.ndarray, gt: np.ndarray) -> str:
+    """A whole record of the alleles of some haplotypes, in their order."""
+    alts = ",".join(f"<A{k}>" for k in range(1, n_allele or 1)) or "."
+    sample, there = haps // ploidy, gt != EOV
+    new, kept = np.flatnonzero(np.diff(sample, prepend=-1)), gt[there]
+    last = np.append(np.diff(sample[there]) != 0, True)[: len(kept)]
+    if len(kept) and last.sum() == len(new) and ((kept < 10) | (kept == MISSING)).all():  # a letter each, and no genotype is empty
+        text = np.empty((len(kept), 2), np.uint8)
+        text[:, 0], text[:, 1] = np.where(kept == MISSING, ord("."), kept + 48), np.where(last, 9, ord("|"))
+        line = text.tobytes()[:-1].decode("latin-1")
+    else:
+        line = "\t".join("|".join("." if x == MISSING else str(x) for x in g.tolist() if x != EOV) for g in np.split(gt, new[1:]))
+    return "\t".join((contig, str(site + 1), ".", "A", alts, ".", ".", ".", "GT", line))
+
+
 def records(alleles: DataFrame, contig: str = "1") -> DataFrame:
     """``site_id, line``: whole records, a site's position being its id and one."""
-    heads = alleles.groupBy("site_id").agg(F.max("n_allele").alias("n"))
-    alts = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda k: F.concat(F.lit("<A"), k.cast("string"), F.lit(">"))), ",")
-    alt = F.when(F.col("n") > 1, alts).otherwise(".")
-    head = F.concat_ws("\t", F.lit(contig), (F.col("site_id") + 1).cast("string"), F.lit("."), F.lit("A"), alt, F.lit("."), F.lit("."), F.lit("."), F.lit("GT"))
-    genotypes = to_vcf(alleles).select("site_id", F.col("line").alias("gt"))
-    return heads.join(genotypes, "site_id").select("site_id", F.concat_ws("\t", head, "gt").alias("line"))
+    make = lambda site, ploidy, n_allele, haps, gt: (site, record(contig, site, ploidy, n_allele, haps, gt))
+    return of_sites(alleles.where("site_id IS NOT NULL"), make, {"site_id": pa.int32(), "line": pa.string()}, "site_id int, line string")
 
 
 def write_records(alleles: DataFrame, path: str) -> None:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,27 @@ def test_streams_of_sites(spark, tmp_path):
     assert rows_of(archive.decode(stored)) == rows_of(frame.select("site_id", "hap", "allele"))
     ingest.running_counts(alleles).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert rows_of(spark.table("counts")) == rows_of(frame.groupBy("site_id").agg(F.count("*").alias("n"), F.sum("allele").alias("ac")))
+
+
+def test_vcf_of_many_samples_is_read_in_time_linear_in_them(spark, tmp_path):
+    n = 20_000
+    line = lambda pos, gt: "\t".join(["1", str(pos), ".", "A", "C", ".", ".", ".", "DP:GT", *(f"{k}:{g}" for k, g in zip(range(n), gt, strict=True))])
+    text = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, range(n))])]
+    text += [line(1, ["0|1", "1"] * (n // 2)), line(2, ["./1"] * n), line(3, ["1"] * n)]
+    (tmp_path / "x.vcf").write_text("\n".join(text))
+    began = time.monotonic()
+    got = vcf.read_alleles(spark, str(tmp_path / "x.vcf")).groupBy("site_id", "ploidy", "allele").count().collect()
+    assert time.monotonic() - began < 30  # was quadratic: a line was split for each of its samples
+    assert sorted(map(tuple, got)) == [(0, 2, 0, n // 2), (0, 2, 1, n), (0, 2, 15, n // 2), (1, 2, 1, n), (1, 2, 14, n), (2, 1, 1, n)]
+
+
+def test_records_of_vectors_are_those_of_rows(spark):
+    """Gaps between haplotypes, missing alleles, ends of vectors, whole genotypes of them, and alleles of two letters; pieces meet from several tasks."""
+    rng = np.random.default_rng(5)
+    rows = [(s, h, p, 12, int(rng.choice([0, 1, 9, 14, 15] + [12] * (s % 2)))) for s, p in ((0, 2), (1, 2), (2, 3), (3, 1)) for h in range(200) if rng.random() < 0.8] + [(4, 1, 2, 1, 0), (5, 0, 2, 2, 15)]
+    frame = spark.createDataFrame(rows, "site_id int, hap int, ploidy int, n_allele int, allele int").repartition(7)
+    got = {r.site_id: r.line.split("\t", 9) for r in vcf.records(frame).collect()}
+    assert {k: v[9] for k, v in got.items()} == {r.site_id: r.line for r in vcf.to_vcf(frame).collect()}
+    assert got[0][:9] == ["1", "1", ".", "A", ",".join(f"<A{k}>" for k in range(1, 12)), ".", ".", ".", "GT"] and got[4][4] == "."
+    cells = rows_of(frame.select("site_id", "hap", "allele"))
+    assert {r.site_id: list(r.gt) for r in route.gathered(frame).collect()} == {s: [a for _, _, a in sorted((h, x, a) for a, h, x in cells if x == s)] for s in got}
