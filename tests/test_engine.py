@@ -160,3 +160,23 @@ def test_records_of_vectors_are_those_of_rows(spark):
     assert got[0][:9] == ["1", "1", ".", "A", ",".join(f"<A{k}>" for k in range(1, 12)), ".", ".", ".", "GT"] and got[4][4] == "."
     cells = rows_of(frame.select("site_id", "hap", "allele"))
     assert {r.site_id: list(r.gt) for r in route.gathered(frame).collect()} == {s: [a for _, _, a in sorted((h, x, a) for a, h, x in cells if x == s)] for s in got}
+
+
+def test_fixtures_equal_their_sql_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, negative keys, users that are multiples of seven, all days and more event types than five."""
+    import duckdb
+
+    from hapframe.sources import fixtures
+
+    rng = np.random.default_rng(6)
+    some = lambda values: None if rng.random() < 0.05 else values[rng.integers(len(values))]
+    db = duckdb.connect()
+    db.sql("CREATE TABLE events (user_id BIGINT, event_type VARCHAR, ts TIMESTAMP); CREATE TABLE lineitem (l_suppkey BIGINT, l_orderkey BIGINT, l_returnflag VARCHAR, l_quantity DOUBLE)")
+    db.executemany("INSERT INTO events VALUES (?, ?, ?)", [(some([0, 7, 14, 21, 5, 9, 2**40 + 1]), some(list("abcdefgh")), f"2024-01-{rng.integers(1, 32)} {rng.integers(24)}:30:00") for _ in range(400)])
+    db.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?)", [(some([1, 2, 3, 900]), some([-700, -1, 0, 63, 64, 511, 513, 10**12]), some(["R", "N"]), some([47.0, 48.0, 50.0])) for _ in range(150)])
+    for table in ("events", "lineitem"):
+        db.sql(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    for name in ("g1", "g2", "g3", "g4"):
+        frame, found = fixtures.matrix(spark, str(tmp_path), name), db.sql(fixtures.duckdb_text(name))
+        assert frame.columns == found.columns == ["site_id", "hap", "ploidy", "n_allele", "allele"] and {t for _, t in frame.dtypes} == {"int"}
+        assert sorted(map(tuple, frame.collect()), key=repr) == sorted(found.fetchall(), key=repr), name
