@@ -180,3 +180,13 @@ def test_fixtures_equal_their_sql_on_odd_tables(spark, tmp_path):
         frame, found = fixtures.matrix(spark, str(tmp_path), name), db.sql(fixtures.duckdb_text(name))
         assert frame.columns == found.columns == ["site_id", "hap", "ploidy", "n_allele", "allele"] and {t for _, t in frame.dtypes} == {"int"}
         assert sorted(map(tuple, frame.collect()), key=repr) == sorted(found.fetchall(), key=repr), name
+
+
+@pytest.mark.parametrize("name", ["g1", "g2", "g3", "g4"])
+def test_no_join_of_a_fixture_has_a_row_for_each_allele(spark, name):
+    """Tasks held the sorted cells of a rectangle (or a broadcast of all events); now cells are made behind the joins."""
+    from hapframe.sources.fixtures import matrix
+
+    plan = matrix(spark, SF, name)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joins and not any("slot#" in line or " h#" in line for line in joins)
