@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hapframe.operators.vectors import cells
+from hapframe.operators.vectors import byte_views, cells, slices
 from hapframe.schema import RARE
 
 
@@ -63,8 +63,8 @@ def keyed(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, str]]:
 def _stream(sites: DataFrame, by: list[str], inverse: bool, stride: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(stride)
-        for batch in batches:
-            made = [orders.step(key, kind, np.frombuffer(data, np.uint8), inverse).tobytes() for (key, kind), data in zip(keyed(batch, by), batch.column("gt").to_pylist(), strict=True)]
+        for batch in (part for whole in batches for part in slices(whole)):
+            made = [orders.step(key, kind, gt, inverse).tobytes() for (key, kind), gt in zip(keyed(batch, by), byte_views(batch.column("gt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], batch.schema.names)
 
     ready = dealt(sites, by).select(*(c for c in sites.columns if c != "gt"), "gt")

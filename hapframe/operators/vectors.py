@@ -37,7 +37,7 @@ def as_batch(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch
 
 
 #: Rows that are packed at once before they are dealt, and bytes of vectors in one batch of them.
-ROWS, VECTOR_BYTES = 1 << 19, 1 << 22
+ROWS, VECTOR_BYTES = 1 << 18, 1 << 22
 
 
 def packed(rows: pa.Table) -> pa.RecordBatch:
@@ -107,18 +107,40 @@ def gathered(alleles: DataFrame) -> DataFrame:
     return of_sites(alleles, lambda site, ploidy, n_allele, haps, gt: (site, ploidy, n_allele, *described(gt, n_allele)), names, SITES)
 
 
-def spread(vectors: list[np.ndarray], others: list[pa.Array], names: list[str], position: str) -> Iterator[pa.RecordBatch]:
-    """Rows of one allele each, with the vectors' other columns, in batches of about CELLS."""
-    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-    part = np.cumsum(sizes) // CELLS
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(vectors)] if len(vectors) else []
+def spread(vectors: Iterable[np.ndarray], others: list[pa.Array], names: list[str], position: str) -> Iterator[pa.RecordBatch]:
+    """Rows of one allele each, with the vectors' other columns, in batches of ``CELLS`` at most; long vectors are cut."""
+    held, n = [], 0  # (row, first place, alleles)
+
+    def batch() -> pa.RecordBatch:
+        size = [len(x) for _, _, x in held]
+        at = pa.array(np.repeat(np.array([k for k, _, _ in held], np.int32), size))
+        place = np.concatenate([np.arange(a, a + len(x), dtype=np.int32) for _, a, x in held])
+        return pa.RecordBatch.from_arrays([*(c.take(at) for c in others), pa.array(place), pa.array(np.concatenate([x for _, _, x in held]).astype(np.int32))], [*names, position, "allele"])
+
+    for k, gt in enumerate(vectors):
+        a = 0
+        while a < len(gt):
+            b = min(len(gt), a + CELLS - n)
+            held.append((k, a, gt[a:b]))
+            a, n = b, n + b - a
+            if n == CELLS:
+                yield batch()
+                held, n = [], 0
+    if n:
+        yield batch()
+
+
+def byte_views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The binaries of a column, not copied."""
+    return (np.frombuffer(x.as_buffer(), np.uint8) for x in column)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``VECTOR_BYTES`` of ``gt``, not copied; what is made of one is given away before the next."""
+    part = np.cumsum(pc.binary_length(batch.column("gt")).to_numpy(zero_copy_only=False).astype(np.int64)) // VECTOR_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows] if batch.num_rows else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        n = sizes[a:b]
-        if not n.sum():
-            continue
-        at = pa.array(np.repeat(np.arange(a, b), n))
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in others), pa.array(place.astype(np.int32)), pa.array(np.concatenate(vectors[a:b]).astype(np.int32))], [*names, position, "allele"])
+        yield batch.slice(a, b - a)
 
 
 def cells(sites: DataFrame, position: str) -> DataFrame:
@@ -127,7 +149,7 @@ def cells(sites: DataFrame, position: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from spread([np.frombuffer(x, np.uint8) for x in batch.column(len(names)).to_pylist()], batch.columns[:-1], names, position)
+            yield from spread(byte_views(batch.column(len(names))), batch.columns[:-1], names, position)
 
     kinds = ", ".join(f"{c} {sites.schema[c].dataType.simpleString()}" for c in names)
     return sites.select(*names, "gt").mapInArrow(run, f"{kinds}, {position} int, allele int")

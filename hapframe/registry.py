@@ -112,17 +112,18 @@ query("nonref_positions", "g3", "SELECT site_id, hap, allele FROM m WHERE allele
 # Positional order.
 _PBWT = "SELECT site_id, pos, allele FROM ord"
 for _name, _fixture in (("pbwt_order_2mc", "g1"), ("pbwt_order_nm", "g2"), ("pbwt_rare", "g3"), ("pbwt_mixed", "g4")):
-    query(_name, _fixture, _PBWT)(lambda m: pbwt.explode_vectors(pbwt.permute(route.site_vectors(m, BLOCK)), "pos").select("site_id", "pos", "allele"))
+    query(_name, _fixture, _PBWT)(lambda m: _permuted(m))
 query("pbwt_no_reset", "g3", f", {_pbwt_view('nr', '0', '0')} SELECT site_id, pos, allele FROM nr")(
-    lambda m: pbwt.explode_vectors(pbwt.permute(route.site_vectors(m, BLOCK), reset=False), "pos").select("site_id", "pos", "allele"))
+    lambda m: _permuted(m, reset=False))
 query("pbwt_strided", "g2", f", {_pbwt_view('st', f'CAST(floor(a.site_id / {BLOCK}) AS INT)', 'a.hap % 2')} SELECT site_id, CAST(pos * 2 + lane AS INT) AS pos, allele FROM st")(
-    lambda m: pbwt.explode_vectors(pbwt.permute(route.site_vectors(m, BLOCK), stride=2), "pos").select("site_id", "pos", "allele"))
+    lambda m: _permuted(m, stride=2))
 for _name, _fixture in (("unpermute_2mc", "g1"), ("unpermute_nm", "g2"), ("unpermute_rare", "g3")):
-    query(_name, _fixture, "SELECT site_id, hap, allele FROM m")(lambda m: pbwt.explode_vectors(pbwt.restore(pbwt.permute(route.site_vectors(m, BLOCK)))).select("site_id", "hap", "allele"))
+    query(_name, _fixture, "SELECT site_id, hap, allele FROM m")(lambda m: pbwt.explode_vectors(pbwt.restore(pbwt.permute(route.site_vectors(m, BLOCK))).select("site_id", "gt")))
 
 
-def _permuted(m: DataFrame) -> DataFrame:
-    return pbwt.explode_vectors(pbwt.permute(route.site_vectors(m, BLOCK)), "pos")
+def _permuted(m: DataFrame, **of) -> DataFrame:
+    """``site_id, pos, allele``; a site's other columns don't become a value of each allele."""
+    return pbwt.explode_vectors(pbwt.permute(route.site_vectors(m, BLOCK), **of).select("site_id", "gt"), "pos")
 
 
 # Words and markers.
@@ -233,7 +234,7 @@ KEYS = ["block_id", "group_id", "archetype"]
 
 def _coded(m: DataFrame, code=entropy.encode, read=entropy.decode) -> DataFrame:
     vectors = route.site_vectors(m, BLOCK).select(*KEYS, "site_id", "gt")
-    return pbwt.explode_vectors(entropy.decode_streams(entropy.code_streams(vectors, KEYS, code, 1 << 12), KEYS, read)).select("site_id", "hap", "allele")
+    return pbwt.explode_vectors(entropy.decode_streams(entropy.code_streams(vectors, KEYS, code, 1 << 12), KEYS, read).select("site_id", "gt"))
 
 
 def _coded_archive(m: DataFrame, use_pbwt: bool, part_bytes: int = 1 << 12) -> DataFrame:

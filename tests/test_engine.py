@@ -1,13 +1,14 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, rows_of
 from hapframe import registry
 from hapframe.functions import alleles as codes
-from hapframe.operators import entropy, ewah, pbwt, route
+from hapframe.operators import entropy, ewah, pbwt, route, vectors
 from hapframe.sources import archive, vcf
 
 
@@ -190,3 +191,21 @@ def test_no_join_of_a_fixture_has_a_row_for_each_allele(spark, name):
     plan = matrix(spark, SF, name)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert joins and not any("slot#" in line or " h#" in line for line in joins)
+
+
+def test_vectors_become_alleles_in_bounded_batches():
+    """A vector longer than a batch is cut; it was one batch, however long."""
+    rng, most = np.random.default_rng(7), vectors.CELLS
+    own = [rng.integers(0, 16, n).astype(np.uint8) for n in (3, 0, most - 3, 2 * most + 5, most, 1)]
+    got = list(vectors.spread(own, [pa.array(range(len(own)), pa.int32())], ["site_id"], "pos"))
+    assert max(b.num_rows for b in got) <= most
+    rows = pa.Table.from_batches(got)
+    assert rows.column("site_id").to_pylist() == [k for k, v in enumerate(own) for _ in v]
+    assert (rows.column("pos").to_numpy() == np.concatenate([np.arange(len(v)) for v in own])).all()
+    assert (rows.column("allele").to_numpy() == np.concatenate(own)).all()
+
+
+def test_batches_are_permuted_by_parts():
+    whole = pa.RecordBatch.from_pydict({"site_id": pa.array(range(9)), "gt": pa.array([bytes(1 << 20)] * 8 + [b""], pa.binary())})
+    parts = list(vectors.slices(whole.slice(1)))
+    assert [x for p in parts for x in p.column("site_id").to_pylist()] == [*range(1, 9)] and max(sum(map(len, p.column("gt").to_pylist())) for p in parts) <= vectors.VECTOR_BYTES
