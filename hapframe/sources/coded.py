@@ -26,13 +26,13 @@ def encode_sites(sites: DataFrame, *, use_pbwt: bool = True, part_bytes: int = e
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = pbwt.Orders()
-        for key, number, rows in entropy.parts(batches, KEYS, part_bytes):
+        for key, number, rows, ends, data in entropy.parts(batches, KEYS, part_bytes):
             coder, model = entropy.Writer(), entropy.SegmentCoder(key[2])
-            for r in rows:
-                gt = np.frombuffer(r["gt"], np.uint8)
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                gt = np.frombuffer(data, np.uint8)[a:b]
                 words = ewah.vector_words(orders.step(key, key[2], gt) if use_pbwt else gt, ewah.BITS[key[2]])
                 model.site(coder, len(words), words)
-            row = dict(zip(KEYS, key, strict=True)) | {"part": number, "use_pbwt": use_pbwt, "sites": [{f.name: r[f.name] for f in SITE} for r in rows], "n_sites": len(rows), "n_bytes": sum(len(r["gt"]) for r in rows), "payload": coder.close()}
+            row = dict(zip(KEYS, key, strict=True)) | {"part": number, "use_pbwt": use_pbwt, "sites": [{f.name: r[f.name] for f in SITE} for r in rows], "n_sites": len(rows), "n_bytes": len(data), "payload": coder.close()}
             yield pa.RecordBatch.from_pylist([row], schema)
 
     return pbwt.dealt(sites, KEYS).select(*KEYS, *(f.name for f in SITE), "gt").mapInArrow(run, CODED)

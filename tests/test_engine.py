@@ -209,3 +209,21 @@ def test_batches_are_permuted_by_parts():
     whole = pa.RecordBatch.from_pydict({"site_id": pa.array(range(9)), "gt": pa.array([bytes(1 << 20)] * 8 + [b""], pa.binary())})
     parts = list(vectors.slices(whole.slice(1)))
     assert [x for p in parts for x in p.column("site_id").to_pylist()] == [*range(1, 9)] and max(sum(map(len, p.column("gt").to_pylist())) for p in parts) <= vectors.VECTOR_BYTES
+
+
+def test_parts_of_streams_hold_no_batch_of_python_rows():
+    """Parts are as they were; of a batch of 40 MB, which was copied whole into rows, only a part's bytes are copied."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    own = [(k, s, rng.integers(0, 2, n).astype(np.uint8).tobytes()) for k, s, n in ((0, 0, 5), (0, 1, 4), (0, 2, 0), (1, 3, 2), (2, 4, 9), (2, 5, 1))]
+    batch = lambda rows: pa.RecordBatch.from_pylist([{"k": k, "site_id": s, "gt": g} for k, s, g in rows])
+    got = list(entropy.parts([batch(own[:2]), batch(own[2:])], ["k"], 9))
+    assert [(key, number, [r["site_id"] for r in rows], ends, data) for key, number, rows, ends, data in got] == [
+        ((0,), 0, [0, 1], [5, 9], own[0][2] + own[1][2]), ((0,), 1, [2], [0], b""), ((1,), 0, [3], [2], own[3][2]), ((2,), 0, [4], [9], own[4][2]), ((2,), 1, [5], [1], own[5][2])]
+    large = batch([(0, s, bytes(1 << 20)) for s in range(40)])
+    tracemalloc.start()
+    assert sum(len(p[-1]) for p in entropy.parts([large], ["k"], 1 << 21)) == 40 << 20
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20
