@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF, rows_of
 from hapframe import registry
 from hapframe.functions import alleles as codes
-from hapframe.operators import entropy, ewah, pbwt, route, vectors
+from hapframe.operators import cohort, entropy, ewah, pbwt, route, vectors
 from hapframe.sources import archive, vcf
 
 
@@ -227,3 +227,32 @@ def test_parts_of_streams_hold_no_batch_of_python_rows():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 16 << 20
+
+
+def test_merging_cohorts_deals_no_alleles(spark):
+    """Alleles were dealt by site and sorted to meet the table of sites, so that a task held whole sites of all haplotypes. On the smallest tables there is no second cohort."""
+    import duckdb
+
+    sf, db = "/root/testdata/sf0.01", duckdb.connect()
+    merged = registry.QUERIES["merge_cohorts"](spark, sf)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [site_id#") == 2 and "SortMergeJoin [site_id#" not in plan and "hashpartitioning(site_id#" not in plan
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    found = sorted(db.sql(registry.ORACLE_SQL["merge_cohorts"]).fetchall())
+    assert found and sorted(map(tuple, merged.collect())) == found
+
+
+@pytest.mark.parametrize("most, join", [(3, "BroadcastHashJoin"), (2, "ShuffledHashJoin")])
+def test_cohorts_merge_with_few_and_many_sites(spark, monkeypatch, most, join):
+    """Sites of one cohort only, null sites, haplotypes of unequal number and null; beyond the sites that are sent all are still merged, and nothing is sorted."""
+    monkeypatch.setattr(cohort, "SENT_SITES", most, raising=False)
+    schema = "site_id int, hap int, ploidy int, n_allele int, allele int"
+    cells = lambda sizes: [(s, h, 2, 2, (h + (s or 0)) % 2) for s, n in sizes for h in range(n)]
+    own, other = cells([(0, 3), (1, 1), (2, 4), (7, 2), (None, 2)]) + [(0, None, 2, 2, 1)], cells([(0, 2), (2, 1), (5, 6), (7, 3), (None, 1)])
+    left, right = (spark.createDataFrame(x, schema) for x in (own, other))
+    merged = cohort.merge(left, right)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{join} [site_id#") == 2 and plan.count(", BuildRight") == 2 and "SortMergeJoin" not in plan
+    size = {0: 4, 2: 4, 7: 2}
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted([r for r in own if r[0] in size] + [(s, h + size[s], *x) for s, h, *x in other if s in size], key=repr)
+    assert cohort.merge(left, right.where("site_id = 5")).collect() == []
